@@ -31,8 +31,12 @@ def unique(df: DataFrame, columns: Sequence[str], *, count: str = "veces") -> Da
 
 
 def relationships(df: DataFrame, column: str, to: DataFrame, field: str | None = None) -> DataFrame:
-    """Rows whose value is not among the values of the referenced column."""
-    known = to.select(F.col(field or column).alias(column)).distinct()
+    """Rows whose value is not among the values of the referenced column.
+
+    Both sides meet right after their exchange, which lets adaptive execution
+    split a hot value.
+    """
+    known = to.select(F.col(field or column).alias(column))
     return df.where(F.col(column).isNotNull()).join(known, column, "left_anti").select(df.columns)
 
 

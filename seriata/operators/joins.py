@@ -1,0 +1,36 @@
+"""Facts against one row per name, where one name may hold a third of the facts."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1_000_000
+SALTS = 64
+
+_SALT = "__salt"
+
+
+def restrict(
+    fact: DataFrame,
+    names: DataFrame,
+    key: str,
+    *,
+    how: str = "left_semi",
+    spread: Sequence[str] = ("fecha",),
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Keep (``left_semi``) or leave out (``left_anti``) the facts of ``names``.
+
+    Counts the names (a job over them alone).  Up to ``broadcast_rows`` they
+    are broadcast; beyond that both sides are salted, so that the facts of one
+    name spread over ``SALTS`` tasks by the hash of the ``spread`` columns.
+    """
+    only = names.select(key)
+    if only.count() <= broadcast_rows:
+        return fact.join(F.broadcast(only), key, how)
+    salted = fact.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = only.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, _SALT], how).drop(_SALT)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seriata.functions.dates import next_period, period_start, periods_between
 from seriata.functions.numbers import number_text
 from seriata.operators.reshape import concat
-from seriata.operators.windows import slices_needed, with_lookback
+from seriata.operators.windows import SLICE, slices_needed, with_lookback
 
 # Severities, check names and texts of the report.
 ERROR = "error"
@@ -45,14 +45,6 @@ def _report(df: DataFrame, check: str, severity: str, detail: Column) -> DataFra
     )
 
 
-def key_counts(df: DataFrame) -> DataFrame:
-    """Rows per (series, date): what the gap, duplicate and end checks read.
-
-    Copies of a hot key are combined before the shuffle.
-    """
-    return df.groupBy("serie_id", "fecha").agg(F.count(F.lit(1)).alias("veces"))
-
-
 def find_gaps(df: DataFrame, step: str = "month") -> DataFrame:
     """Periods missing between the first and the last of each series.
 
@@ -61,7 +53,11 @@ def find_gaps(df: DataFrame, step: str = "month") -> DataFrame:
     than its calendar.
     """
     start = period_start(F.col("fecha"), step).alias("fecha")
-    present = df.where(F.col("fecha").isNotNull()).select("serie_id", start).distinct()
+    return _gaps_between(df.select("serie_id", start).distinct(), step)
+
+
+def _gaps_between(present: DataFrame, step: str) -> DataFrame:
+    """Gaps of period starts; a period may occur more than once, or be NULL."""
     window = Window.partitionBy("serie_id").orderBy("fecha")
     following = present.withColumn("__next", F.lead("fecha").over(window))
     first_missing = next_period(F.col("fecha"), step)
@@ -75,15 +71,23 @@ def check_gaps(df: DataFrame, step: str = "month") -> DataFrame:
     return _report(find_gaps(df, step), GAP, ERROR, F.lit(GAP_DETAIL))
 
 
+def _key_counts(df: DataFrame, key: Sequence[str] = ("serie_id", "fecha")) -> DataFrame:
+    """Rows per key; copies of a hot key are combined before the shuffle."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("veces"))
+
+
 def find_duplicates(df: DataFrame, key: Sequence[str] = ("serie_id", "fecha")) -> DataFrame:
     """Keys that occur more than once; NULL counts as a key of its own here."""
-    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("veces"))
-    return counted.where(F.col("veces") > 1)
+    return _key_counts(df, key).where(F.col("veces") > 1)
 
 
-def check_duplicates(df: DataFrame) -> DataFrame:
+def _duplicates_report(duplicates: DataFrame) -> DataFrame:
     text = F.concat(F.lit("aparece "), F.col("veces").cast("string"), F.lit(" veces"))
-    return _report(find_duplicates(df), DUPLICATE, ERROR, text)
+    return _report(duplicates, DUPLICATE, ERROR, text)
+
+
+def check_duplicates(df: DataFrame) -> DataFrame:
+    return _duplicates_report(find_duplicates(df))
 
 
 def check_nulls(df: DataFrame, value: str = "valor") -> DataFrame:
@@ -92,7 +96,7 @@ def check_nulls(df: DataFrame, value: str = "valor") -> DataFrame:
 
 def check_orphans(fact: DataFrame, dim_serie: DataFrame) -> DataFrame:
     """Facts without their series; a NULL series is an orphan too."""
-    known = dim_serie.select("serie_id").distinct()
+    known = dim_serie.select("serie_id")
     orphans = fact.select("serie_id", "fecha").join(known, "serie_id", "left_anti")
     return _report(orphans, ORPHAN, ERROR, F.lit(ORPHAN_DETAIL))
 
@@ -120,16 +124,16 @@ def find_jumps(
         order=order,
         back=1,
         slices=slices,
+        keep_slice=True,
     )
     mean, spread = F.avg("cambio"), F.stddev_samp("cambio")
     if slices:
-        typical = (
-            changes.where(F.col("cambio").isNotNull())
-            .groupBy(F.col("serie_id").alias("__serie"))
-            .agg(mean.alias("__media"), spread.alias("__de"))
-        )
-        same = F.col("serie_id").eqNullSafe(F.col("__serie"))
-        measured = changes.join(typical, same).drop("__serie")
+        # Combined per series, then handed to each of its slices: the rows are
+        # joined by series and slice, so no task holds a whole series.
+        by_slice = changes.groupBy("serie_id", SLICE).agg(F.count("cambio").alias("n"))
+        typical = changes.groupBy("serie_id").agg(mean.alias("__media"), spread.alias("__de"))
+        handed = by_slice.join(typical, "serie_id").drop("n")
+        measured = changes.join(handed, ["serie_id", SLICE])
     else:
         # The changes already lie together by series: no further shuffle.
         whole = Window.partitionBy("serie_id")
@@ -139,7 +143,7 @@ def find_jumps(
     return (
         measured.withColumn("desviaciones", size)
         .where(F.col("desviaciones") > sigmas)
-        .drop("__media", "__de")
+        .drop("__media", "__de", SLICE)
     )
 
 
@@ -205,17 +209,22 @@ def quality_report(
 ) -> DataFrame:
     """The seven checks in one frame.
 
-    ``monthly`` is read by five of them: pass a published table, not a long plan.
+    ``monthly`` is read by five of them: pass a published table, not a long
+    plan.  Gaps, duplicates and last dates are all read from one count per
+    key, so that Spark can reuse its exchange.
     """
+    counts = _key_counts(monthly)
+    present = counts.where(F.col("veces") > 0)
+    starts = present.select("serie_id", period_start(F.col("fecha"), step).alias("fecha"))
     return concat(
         [
-            check_gaps(monthly, step),
-            check_duplicates(monthly),
+            _report(_gaps_between(starts, step), GAP, ERROR, F.lit(GAP_DETAIL)),
+            _duplicates_report(counts.where(F.col("veces") > 1)),
             check_nulls(monthly),
             check_orphans(fact, dim_serie),
             check_jumps(monthly, sigmas=sigmas, slices=slices),
             check_ytd_reconciles(flows, tol=tol),
-            check_stale(monthly),
+            check_stale(present),
         ]
     )
 

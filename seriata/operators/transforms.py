@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seriata.functions.dates import month_start, quarter_start
 from seriata.functions.numbers import ratio, round_at
+from seriata.operators.joins import restrict
 from seriata.operators.windows import with_lookback
 
 
@@ -58,7 +59,7 @@ def unified_monthly(
     """Flows of the year-to-date series plus the series observed at ``freq``.
 
     The wanted series are settled among the small tables first, so that the
-    observations are joined once.
+    observations are joined once.  They are counted before that join.
     """
     published = (flows if ytd_series is None else ytd_series).select("serie_id").distinct()
     wanted = (
@@ -66,7 +67,7 @@ def unified_monthly(
         .select("serie_id")
         .join(published, "serie_id", "left_anti")
     )
-    observed = observations.join(wanted, "serie_id", "left_semi")
+    observed = restrict(observations, wanted, "serie_id")
     return flows.select("serie_id", "fecha", F.col("flujo").alias("valor")).unionByName(
         observed.select("serie_id", "fecha", "valor")
     )

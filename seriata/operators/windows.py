@@ -20,7 +20,7 @@ from seriata.session import settle
 ROWS_PER_SLICE = 5_000_000
 MAX_SLICES = 20_000
 
-_SLICE = "__slice"
+SLICE = "__slice"
 _BEFORE = "__before"
 _FIRST = "__first"
 
@@ -47,6 +47,7 @@ def with_lookback(
     order: Sequence[str],
     back: int,
     slices: int | str | None = None,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Add window columns that need at most ``back`` earlier rows of the series.
 
@@ -56,29 +57,34 @@ def with_lookback(
     ``slices=None``: one window per series, one shuffle; for panels.
     ``slices="auto"``: measure the longest series and cut only if it is too big.
     ``slices=n``: cut into n slices; runs a checkpoint.
+
+    ``keep_slice`` leaves the slice number in column ``SLICE`` (0 if uncut).
+    The rows then lie together by series and slice.
     """
     if slices == "auto":
         slices = slices_needed(df, series)
     if not slices:
         window = Window.partitionBy(*series).orderBy(*order)
-        return df.withColumns(build(window))
+        out = df.withColumns(build(window))
+        return out.withColumn(SLICE, F.lit(0)) if keep_slice else out
 
     # The range exchange balances rows whatever the series sizes are.  Its
     # bounds come from a sample, so the slice numbers are written down once.
     cut = settle(
         df.repartitionByRange(int(slices), *series, *order).withColumn(
-            _SLICE, F.spark_partition_id()
+            SLICE, F.spark_partition_id()
         )
     )
     before = _rows_before_each_slice(cut, series, order, back)
-    window = Window.partitionBy(*series, _SLICE).orderBy(*order)
-    return (
+    window = Window.partitionBy(*series, SLICE).orderBy(*order)
+    out = (
         cut.withColumn(_BEFORE, F.lit(False))
         .unionByName(before.withColumn(_BEFORE, F.lit(True)))
         .withColumns(build(window))
         .where(~F.col(_BEFORE))
-        .drop(_BEFORE, _SLICE)
+        .drop(_BEFORE)
     )
+    return out if keep_slice else out.drop(SLICE)
 
 
 def _rows_before_each_slice(
@@ -92,27 +98,27 @@ def _rows_before_each_slice(
     """
     spanning = (
         cut.groupBy(*series)
-        .agg(F.min(_SLICE).alias("__lo"), F.max(_SLICE).alias("__hi"))
+        .agg(F.min(SLICE).alias("__lo"), F.max(SLICE).alias("__hi"))
         .where(F.col("__lo") < F.col("__hi"))
         .select(*[F.col(c).alias(f"__{c}") for c in series])
     )
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in series]
-    last = Window.partitionBy(*series, _SLICE).orderBy(*[F.col(c).desc() for c in order])
+    last = Window.partitionBy(*series, SLICE).orderBy(*[F.col(c).desc() for c in order])
     ends = (
         cut.join(F.broadcast(spanning), same, "left_semi")
         .withColumn("__back", F.row_number().over(last))
         .where(F.col("__back") <= back)
         .drop("__back")
     )
-    columns = [c for c in cut.columns if c != _SLICE]
+    columns = [c for c in cut.columns if c != SLICE]
     whole = Window.partitionBy(*series).orderBy(*order)
-    own = Window.partitionBy(*series, _SLICE).orderBy(*order)
+    own = Window.partitionBy(*series, SLICE).orderBy(*order)
     return (
         ends.withColumn(
             _BEFORE, F.collect_list(F.struct(*columns)).over(whole.rowsBetween(-back, -1))
         )
         .withColumn(_FIRST, F.row_number().over(own))
         .where(F.col(_FIRST) == 1)
-        .select(_SLICE, F.explode(_BEFORE).alias("row"))
-        .select("row.*", _SLICE)
+        .select(SLICE, F.explode(_BEFORE).alias("row"))
+        .select("row.*", SLICE)
     )

@@ -81,7 +81,10 @@ _MISMATCH_TEXT = (
 
 
 def _supplier_flows(spark, folder):
-    flows = tr.deaccumulate_ytd(panels.as_ytd(panels.supplier_month(spark, folder)))
+    return _with_one_off(tr.deaccumulate_ytd(panels.as_ytd(panels.supplier_month(spark, folder))))
+
+
+def _with_one_off(flows):
     off = (F.col("serie_id") == "7") & panels.is_month(1997, 12)
     return flows.withColumn("flujo", F.col("flujo") + F.when(off, 1.5).otherwise(0.0))
 
@@ -219,7 +222,7 @@ _REPORT = f"""
 
 
 def _sick_report(spark, folder):
-    panel = panels.supplier_month(spark, folder)
+    panel = panels.published(panels.supplier_month(spark, folder), "panel")
 
     def cell(series, year, month):
         return (F.col("serie_id") == series) & panels.is_month(year, month)
@@ -234,12 +237,13 @@ def _sick_report(spark, folder):
         .withColumn("valor", spoiled)
         .unionByName(panel.where(cell("4", 1998, 4)))
     )
+    sick = panels.published(sick, "sick_panel")
     dim = panels.table(spark, folder, "supplier").where(F.col("s_suppkey") % 10 != 9)
     return quality.quality_report(
         sick,
         fact=sick,
         dim_serie=dim.select(F.col("s_suppkey").cast("string").alias("serie_id")),
-        flows=_supplier_flows(spark, folder),
+        flows=_with_one_off(tr.deaccumulate_ytd(panels.as_ytd(panel))),
     )
 
 
@@ -388,7 +392,8 @@ _VERDICT = f"""
 @query(_VERDICT)
 def warehouse_verdict(spark, folder):
     """Rebuild from the star and verify: all series published year to date."""
-    observed = panels.nation_month(spark, folder)
+    observed = panels.published(panels.nation_month(spark, folder), "observed")
     dim = reshape.build_dim_serie(panels.nation_metadata(spark, folder))
-    built: Warehouse = build_warehouse(dim, observed, panels.as_ytd(observed))
+    raw = panels.as_ytd(observed)
+    built: Warehouse = build_warehouse(dim, observed, raw, folder=panels.scratch(spark), prefix="w_")
     return verify(built, observed, series=25, tol=1e-6)

@@ -6,7 +6,6 @@ through the loaders, so their size follows the tables.
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -25,18 +24,13 @@ from seriata.plans.registry import (
     query,
 )
 from seriata.plans.transform_queries import _GRID, _MM3, _YOY, _monthly_wide
-from seriata.session import shared_folder
 from seriata.sources import delimited, sheets, tables
 
 
-def _scratch(spark):
-    return f"{shared_folder(spark)}/seriata/{uuid.uuid4().hex}"
-
-
 @query(_GRID)
 def csv_panel(spark, folder):
     """Wide CSV with an empty cell; columns by header, one scan, melted."""
-    path = _scratch(spark)
+    path = panels.scratch(spark)
     _monthly_wide(spark, folder).write.option("header", True).csv(path)
     return reshape.melt_panel(delimited.read_panel(spark, path).drop("archivo", "orden"))
 
@@ -45,7 +39,7 @@ def csv_panel(spark, folder):
     SELECT serie_id, fecha, valor FROM ({_GRID}) g WHERE serie_id NOT IN ('1-URGENT', '2-HIGH')""")
 def csv_observations(spark, folder):
     """Load of wide panels into the fact: one of the two files is absent."""
-    path = _scratch(spark)
+    path = panels.scratch(spark)
     _monthly_wide(spark, folder).write.option("header", True).csv(path)
     urgent = F.col("serie_id").isin("1-URGENT", "2-HIGH")
     names = panels.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("serie_id"))
@@ -61,7 +55,7 @@ def csv_observations(spark, folder):
 
 @query(NATION_SERIES)
 def csv_metadata(spark, folder):
-    path = _scratch(spark)
+    path = panels.scratch(spark)
     panels.nation_metadata(spark, folder).write.option("header", True).csv(path)
     return delimited.load_dim_serie(spark, path)
 
@@ -71,7 +65,7 @@ def csv_metadata(spark, folder):
     WHERE fecha BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND DAY(fecha) <> 13""")
 def csv_daily(spark, folder):
     """Two-column CSVs, one folder per series, with other headers and empty values."""
-    path = _scratch(spark)
+    path = panels.scratch(spark)
     daily = panels.priority_day(spark, folder).select(
         "serie_id",
         F.col("fecha").alias("observation_date"),
@@ -122,10 +116,7 @@ def declared_source(spark, folder):
     WHERE fecha >= DATE '1998-01-01' AND fecha < DATE '1999-01-01'""")
 def published_table(spark, folder):
     """Written clustered by series and date, replaced, read back by a pushable range."""
-    path = _scratch(spark)
-    panel = panels.supplier_month(spark, folder)
-    layout = {"layer": "marts", "path": path, "cluster_by": ("serie_id", "fecha")}
-    written = tables.publish(panel, "supplier_month", **layout)
+    written = panels.published(panels.supplier_month(spark, folder), "supplier_month")
     return written.where(dates.in_year(F.col("fecha"), 1998))
 
 
@@ -133,7 +124,7 @@ def published_table(spark, folder):
     UNION ALL SELECT serie_id, fecha, valor FROM ({SUPPLIER_MONTH}) q""")
 def appended_table(spark, folder):
     """A typed empty table, then two batches appended."""
-    path = _scratch(spark)
+    path = panels.scratch(spark)
     schema = T.StructType.fromDDL("serie_id string, fecha date, valor double")
     tables.publish(tables.empty(spark, schema), "facts", kind="table", path=path)
     tables.publish(panels.priority_month(spark, folder), "facts", kind="table", path=path, mode="append")
@@ -153,8 +144,7 @@ def staging_view(spark, folder):
     JOIN (SELECT serie_id, fecha, {_MM3} AS mm3 FROM ({SUPPLIER_MONTH}) p) m USING (serie_id, fecha)""")
 def marts_from_table(spark, folder):
     """The derived relations read from a published panel, in one exchange."""
-    layout = {"layer": "marts", "path": _scratch(spark), "cluster_by": ("serie_id", "fecha")}
-    panel = tables.publish(panels.supplier_month(spark, folder), "mensual", **layout)
+    panel = panels.published(panels.supplier_month(spark, folder), "mensual")
     return moving_average(yoy_change(panel))
 
 
