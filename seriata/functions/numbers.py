@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,13 +22,26 @@ def round_at(value: Column, digits: int) -> Column:
     """Round half away from zero on the scaled double.
 
     ``F.round`` goes through the decimal text of the double and so rounds 1.005
-    to 1.01; scaling first gives 1.0, as the published results have it.  The
-    sign of a negative that rounds to zero is kept.
+    to 1.01; scaling first gives 1.0, as the published results have it.  Plain
+    double arithmetic: ``rint`` rounds a half to even, so halves are moved by
+    hand.  The sign of a negative that rounds to zero is kept.
     """
     scale = F.lit(float(10**digits))
     scaled = value * scale
-    whole = F.when(scaled < 0, -F.round(-scaled, 0)).otherwise(F.round(scaled, 0))
-    return whole / scale
+    nearest = F.rint(scaled)
+    is_half = F.abs(scaled - nearest) == 0.5
+    return F.when(is_half, scaled + F.signum(scaled) * 0.5).otherwise(nearest) / scale
+
+
+def exact_sum(amount: Column, digits: int = 2) -> Column:
+    """Sum of amounts of at most ``digits`` decimals, the same in any row order.
+
+    Summed as whole units in a BIGINT and turned into a DOUBLE once per group;
+    an overflow fails the query.
+    """
+    units = F.sum(F.rint(amount * float(10**digits)).cast("bigint"))
+    step = F.lit(Decimal(1).scaleb(-digits))
+    return (units.cast("decimal(20,0)") * step).cast("double")
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -41,5 +56,6 @@ def number_text(value: Column, digits: int) -> Column:
     """
     rounded = round_at(value, digits)
     plain = rounded.cast(f"decimal(38,{digits})").cast("string")
-    shortest = F.regexp_replace(plain, r"(\.\d+?)0+$", "$1")
+    short = F.rtrim(plain, F.lit("0"))
+    shortest = F.when(short.endswith("."), F.concat(short, F.lit("0"))).otherwise(short)
     return F.when((rounded == 0) & (value < 0), F.lit("-0.0")).otherwise(shortest)

@@ -1,8 +1,8 @@
 """Panels derived from the given tables; the registered queries run on them.
 
 Each panel is aggregated before anything else, so a supplier or customer with
-a third of all rows is combined inside the map tasks.  Money is summed as
-DECIMAL and turned into DOUBLE once.
+a third of all rows is combined inside the map tasks.  Money has two decimals
+and is summed exactly.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriata.functions.dates import month_start, quarter_start
-from seriata.functions.numbers import round_at
+from seriata.functions.numbers import exact_sum, round_at
 from seriata.operators.transforms import accumulate_ytd
 from seriata.session import shared_folder
 from seriata.sources.tables import Sources, publish
@@ -30,7 +30,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def money(amount: str) -> Column:
-    return F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("valor")
+    return exact_sum(F.col(amount)).alias("valor")
 
 
 def mean_money(amount: str) -> Column:
