@@ -20,16 +20,18 @@ def restrict(
     *,
     how: str = "left_semi",
     spread: Sequence[str] = ("fecha",),
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Keep (``left_semi``) or leave out (``left_anti``) the facts of ``names``.
 
-    Counts the names (a job over them alone).  Up to ``broadcast_rows`` they
-    are broadcast; beyond that both sides are salted, so that the facts of one
-    name spread over ``SALTS`` tasks by the hash of the ``spread`` columns.
+    Counts the names (a job over them alone).  Up to ``broadcast_rows``
+    (``BROADCAST_ROWS``) they are broadcast; beyond that both sides are salted,
+    so that the facts of one name spread over ``SALTS`` tasks by the hash of
+    the ``spread`` columns.
     """
     only = names.select(key)
-    if only.count() <= broadcast_rows:
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    if only.count() <= limit:
         return fact.join(F.broadcast(only), key, how)
     salted = fact.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = only.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

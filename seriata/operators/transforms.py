@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from seriata.functions.dates import month_start, quarter_start
 from seriata.functions.numbers import ratio, round_at
 from seriata.operators.joins import restrict
-from seriata.operators.windows import with_lookback
+from seriata.operators.windows import with_lookback, with_running_total
 
 
 def deaccumulate_ytd(
-    df: DataFrame, *, series: str = "serie_id", date: str = "fecha", value: str = "valor"
+    df: DataFrame,
+    *,
+    series: str = "serie_id",
+    date: str = "fecha",
+    value: str = "valor",
+    slices: int | str | None = None,
 ) -> DataFrame:
     """Year-to-date totals to flows of the month.
 
@@ -25,14 +30,20 @@ def deaccumulate_ytd(
     of a year is its own flow.  Rows are ordered by the published date and
     dated at month start afterwards.
     """
-    year = Window.partitionBy(series, F.year(date)).orderBy(date)
-    before = F.coalesce(F.lag(value).over(year), F.lit(0.0))
-    return df.select(
+    flows = with_lookback(
+        df.withColumn("__year", F.year(date)),
+        lambda w: {"flujo": F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0.0))},
+        series=[series, "__year"],
+        order=[date],
+        back=1,
+        slices=slices,
+    )
+    return flows.select(
         series,
-        date,
+        month_start(F.col(date)).alias(date),
         F.col(value).alias("acumulado"),
-        (F.col(value) - before).alias("flujo"),
-    ).withColumn(date, month_start(F.col(date)))
+        "flujo",
+    )
 
 
 def accumulate_ytd(
@@ -42,10 +53,18 @@ def accumulate_ytd(
     date: str = "fecha",
     value: str = "valor",
     name: str = "acumulado",
+    slices: int | str | None = None,
 ) -> DataFrame:
     """Running total within each series and year; rows of one date count together."""
-    year = Window.partitionBy(series, F.year(date)).orderBy(date)
-    return df.withColumn(name, F.sum(value).over(year))
+    totals = with_running_total(
+        df.withColumn("__year", F.year(date)),
+        value,
+        name,
+        group=[series, "__year"],
+        order=[date],
+        slices=slices,
+    )
+    return totals.drop("__year")
 
 
 def unified_monthly(

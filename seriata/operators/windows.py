@@ -25,12 +25,15 @@ _BEFORE = "__before"
 _FIRST = "__first"
 
 
-def slices_needed(df: DataFrame, series: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> int:
+def slices_needed(
+    df: DataFrame, series: Sequence[str], rows_per_slice: int | None = None
+) -> int:
     """How many slices the rows ask for; 0 if every series fits one task.
 
     Runs a job over the series columns alone: counts per series are combined
     before the shuffle and only two numbers reach the driver.
     """
+    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     longest, rows = (
         df.groupBy(*series).count().agg(F.max("count"), F.sum("count")).first()
     )
@@ -68,13 +71,7 @@ def with_lookback(
         out = df.withColumns(build(window))
         return out.withColumn(SLICE, F.lit(0)) if keep_slice else out
 
-    # The range exchange balances rows whatever the series sizes are.  Its
-    # bounds come from a sample, so the slice numbers are written down once.
-    cut = settle(
-        df.repartitionByRange(int(slices), *series, *order).withColumn(
-            SLICE, F.spark_partition_id()
-        )
-    )
+    cut = _cut(df, series, order, int(slices))
     before = _rows_before_each_slice(cut, series, order, back)
     window = Window.partitionBy(*series, SLICE).orderBy(*order)
     out = (
@@ -87,6 +84,55 @@ def with_lookback(
     return out if keep_slice else out.drop(SLICE)
 
 
+def with_running_total(
+    df: DataFrame,
+    value: str,
+    name: str,
+    *,
+    group: Sequence[str],
+    order: Sequence[str],
+    slices: int | str | None = None,
+) -> DataFrame:
+    """Add the running total of ``value`` in each group; equal ``order`` counts together.
+
+    Cut into slices, each row's total is that of its own slice plus one total
+    per earlier slice of the group: the same number up to the order in which
+    doubles are added.
+    """
+    if slices == "auto":
+        slices = slices_needed(df, group)
+    if not slices:
+        window = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumn(name, F.sum(value).over(window))
+
+    cut = _cut(df, group, order, int(slices))
+    totals = cut.groupBy(*group, SLICE).agg(F.sum(value).alias("__total"))
+    earlier = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *[F.col(c).alias(f"__{c}") for c in (*group, SLICE)],
+        F.sum("__total").over(earlier).alias("__carried"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*group, SLICE)]
+    within = F.sum(value).over(Window.partitionBy(*group, SLICE).orderBy(*order))
+    carry = F.coalesce(F.col("__carried"), F.lit(0.0))
+    return (
+        cut.withColumn(name, within)
+        .join(carried, same)
+        .withColumn(name, F.coalesce(F.col(name) + carry, F.col("__carried")))
+        .select(*df.columns, name)
+    )
+
+
+def _cut(df: DataFrame, series: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
+    """Rows in near-equal slices by series and order, numbered in ``SLICE``.
+
+    A range exchange balances rows whatever the series sizes are.  Its bounds
+    come from a sample, so the slice numbers are written down once.
+    """
+    ranged = df.repartitionByRange(slices, *series, *order)
+    return settle(ranged.withColumn(SLICE, F.spark_partition_id()))
+
+
 def _rows_before_each_slice(
     cut: DataFrame, series: Sequence[str], order: Sequence[str], back: int
 ) -> DataFrame:

@@ -237,7 +237,6 @@ def _sick_report(spark, folder):
         .withColumn("valor", spoiled)
         .unionByName(panel.where(cell("4", 1998, 4)))
     )
-    sick = panels.published(sick, "sick_panel")
     dim = panels.table(spark, folder, "supplier").where(F.col("s_suppkey") % 10 != 9)
     return quality.quality_report(
         sick,

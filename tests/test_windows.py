@@ -109,4 +109,28 @@ def test_sliced_operators_equal_plain_ones(spark):
 def test_auto_cuts_by_measure(spark, monkeypatch, size):
     monkeypatch.setattr(windows, "ROWS_PER_SLICE", size)
     data = [("a", d, float(d)) for d in range(20)]
+    assert bool(windows.slices_needed(spark.createDataFrame(data, SCHEMA), ["serie_id"])) == (size < 20)
     _check(spark, data, 2, "auto")
+
+
+def test_running_total_over_slices(spark):
+    rng = random.Random(9)
+    data = [("hot", d // 2, float(rng.randrange(100))) for d in range(300)]
+    data += [(None, d, None if d % 3 == 0 else 2.0) for d in range(20)] + [("b", 1, None), ("b", 2, 1.0)]
+    df = spark.createDataFrame(data, SCHEMA)
+    options = {"group": ["serie_id"], "order": ["fecha"]}
+    plain = windows.with_running_total(df, "valor", "t", **options)
+    cut = windows.with_running_total(df, "valor", "t", slices=9, **options)
+    assert plain.columns == cut.columns
+    assert rows(plain) == rows(cut)
+
+
+def test_sliced_year_to_date(spark):
+    rng = random.Random(7)
+    data = [("hot" if i % 3 else f"s{i % 4}", f"{2019 + i % 2}-{1 + i % 12:02d}-{1 + i % 28:02d}", float(rng.randrange(50))) for i in range(400)]
+    df = spark.createDataFrame(data, "serie_id string, d string, valor double").groupBy(
+        "serie_id", F.col("d").cast("date").alias("fecha")
+    ).agg(F.sum("valor").alias("valor"))
+    for op in (transforms.accumulate_ytd, transforms.deaccumulate_ytd):
+        assert op(df).columns == op(df, slices=7).columns
+        assert rows(op(df)) == rows(op(df, slices=7))
