@@ -126,18 +126,16 @@ def find_jumps(
         slices=slices,
         keep_slice=True,
     )
-    mean, spread = F.avg("cambio"), F.stddev_samp("cambio")
+    whole = Window.partitionBy("serie_id")
     if slices:
-        # Combined per series, then handed to each of its slices: the rows are
-        # joined by series and slice, so no task holds a whole series.
-        by_slice = changes.groupBy("serie_id", SLICE).agg(F.count("cambio").alias("n"))
-        typical = changes.groupBy("serie_id").agg(mean.alias("__media"), spread.alias("__de"))
-        handed = by_slice.join(typical, "serie_id").drop("n")
-        measured = changes.join(handed, ["serie_id", SLICE])
+        typical = _typical_by_slice(changes)
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("serie_id", SLICE)]
+        measured = changes.join(typical, same).drop("__serie_id", f"__{SLICE}")
     else:
         # The changes already lie together by series: no further shuffle.
-        whole = Window.partitionBy("serie_id")
-        measured = changes.withColumns({"__media": mean.over(whole), "__de": spread.over(whole)})
+        measured = changes.withColumns(
+            {"__media": F.avg("cambio").over(whole), "__de": F.stddev_samp("cambio").over(whole)}
+        )
     away = F.abs(F.col("cambio") - F.col("__media"))
     size = F.when(F.col("__de") > 0, away / F.col("__de"))
     return (
@@ -147,6 +145,33 @@ def find_jumps(
     )
 
 
+def _typical_by_slice(changes: DataFrame) -> DataFrame:
+    """Mean and deviation of each series' changes, one row per series and slice.
+
+    Each slice gives its count, mean and sum of squared deviations; these few
+    rows are combined per series.  Rows then meet them by series and slice, so
+    no task holds a whole series.
+    """
+    by_slice = changes.groupBy("serie_id", SLICE).agg(
+        F.count("cambio").alias("n"),
+        F.avg("cambio").alias("m"),
+        (F.var_pop("cambio") * F.count("cambio")).alias("s"),
+    )
+    whole = Window.partitionBy("serie_id")
+    n, m, s, mean = F.col("n"), F.col("m"), F.col("s"), F.col("__media")
+    return (
+        by_slice.withColumn("__n", F.sum(n).over(whole))
+        .withColumn("__media", F.try_divide(F.sum(n * m).over(whole), F.col("__n")))
+        .withColumn("__s", F.sum(s + n * (m - mean) * (m - mean)).over(whole))
+        .select(
+            F.col("serie_id").alias("__serie_id"),
+            F.col(SLICE).alias(f"__{SLICE}"),
+            "__media",
+            F.when(F.col("__n") > 1, F.sqrt(F.col("__s") / (F.col("__n") - 1))).alias("__de"),
+        )
+    )
+
+
 def check_jumps(df: DataFrame, **options) -> DataFrame:
     text = F.concat(
         F.lit("cambio "),

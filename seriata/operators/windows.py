@@ -23,6 +23,7 @@ MAX_SLICES = 20_000
 SLICE = "__slice"
 _BEFORE = "__before"
 _FIRST = "__first"
+_PLACE = "__place"
 
 
 def slices_needed(
@@ -79,7 +80,7 @@ def with_lookback(
         .unionByName(before.withColumn(_BEFORE, F.lit(True)))
         .withColumns(build(window))
         .where(~F.col(_BEFORE))
-        .drop(_BEFORE)
+        .drop(_BEFORE, _PLACE)
     )
     return out if keep_slice else out.drop(SLICE)
 
@@ -127,10 +128,12 @@ def _cut(df: DataFrame, series: Sequence[str], order: Sequence[str], slices: int
     """Rows in near-equal slices by series and order, numbered in ``SLICE``.
 
     A range exchange balances rows whatever the series sizes are.  Its bounds
-    come from a sample, so the slice numbers are written down once.
+    come from a sample, so slice and place are written down once.
     """
-    ranged = df.repartitionByRange(slices, *series, *order)
-    return settle(ranged.withColumn(SLICE, F.spark_partition_id()))
+    ranged = df.repartitionByRange(slices, *series, *order).sortWithinPartitions(*series, *order)
+    return settle(
+        ranged.withColumns({SLICE: F.spark_partition_id(), _PLACE: F.monotonically_increasing_id()})
+    )
 
 
 def _rows_before_each_slice(
@@ -138,27 +141,25 @@ def _rows_before_each_slice(
 ) -> DataFrame:
     """For every slice but a series' first: the ``back`` rows just before it.
 
-    The n slices have n - 1 borders, so fewer than n series span several
-    slices; their names are broadcast.  The last rows of their slices number
+    The n slices have n - 1 borders, so at most 2 * (n - 1) parts belong to
+    series that go over a border; these are broadcast.  Their last rows number
     at most 2 * n * back, whatever the size of the data.
     """
-    spanning = (
-        cut.groupBy(*series)
-        .agg(F.min(SLICE).alias("__lo"), F.max(SLICE).alias("__hi"))
-        .where(F.col("__lo") < F.col("__hi"))
-        .select(*[F.col(c).alias(f"__{c}") for c in series])
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in series]
-    last = Window.partitionBy(*series, SLICE).orderBy(*[F.col(c).desc() for c in order])
-    ends = (
-        cut.join(F.broadcast(spanning), same, "left_semi")
-        .withColumn("__back", F.row_number().over(last))
-        .where(F.col("__back") <= back)
-        .drop("__back")
+    parts = Window.partitionBy(*series)
+    over_border = (
+        cut.groupBy(*series, SLICE)
+        .agg(F.max(_PLACE).alias("__last"))
+        .withColumn("__parts", F.count(F.lit(1)).over(parts))
+        .where(F.col("__parts") > 1)
+        .select(*[F.col(c).alias(f"__{c}") for c in (*series, SLICE)], "__last")
     )
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*series, SLICE)]
+    among_last = F.col(_PLACE) > F.col("__last") - back
+    ends = cut.join(F.broadcast(over_border), [*same, among_last], "left_semi")
+
     columns = [c for c in cut.columns if c != SLICE]
-    whole = Window.partitionBy(*series).orderBy(*order)
-    own = Window.partitionBy(*series, SLICE).orderBy(*order)
+    whole = Window.partitionBy(*series).orderBy(SLICE, _PLACE)
+    own = Window.partitionBy(*series, SLICE).orderBy(_PLACE)
     return (
         ends.withColumn(
             _BEFORE, F.collect_list(F.struct(*columns)).over(whole.rowsBetween(-back, -1))

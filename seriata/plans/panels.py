@@ -7,7 +7,6 @@ and is summed exactly.
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from seriata.functions.dates import month_start, quarter_start
 from seriata.functions.numbers import exact_sum, round_at
 from seriata.operators.transforms import accumulate_ytd
-from seriata.session import shared_folder
+from seriata.session import new_folder
 from seriata.sources.tables import Sources, publish
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -113,14 +112,9 @@ def as_ytd(panel: DataFrame) -> DataFrame:
     return totals
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_folder(spark)}/seriata/{uuid.uuid4().hex}"
-
-
 def published(panel: DataFrame, name: str) -> DataFrame:
     """The panel written as a mart, for what reads it more than once."""
-    path = scratch(panel.sparkSession)
+    path = new_folder(panel.sparkSession)
     return publish(panel, name, layer="marts", path=path, cluster_by=("serie_id", "fecha"))
 
 

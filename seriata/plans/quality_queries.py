@@ -18,6 +18,7 @@ from seriata.plans.registry import (
     half,
     query,
 )
+from seriata.session import new_folder
 from seriata.plans.warehouse import Warehouse, build_warehouse, verify
 
 
@@ -394,5 +395,5 @@ def warehouse_verdict(spark, folder):
     observed = panels.published(panels.nation_month(spark, folder), "observed")
     dim = reshape.build_dim_serie(panels.nation_metadata(spark, folder))
     raw = panels.as_ytd(observed)
-    built: Warehouse = build_warehouse(dim, observed, raw, folder=panels.scratch(spark), prefix="w_")
+    built: Warehouse = build_warehouse(dim, observed, raw, folder=new_folder(spark), prefix="w_")
     return verify(built, observed, series=25, tol=1e-6)

@@ -24,13 +24,14 @@ from seriata.plans.registry import (
     query,
 )
 from seriata.plans.transform_queries import _GRID, _MM3, _YOY, _monthly_wide
+from seriata.session import new_folder
 from seriata.sources import delimited, sheets, tables
 
 
 @query(_GRID)
 def csv_panel(spark, folder):
     """Wide CSV with an empty cell; columns by header, one scan, melted."""
-    path = panels.scratch(spark)
+    path = new_folder(spark)
     _monthly_wide(spark, folder).write.option("header", True).csv(path)
     return reshape.melt_panel(delimited.read_panel(spark, path).drop("archivo", "orden"))
 
@@ -39,7 +40,7 @@ def csv_panel(spark, folder):
     SELECT serie_id, fecha, valor FROM ({_GRID}) g WHERE serie_id NOT IN ('1-URGENT', '2-HIGH')""")
 def csv_observations(spark, folder):
     """Load of wide panels into the fact: one of the two files is absent."""
-    path = panels.scratch(spark)
+    path = new_folder(spark)
     _monthly_wide(spark, folder).write.option("header", True).csv(path)
     urgent = F.col("serie_id").isin("1-URGENT", "2-HIGH")
     names = panels.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("serie_id"))
@@ -55,7 +56,7 @@ def csv_observations(spark, folder):
 
 @query(NATION_SERIES)
 def csv_metadata(spark, folder):
-    path = panels.scratch(spark)
+    path = new_folder(spark)
     panels.nation_metadata(spark, folder).write.option("header", True).csv(path)
     return delimited.load_dim_serie(spark, path)
 
@@ -65,7 +66,7 @@ def csv_metadata(spark, folder):
     WHERE fecha BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND DAY(fecha) <> 13""")
 def csv_daily(spark, folder):
     """Two-column CSVs, one folder per series, with other headers and empty values."""
-    path = panels.scratch(spark)
+    path = new_folder(spark)
     daily = panels.priority_day(spark, folder).select(
         "serie_id",
         F.col("fecha").alias("observation_date"),
@@ -124,7 +125,7 @@ def published_table(spark, folder):
     UNION ALL SELECT serie_id, fecha, valor FROM ({SUPPLIER_MONTH}) q""")
 def appended_table(spark, folder):
     """A typed empty table, then two batches appended."""
-    path = panels.scratch(spark)
+    path = new_folder(spark)
     schema = T.StructType.fromDDL("serie_id string, fecha date, valor double")
     tables.publish(tables.empty(spark, schema), "facts", kind="table", path=path)
     tables.publish(panels.priority_month(spark, folder), "facts", kind="table", path=path, mode="append")

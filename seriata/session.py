@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def get_session(app: str = "seriata", cpus: str = "*") -> SparkSession:
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -40,14 +42,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder name below the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/seriata/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows.
+    """Write ``df`` as a table in the shared folder and go on from the written rows.
 
     Runs a job.  Used where later steps must all see the same partition
-    numbers, whatever executors are lost in between.
+    numbers, whatever executors are lost in between; unlike a checkpoint the
+    table can be read by column.
     """
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
