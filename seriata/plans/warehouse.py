@@ -1,26 +1,92 @@
-"""The warehouse end to end: stage, transform, check, verify."""
+"""The warehouse end to end: load, stage, transform, check, verify."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriata.operators import quality
 from seriata.operators.constraints import unique
-from seriata.operators.reconcile import reconcile_inner
-from seriata.operators.reshape import concat
+from seriata.operators.reconcile import reconcile, reconcile_inner
+from seriata.operators.reshape import build_dim_fecha, concat, melt_panel
 from seriata.operators.staging import stage_observations, stage_series
 from seriata.operators.transforms import (
+    carried_monthly,
     deaccumulate_ytd,
     moving_average,
+    quarterly_from_finest_grain,
     unified_monthly,
     yoy_change,
 )
+from seriata.sources import delimited, sheets
 from seriata.sources.tables import publish
 
 
+@dataclass(frozen=True)
+class Files:
+    """Where the inputs are, by series or panel; all but the metadata may be absent.
+
+    ``panels`` maps a tag to a wide CSV; ``routes`` gives the frequency a tag
+    supplies, ``otherwise`` the tag of every other series.  ``daily`` maps a
+    series to its CSV, ``ytd`` to its workbook and value column.
+    """
+
+    metadata: str
+    panels: Mapping[str, str]
+    routes: Mapping[str, str]
+    otherwise: str
+    daily: Mapping[str, str] = field(default_factory=dict)
+    ytd: Mapping[str, tuple[str, int]] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Star:
+    dim_serie: DataFrame
+    dim_fecha: DataFrame
+    observations: DataFrame
+    daily: DataFrame
+    ytd_raw: DataFrame
+
+
+def load_star(spark: SparkSession, files: Files) -> Star:
+    """Read the inputs into the star; nothing is aggregated or altered."""
+    dim_serie = delimited.load_dim_serie(spark, files.metadata)
+    observations = delimited.load_observations(
+        spark, files.panels, dim_serie, routes=files.routes, otherwise=files.otherwise
+    )
+    return Star(
+        dim_serie=dim_serie,
+        dim_fecha=build_dim_fecha(observations),
+        observations=observations,
+        daily=delimited.load_daily(spark, files.daily),
+        ytd_raw=sheets.load_ytd(spark, files.ytd),
+    )
+
+
+def reconcile_panels(
+    star: Star, monthly: DataFrame, quarterly: DataFrame, *, carried: str, tol: float = 1e-9
+) -> DataFrame:
+    """The star against the wide panels it came from, series by series.
+
+    The quarterly series ``carried`` is shown month by month for the monthly
+    panel; quarters are averaged from days where a series has days.
+    """
+    by_month = carried_monthly(star.observations, star.dim_fecha, series=carried)
+    by_quarter = quarterly_from_finest_grain(star.daily, star.observations)
+    return concat(
+        [
+            reconcile(melt_panel(panel), actual, tol=tol).withColumn("panel", F.lit(name))
+            for name, panel, actual in (
+                ("mensual", monthly, by_month),
+                ("trimestral", quarterly, by_quarter),
+            )
+        ]
+    )
+
+
 @dataclass(frozen=True)
 class Warehouse:
     dim_serie: DataFrame

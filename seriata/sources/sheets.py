@@ -8,7 +8,6 @@ task per file is bounded.
 
 from __future__ import annotations
 
-import csv
 import io
 import zipfile
 from collections.abc import Iterator, Mapping
@@ -32,6 +31,7 @@ SHEET_SCHEMA = "archivo string, row_idx int, cells array<string>"
 
 _ROWS_PER_BATCH = 10_000
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 # The number formats that a workbook uses for dates without naming them.
 _DATE_FORMATS = {14, 15, 16, 17, 22}
 
@@ -93,7 +93,7 @@ def load_ytd(
 
 
 def read_sheets(spark: SparkSession, *paths: str) -> DataFrame:
-    """First sheet of each workbook (.xlsx), or each .csv, as numbered rows of text."""
+    """First sheet of each workbook (.xlsx) as numbered rows of text."""
     files = spark.read.format("binaryFile").load(list(paths))
     return files.select("path", "content").mapInPandas(_rows_of_files, SHEET_SCHEMA)
 
@@ -102,9 +102,8 @@ def _rows_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             name = path.split("/")[-1]
-            rows = _xlsx_rows(content) if name.endswith(".xlsx") else _csv_rows(content)
             part: list[tuple[str, int, list[str | None]]] = []
-            for i, cells in enumerate(rows):
+            for i, cells in enumerate(_xlsx_rows(content)):
                 part.append((name, i, cells))
                 if len(part) == _ROWS_PER_BATCH:
                     yield pd.DataFrame(part, columns=["archivo", "row_idx", "cells"])
@@ -113,11 +112,6 @@ def _rows_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(part, columns=["archivo", "row_idx", "cells"])
 
 
-def _csv_rows(content: bytes) -> Iterator[list[str | None]]:
-    for row in csv.reader(io.StringIO(content.decode("utf-8-sig"))):
-        yield [cell or None for cell in row]
-
-
 def _xlsx_rows(content: bytes) -> Iterator[list[str | None]]:
     """Cells of the first sheet as text; cells with a date format as ISO dates."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -127,9 +121,8 @@ def _xlsx_rows(content: bytes) -> Iterator[list[str | None]]:
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in root]
         dates = _date_styles(book.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
-        sheet = min((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
         due = 1
-        with book.open(sheet) as xml:
+        with book.open(_first_sheet(book)) as xml:
             for _, row in ElementTree.iterparse(xml):
                 if row.tag != f"{_NS}row":
                     continue
@@ -146,6 +139,14 @@ def _xlsx_rows(content: bytes) -> Iterator[list[str | None]]:
                 yield cells
 
 
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """Part that holds the sheet the workbook lists first."""
+    listed = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}sheets/{_NS}sheet")
+    parts = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    target = next(p.get("Target") for p in parts if p.get("Id") == listed.get(f"{_RELATION}id"))
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
 def _date_styles(xml: bytes) -> set[int]:
     root = ElementTree.fromstring(xml)
     named = {

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zipfile
+from datetime import date
 from pathlib import Path
 
 import pytest
@@ -108,8 +109,16 @@ def _xlsx(path: Path) -> str:
     styles = f"""<styleSheet {_MAIN}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/></numFmts>
       <cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>"""
     shared = f"<sst {_MAIN}><si><t>Balance</t></si><si><r><t>To</t></r><r><t>tal</t></r></si><si><t>Fuente</t></si></sst>"
+    relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    listed = f"""<workbook {_MAIN} xmlns:r="{relation}"><sheets>
+      <sheet name="Cuadro" sheetId="9" r:id="rId2"/><sheet name="Notas" sheetId="1" r:id="rId1"/></sheets></workbook>"""
+    parts = """<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/>
+      <Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>"""
     with zipfile.ZipFile(path, "w") as book:
-        book.writestr("xl/worksheets/sheet1.xml", sheet)
+        book.writestr("xl/workbook.xml", listed)
+        book.writestr("xl/_rels/workbook.xml.rels", parts)
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {_MAIN}><sheetData/></worksheet>")
+        book.writestr("xl/worksheets/sheet2.xml", sheet)
         book.writestr("xl/styles.xml", styles)
         book.writestr("xl/sharedStrings.xml", shared)
     return str(path)
@@ -131,11 +140,13 @@ def test_workbook_cells(spark, tmp_path):
 def test_year_to_date_files(spark, tmp_path):
     files = {
         "bal": (_xlsx(tmp_path / "balance.xlsx"), 2),
-        "exp": (_write(tmp_path / "exp.csv", 'Cuadro\n"Fecha",a\n2014-12-31,1\n2015-01-31,2\n'), 1),
+        "exp": (_xlsx(tmp_path / "exports.xlsx"), 1),
         "absent": (str(tmp_path / "absent.xlsx"), 1),
     }
     got = sheets.load_ytd(spark, files)
-    assert rows(got) == [("bal", "2020-01-31", 10.5), ("bal", "2020-02-29", 12.0), ("exp", "2015-01-31", 2.0)]
+    assert rows(got) == [("bal", "2020-01-31", 10.5), ("bal", "2020-02-29", 12.0), ("exp", "2020-02-29", 7.0)]
+    early = sheets.load_ytd(spark, files, period=(date(2020, 1, 1), date(2020, 1, 31)))
+    assert rows(early) == [("bal", "2020-01-31", 10.5)]
     assert sheets.load_ytd(spark, {"a": (str(tmp_path / "absent.xlsx"), 1)}).isEmpty()
 
 
