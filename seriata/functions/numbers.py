@@ -44,6 +44,14 @@ def exact_sum(amount: Column, digits: int = 2) -> Column:
     return (units.cast("decimal(20,0)") * step).cast("double")
 
 
+def mean_of(amount: Column, digits: int | None = None) -> Column:
+    """Mean; with ``digits`` the amounts have at most that many decimals, and
+    the mean is the same in any row order, to the last bit."""
+    if digits is None:
+        return F.avg(amount)
+    return F.try_divide(exact_sum(amount, digits), F.count(amount))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """Quotient, NULL where the divisor is zero or NULL."""
     return F.try_divide(part, whole)

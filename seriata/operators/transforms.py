@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriata.functions.dates import month_start, quarter_start
-from seriata.functions.numbers import ratio, round_at
+from seriata.functions.numbers import mean_of, ratio, round_at
 from seriata.operators.joins import restrict
 from seriata.operators.windows import with_lookback, with_running_total
 
@@ -166,24 +166,34 @@ def carried_monthly(
     return rest.unionByName(quarter_to_month_broadcast(observations, calendar, series=series))
 
 
-def quarterly_means(df: DataFrame) -> DataFrame:
+def quarterly_means(df: DataFrame, *, decimals: int | None = None) -> DataFrame:
+    """Quarterly means; ``decimals`` of the values, if known, makes them exact."""
     quarter = quarter_start(F.col("fecha")).alias("fecha")
-    return df.groupBy("serie_id", quarter).agg(F.avg("valor").alias("valor"))
+    return df.groupBy("serie_id", quarter).agg(mean_of(F.col("valor"), decimals).alias("valor"))
 
 
-def quarterly_from_finest_grain(daily: DataFrame, observations: DataFrame) -> DataFrame:
+def quarterly_from_finest_grain(
+    daily: DataFrame, observations: DataFrame, *, decimals: int | None = None
+) -> DataFrame:
     """Quarterly means from days where a series has days, else from its own grain.
 
     Both sides are averaged first; the anti join then sees quarters only.
     """
-    from_days = quarterly_means(daily)
-    from_own = quarterly_means(observations).join(
+    from_days = quarterly_means(daily, decimals=decimals)
+    from_own = quarterly_means(observations, decimals=decimals).join(
         daily.select("serie_id").distinct(), "serie_id", "left_anti"
     )
     return from_days.unionByName(from_own)
 
 
-def quarterly_mean_of_means(daily: DataFrame) -> DataFrame:
-    """Day to month to quarter: not the same number, kept to show the difference."""
+def quarterly_mean_of_means(daily: DataFrame, *, decimals: int | None = None) -> DataFrame:
+    """Day to month to quarter: not the same number, kept to show the difference.
+
+    With ``decimals`` the months are rounded to four decimals more.
+    """
     month = month_start(F.col("fecha")).alias("fecha")
-    return quarterly_means(daily.groupBy("serie_id", month).agg(F.avg("valor").alias("valor")))
+    months = daily.groupBy("serie_id", month).agg(mean_of(F.col("valor"), decimals).alias("valor"))
+    if decimals is None:
+        return quarterly_means(months)
+    rounded = months.withColumn("valor", round_at(F.col("valor"), decimals + 4))
+    return quarterly_means(rounded, decimals=decimals + 4)

@@ -30,6 +30,11 @@ def half(value: str, digits: int) -> str:
     return f"(ROUND(({value}) * 1e{digits}, 0) / 1e{digits})"
 
 
+def mean(value: str, digits: int) -> str:
+    """SQL text of the mean of values of ``digits`` decimals, exact in any row order."""
+    return f"(CAST(SUM(CAST({value} AS DECIMAL(18,{digits}))) AS DOUBLE) / COUNT({value}))"
+
+
 NATION_MONTH = """
     SELECT n_name AS serie_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS fecha,
            CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS valor

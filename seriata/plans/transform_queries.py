@@ -20,6 +20,7 @@ from seriata.plans.registry import (
     SUPPLIER_MONTH,
     YTD_RAW,
     half,
+    mean,
     query,
 )
 
@@ -138,39 +139,42 @@ _IS_DAILY = "serie_id IN ('1-URGENT', '2-HIGH')"
 _QUARTER = "CAST(date_trunc('quarter', fecha) AS DATE)"
 
 
+# Published days have two decimals; their means are then exact in any row order.
+_DAYS = f"SELECT serie_id, fecha, {half('valor', 2)} AS valor FROM ({PRIORITY_DAY}) d"
+
+
+def _days(spark, folder):
+    days = panels.priority_day(spark, folder)
+    return days.withColumn("valor", round_at(F.col("valor"), 2))
+
+
 @query(f"""
-    WITH daily AS (SELECT * FROM ({PRIORITY_DAY}) d WHERE {_IS_DAILY}),
+    WITH daily AS (SELECT * FROM ({_DAYS}) d WHERE {_IS_DAILY}),
     obs AS ({PRIORITY_MONTH})
-    SELECT serie_id, fecha, {half("valor", 4)} AS valor FROM (
-        SELECT serie_id, {_QUARTER} AS fecha, AVG(valor) AS valor FROM daily GROUP BY 1, 2
-        UNION ALL
-        SELECT serie_id, {_QUARTER} AS fecha, AVG(valor) AS valor FROM obs
-        WHERE serie_id NOT IN (SELECT DISTINCT serie_id FROM daily) GROUP BY 1, 2) u""")
+    SELECT serie_id, {_QUARTER} AS fecha, {mean("valor", 2)} AS valor FROM daily GROUP BY 1, 2
+    UNION ALL
+    SELECT serie_id, {_QUARTER} AS fecha, {mean("valor", 2)} AS valor FROM obs
+    WHERE serie_id NOT IN (SELECT DISTINCT serie_id FROM daily) GROUP BY 1, 2""")
 def quarterly_from_daily(spark, folder):
-    daily = panels.priority_day(spark, folder).where(F.col("serie_id").isin("1-URGENT", "2-HIGH"))
-    out = tr.quarterly_from_finest_grain(daily, panels.priority_month(spark, folder))
-    return out.withColumn("valor", round_at(F.col("valor"), 4))
+    daily = _days(spark, folder).where(F.col("serie_id").isin("1-URGENT", "2-HIGH"))
+    monthly = panels.priority_month(spark, folder)
+    return tr.quarterly_from_finest_grain(daily, monthly, decimals=2)
 
 
 @query(f"""
-    WITH daily AS ({PRIORITY_DAY}),
-    once AS (SELECT serie_id, {_QUARTER} AS fecha, AVG(valor) AS v FROM daily GROUP BY 1, 2),
-    months AS (SELECT serie_id, CAST(date_trunc('month', fecha) AS DATE) AS fecha, AVG(valor) AS valor
-               FROM daily GROUP BY 1, 2),
-    twice AS (SELECT serie_id, {_QUARTER} AS fecha, AVG(valor) AS v FROM months GROUP BY 1, 2)
-    SELECT serie_id, fecha, {half("once.v", 4)} AS una_vez, {half("twice.v", 4)} AS dos_veces
+    WITH daily AS ({_DAYS}),
+    once AS (SELECT serie_id, {_QUARTER} AS fecha, {mean("valor", 2)} AS v FROM daily GROUP BY 1, 2),
+    months AS (SELECT serie_id, CAST(date_trunc('month', fecha) AS DATE) AS fecha,
+                      {half(mean("valor", 2), 6)} AS valor FROM daily GROUP BY 1, 2),
+    twice AS (SELECT serie_id, {_QUARTER} AS fecha, {mean("valor", 6)} AS v FROM months GROUP BY 1, 2)
+    SELECT serie_id, fecha, once.v AS una_vez, twice.v AS dos_veces
     FROM once JOIN twice USING (serie_id, fecha)""")
 def avg_of_avg_gap(spark, folder):
     """Day to quarter against day to month to quarter: the numbers differ."""
-    daily = panels.priority_day(spark, folder)
-    once = tr.quarterly_means(daily).withColumnRenamed("valor", "v1")
-    twice = tr.quarterly_mean_of_means(daily).withColumnRenamed("valor", "v2")
-    return once.join(twice, ["serie_id", "fecha"]).select(
-        "serie_id",
-        "fecha",
-        round_at(F.col("v1"), 4).alias("una_vez"),
-        round_at(F.col("v2"), 4).alias("dos_veces"),
-    )
+    daily = _days(spark, folder)
+    once = tr.quarterly_means(daily, decimals=2).withColumnRenamed("valor", "una_vez")
+    twice = tr.quarterly_mean_of_means(daily, decimals=2).withColumnRenamed("valor", "dos_veces")
+    return once.join(twice, ["serie_id", "fecha"])
 
 
 # ---------------------------------------------------------------- reshaping

@@ -48,6 +48,19 @@ def test_number_text_equals_the_other_engine(spark, digits):
     assert [r[0] for r in got.collect()] == [r[0] for r in want]
 
 
+def test_exact_sums_and_means_do_not_depend_on_row_order(spark):
+    rng = random.Random(4)
+    values = [rng.randrange(-10**9, 10**9) / 100 for _ in range(4000)] + [None, 1e13, -1e13]
+    for _ in range(3):
+        rng.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(rng.randrange(2, 9))
+        total, mean = df.select(numbers.exact_sum(F.col("v")), numbers.mean_of(F.col("v"), 2)).first()
+        units = sum(round(v * 100) for v in values if v is not None)
+        assert total == units / 100 and mean == total / 4002
+    none = spark.createDataFrame([], "v double").select(numbers.mean_of(F.col("v"), 2), numbers.mean_of(F.col("v")))
+    assert tuple(none.first()) == (None, None)
+
+
 def test_no_value_is_null(spark):
     df = spark.createDataFrame([(float("nan"),), (None,), (1.5,)], "v double")
     assert [r[0] for r in df.select(numbers.no_nan(F.col("v"))).collect()] == [None, None, 1.5]
