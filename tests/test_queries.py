@@ -6,6 +6,8 @@ import __spark_entry__ as driver
 import pytest
 from compare import compare, duck
 
+from seriata.plans.registry import QUERIES
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -14,7 +16,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     sql = driver.oracle_sql()
     assert name in sql
