@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriata.llm.common import table
 from seriata.llm.simhash import near_duplicates
+from seriata.llm.urls import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,3 +30,41 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of ``documents``: three-word shingles, at most two bits apart."""
     return near_duplicates(table(spark, folder, "documents"))
+
+
+# The rules of the query.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+_RULE_ROWS = ", ".join(f"({h!r}, {p!r}, {v!r})" for h, p, v in URL_RULES)
+
+
+@query(f"""
+    WITH listed(h, p, v) AS (VALUES {_RULE_ROWS}),
+    cut AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+        FROM pages
+    ),
+    named AS (
+        SELECT page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+               translate(regexp_extract(rest, '^[^/?#]*'),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+        FROM cut
+    ),
+    found AS (
+        SELECT *, (SELECT max_by(h || p, length(h || p)) FROM listed
+                   WHERE ends_with('.' || host, '.' || h) AND starts_with(path, p)) AS rule
+        FROM named
+    )
+    SELECT page_id, host, path, rule,
+           coalesce((SELECT v FROM listed WHERE h || p = rule), 'allow') AS verdict
+    FROM found""")
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every URL of ``pages``."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
