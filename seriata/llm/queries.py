@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seriata.llm.common import table
+from seriata.llm.packing import pack, pieces
 from seriata.llm.simhash import near_duplicates
 from seriata.llm.urls import judge
 
@@ -32,6 +34,13 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return pack(pieces(table(spark, folder, "documents"), tokenizer))
+
+
 # The rules of the query.
 URL_RULES = [
     ("net", "/", "block"),
