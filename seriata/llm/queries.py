@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriata.llm.common import table
+from seriata.llm import language
+from seriata.llm.common import doc_crc, table
 from seriata.llm.packing import pack, pieces
 from seriata.llm.simhash import near_duplicates
 from seriata.llm.urls import judge
@@ -77,3 +79,12 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, folder, "pages").select("page_id", "url")
     return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those whose crc32 modulo 5 is not 0."""
+    docs = table(spark, folder, "documents")
+    model = language.train(docs.where(doc_crc() % 5 != 0))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (doc_crc() % 5 == 0).alias("held_out"), "lang_pred", "score")
