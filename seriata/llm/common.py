@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 << 20
@@ -40,3 +40,22 @@ def bounded_batches(spark: SparkSession) -> None:
 def doc_crc(doc_id: str = "doc_id"):
     """crc32 of the document's number written as text; 0 where there is none."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))
+
+
+def fixed_sample(df: DataFrame, by: str, n: int, *, key: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """A fixed choice of about ``n`` rows of each value of ``by``, by hash of ``key``.
+
+    Rows of one key count once and one of them is given.  The hashes alone are
+    ranked; texts are read again for the rows that are chosen.
+    """
+    hashed = df.withColumn("__hash", F.xxhash64(*key))
+    order = Window.partitionBy(by).orderBy("__hash")
+    last = (
+        hashed.select(by, "__hash")
+        .distinct()
+        .withColumn("__rank", F.row_number().over(order))
+        .where(F.col("__rank") <= n)
+        .groupBy(by)
+        .agg(F.max("__hash").alias("__last"))
+    )
+    return hashed.join(last, by).where("__hash <= __last").dropDuplicates([by, "__hash"]).select(*df.columns)

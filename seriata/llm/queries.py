@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriata.llm import language
+from seriata.llm import language, toxicity
 from seriata.llm.common import doc_crc, table
 from seriata.llm.packing import pack, pieces
 from seriata.llm.simhash import near_duplicates
@@ -36,6 +36,19 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from those whose crc32 modulo 4 is not 2."""
+    docs = table(spark, folder, "documents")
+    machine = toxicity.train(docs.where(doc_crc() % 4 != 2), table(spark, folder, "labels"))
+    return toxicity.score(docs, machine).select(
+        "doc_id",
+        (doc_crc() % 4 == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query()
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
