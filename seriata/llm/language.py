@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import by_batch
+from seriata.llm.common import by_batch, fixed_sample
 
 ORDER = 4
 SAMPLE_DOCS = 500  # documents a language is learned from, at most
@@ -148,15 +148,8 @@ class Coder:
 
 def sample_counts(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFrame:
     """``(lang, gram, n)`` over a fixed choice of ``docs(doc_id, text, lang)`` per language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    usable = F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS)
-    chosen = (
-        docs.where(usable)
-        .select("doc_id", "text", "lang")
-        .withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") <= docs_per_language)
-        .select("lang", "text")
-    )
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    chosen = fixed_sample(usable.select("doc_id", "text", "lang"), "lang", docs_per_language).select("lang", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         by_language: dict[str, list[bytes]] = {}
