@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriata.llm import language, toxicity
+from seriata.llm import language, pii, toxicity
 from seriata.llm.common import doc_crc, table
 from seriata.llm.packing import pack, pieces
 from seriata.llm.simhash import near_duplicates
@@ -56,6 +56,23 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(pieces(table(spark, folder, "documents"), tokenizer))
 
 
+@query()
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document; the counts and the hash are those of the patterns."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return pii.find(docs, pii.train(docs)).select(
+        F.col("doc_id").cast("long"),
+        *map(count, pii.KINDS),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 # The rules of the query.
 URL_RULES = [
     ("net", "/", "block"),
