@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,6 +33,24 @@ def by_batch(
     return df.mapInArrow(run, schema)
 
 
+def with_columns(
+    docs: DataFrame, function: Callable[[list[str | None]], list[pa.Array]], added: str, column: str = "text"
+) -> DataFrame:
+    """Add the columns ``added`` (a schema) that ``function`` makes of the texts of a batch.
+
+    Other columns pass through; those with a name that is added are replaced.
+    """
+    names = [field.strip().split(" ")[0] for field in re.split(r",\s*(?![^<]*>)", added)]
+    docs = docs.drop(*names)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        return pa.record_batch([*batch.columns, *function(texts)], [*batch.schema.names, *names])
+
+    return by_batch(docs, run, f"{kept}, {added}")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))

@@ -21,13 +21,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import by_batch, fixed_sample
+from seriata.llm.common import by_batch, fixed_sample, with_columns
 
 ORDER = 4
 SAMPLE_DOCS = 500  # documents a language is learned from, at most
 SAMPLE_CHARS = 20_000  # longer documents are not learned from
 KEPT = 250_000  # words whose code lengths a worker remembers
 UNKNOWN = "und"
+AT_ONCE = 256  # texts whose words are coded together
 _WORDS_AT_ONCE = 1 << 15
 
 _has_letter = regex.compile(r"\p{L}").search
@@ -184,30 +185,29 @@ def train(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row of ``docs(doc_id, text)``.
+    """Add ``lang_pred`` and ``score`` to every row of ``docs(text, ...)``.
 
     ``score`` is the chance of the predicted language, all languages being as
     likely beforehand.  A text that is NULL or has no letter, and any text if no
     language was learned, is ``und`` with the score 0.  Ties go to the language
-    that sorts first.  Other columns are ignored; repeated rows stay.
+    that sorts first.  Other columns pass through, columns of the two names are
+    replaced; repeated rows stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
+    def run(texts: list[str | None]) -> list[pa.Array]:
         languages = sent.value.languages
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         judged = [i for i, t in enumerate(texts) if t and _has_letter(t)] if languages else []
-        for begin in range(0, len(judged), 256):
-            some = judged[begin : begin + 256]
+        for begin in range(0, len(judged), AT_ONCE):
+            some = judged[begin : begin + AT_ONCE]
             for i, bits in zip(some, _coder(sent).lengths([texts[i] for i in some])):
                 best = int(np.argmin(bits))
                 names[i] = languages[best]
                 scores[i] = float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
-        columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-        return pa.record_batch(columns, ["doc_id", "lang_pred", "score"])
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    return by_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
+    return with_columns(docs, run, "lang_pred string, score double")
 
 
 _CODERS: dict[int, Coder] = {}

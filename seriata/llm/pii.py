@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import by_batch, fixed_sample
+from seriata.llm.common import fixed_sample, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9  # chance from which a token becomes a span
@@ -260,22 +260,19 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     column ``spans`` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    docs = docs.drop("spans")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, spans {SPANS}"
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+    def run(texts: list[str | None]) -> list[pa.Array]:
         rows = []
         for begin in range(0, len(texts), AT_ONCE):
-            some = texts[begin : begin + AT_ONCE]
+            some = [t or "" for t in texts[begin : begin + AT_ONCE]]
             found = [base_spans(t) for t in some]
             for sure, more in zip(found, further_spans(sent.value, some, found)):
                 both = sorted([(*s, True) for s in sure] + [(*s, False) for s in more])
                 rows.append([{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in both])
-        return pa.record_batch([*batch.columns, pa.array(rows, pa.list_(span))], [*batch.schema.names, "spans"])
+        return [pa.array(rows, pa.list_(span))]
 
-    return by_batch(docs, run, schema)
+    return with_columns(docs, run, f"spans {SPANS}")
 
 
 def listed(spans: Column) -> Column:

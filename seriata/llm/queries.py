@@ -39,7 +39,7 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from those whose crc32 modulo 4 is not 2."""
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long"), "text")
     machine = toxicity.train(docs.where(doc_crc() % 4 != 2), table(spark, folder, "labels"))
     return toxicity.score(docs, machine).select(
         "doc_id",
@@ -116,5 +116,5 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from those whose crc32 modulo 5 is not 0."""
     docs = table(spark, folder, "documents")
     model = language.train(docs.where(doc_crc() % 5 != 0))
-    found = language.identify(docs, model)
+    found = language.identify(docs.select(F.col("doc_id").cast("long"), "text"), model)
     return found.select("doc_id", (doc_crc() % 5 == 0).alias("held_out"), "lang_pred", "score")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import bounded_batches, by_batch
+from seriata.llm.common import bounded_batches, by_batch, with_columns
 from seriata.llm.components import components
 from seriata.session import settle
 
@@ -66,6 +66,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return by_batch(text, run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Add ``fingerprint`` (16 hexadecimal digits) to ``docs(text, ...)``."""
+
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([f"{fingerprint((t or '').encode(), shingle):016x}" for t in texts], pa.string())]
+
+    return with_columns(docs, run, "fingerprint string")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
 

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import by_batch, fixed_sample
+from seriata.llm.common import fixed_sample, with_columns
 
 DECAY = 0.7
 LANDMARKS = 128
@@ -46,6 +46,7 @@ _BEGIN = _LETTERS - 1  # stands before the first letter of a token
 # Letters beyond a-z share the symbols 27 to 62.
 _SYMBOL = np.array([c - 96 if 97 <= c <= 122 else 27 + c % 36 if chr(c).isalpha() else 0 for c in range(1 << 16)], np.int32)
 _WORDS_AT_ONCE = 1 << 14
+AT_ONCE = 256  # texts whose tokens are judged together
 
 
 @dataclass(frozen=True)
@@ -276,21 +277,20 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_DOCS) -> Machin
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``(doc_id, score)`` of every row of ``docs(doc_id, text)``.
+    """Add ``score`` to every row of ``docs(text, ...)``.
 
     A NULL text counts as empty; an empty text has the score of a text whose
     every token is far from any insult.  Texts are scored whole.  Other columns
-    are ignored; repeated rows stay.
+    pass through, a column ``score`` is replaced; repeated rows stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        judge = _judge(sent)
-        scores = [judge.scores(texts[i : i + 256]) for i in range(0, len(texts), 256)]
-        return pa.record_batch([batch.column(0), pa.array(np.concatenate(scores))], ["doc_id", "score"])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        judge, whole = _judge(sent), [t or "" for t in texts]
+        scores = [judge.scores(whole[i : i + AT_ONCE]) for i in range(0, len(whole), AT_ONCE)]
+        return [pa.array(np.concatenate(scores))]
 
-    return by_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
+    return with_columns(docs, run, "score double")
 
 
 _JUDGES: dict[int, Judge] = {}
