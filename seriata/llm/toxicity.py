@@ -31,7 +31,7 @@ DECAY = 0.7
 LANDMARKS = 128
 SAMPLE_DOCS = 1500  # documents of each label that are learned from, at most
 SAMPLE_CHARS = 20_000  # longer documents are not learned from
-NEGATIVES = 20_000  # different tokens of clean documents
+NEGATIVES = 3_000  # different tokens of clean documents, and as many of those that come closest
 ROUNDS = 4
 MENTIONS = 0.01  # share of the toxic texts in which a token must be found to stand for them
 ODDS = 1.5  # how much likelier, in logarithms, it must be there than in clean ones
