@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 << 20
@@ -62,19 +62,14 @@ def doc_crc(doc_id: str = "doc_id"):
 
 
 def fixed_sample(df: DataFrame, by: str, n: int, *, key: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """A fixed choice of about ``n`` rows of each value of ``by``, by hash of ``key``.
+    """A fixed choice of about ``n`` rows of each value of ``by``: those with the smallest hashes of ``key``.
 
-    Rows of one key count once and one of them is given.  The hashes alone are
-    ranked; texts are read again for the rows that are chosen.
+    Rows of one key count once and one of them is given.  Only a number per
+    value of ``by`` is gathered, so there must be few; no row of ``df`` is
+    shuffled but the chosen ones.
     """
     hashed = df.withColumn("__hash", F.xxhash64(*key))
-    order = Window.partitionBy(by).orderBy("__hash")
-    last = (
-        hashed.select(by, "__hash")
-        .distinct()
-        .withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") <= n)
-        .groupBy(by)
-        .agg(F.max("__hash").alias("__last"))
-    )
-    return hashed.join(last, by).where("__hash <= __last").dropDuplicates([by, "__hash"]).select(*df.columns)
+    share = F.lit(float(n)) / F.approx_count_distinct("__hash", 0.02)
+    last = hashed.groupBy(by).agg(((F.least(share, F.lit(1.0)) - 0.5) * 2.0**64).alias("__last"))
+    chosen = hashed.join(F.broadcast(last), by).where(F.col("__hash") <= F.col("__last"))
+    return chosen.dropDuplicates([by, "__hash"]).select(*df.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from seriata.llm.common import by_batch, fixed_sample, with_columns
 
 ORDER = 4
-SAMPLE_DOCS = 500  # documents a language is learned from, at most
+SAMPLE_DOCS = 500  # documents a language is learned from, about
 SAMPLE_CHARS = 20_000  # longer documents are not learned from
 KEPT = 250_000  # words whose code lengths a worker remembers
 UNKNOWN = "und"
@@ -173,7 +173,7 @@ def sample_counts(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Data
 
 
 def train(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Model:
-    """Trees from at most ``docs_per_language`` whole documents of each language.
+    """Trees from about ``docs_per_language`` whole documents of each language.
 
     Documents of more than ``SAMPLE_CHARS`` characters are not chosen, so what
     reaches the driver is bounded by the number of languages.

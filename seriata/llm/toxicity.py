@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriata.llm.common import fixed_sample, with_columns
+from seriata.session import settle
 
 DECAY = 0.7
-LANDMARKS = 128
-SAMPLE_DOCS = 1500  # documents of each label that are learned from, at most
+LANDMARKS = 256
+SAMPLE_DOCS = 1500  # documents of each label that are learned from, about
 SAMPLE_CHARS = 20_000  # longer documents are not learned from
 NEGATIVES = 3_000  # different tokens of clean documents, and as many of those that come closest
 ROUNDS = 4
@@ -204,7 +205,7 @@ def _fit(positive: Counter, negative: list[str]) -> Machine:
     return Machine(base.T @ (root @ solved[:-1]), float(solved[-1]), np.zeros(2))
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
+def _squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 3e-5) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton's method."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
@@ -259,7 +260,7 @@ class Judge:
 
 
 def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_DOCS) -> DataFrame:
-    """``(text, toxic)`` of at most ``each`` documents of either label, a fixed choice.
+    """``(text, toxic)`` of about ``each`` documents of either label, a fixed choice.
 
     ``docs(doc_id, text)``; of several labels of a document ``labels(doc_id,
     toxic)`` the highest counts.  Documents of more than ``SAMPLE_CHARS``
@@ -267,7 +268,9 @@ def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_DOCS) -> DataF
     """
     marked = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     usable = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    return fixed_sample(usable.join(marked, "doc_id"), "toxic", each).select("text", "toxic")
+    labelled = usable.select("doc_id").join(marked, "doc_id")
+    chosen = settle(fixed_sample(labelled, "toxic", each, key=("doc_id",)))  # about twice ``each`` numbers
+    return usable.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_DOCS) -> Machine:
