@@ -98,11 +98,14 @@ def triples(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, damping
 
 
-def weighted(strings: list[str], weights: np.ndarray, least: float = -np.inf) -> np.ndarray:
+def weighted(
+    strings: list[str], weights: np.ndarray, least: float = -np.inf, column: np.ndarray | None = None
+) -> np.ndarray:
     """``(strings, rows of weights)``: weighted triple counts, each string's own kernel scaled to 1.
 
     Results that cannot exceed ``least`` are given as ``least``: equal triples
     only add to a string's own kernel, so without them it has a lower bound.
+    ``column``: where the weight of a code stands, if not at the code itself.
     """
     out = np.zeros((len(strings), len(weights)))
     by_length: dict[int, list[int]] = {}
@@ -115,7 +118,8 @@ def weighted(strings: list[str], weights: np.ndarray, least: float = -np.inf) ->
         for begin in range(0, len(at), step):
             some = np.array(at[begin : begin + step])
             code, damping = triples([strings[i] for i in some])
-            sums = np.stack([row[code] @ damping for row in weights], 1)
+            place = code if column is None else column[code]
+            sums = np.stack([row[place] @ damping for row in weights], 1)
             own = (code > 0) @ damping**2
             bound = sums.max(1) / np.sqrt(np.where(own > 0, own, 1.0))
             near = bound > least
@@ -140,15 +144,16 @@ def _own(code: np.ndarray, damping: np.ndarray) -> np.ndarray:
     return np.where(own > 0, own, 1.0)
 
 
-def features(strings: list[str]) -> np.ndarray:
-    """Explicit scaled triple counts; for the landmarks only."""
-    out = np.zeros((len(strings), _LETTERS**3))
-    for i, s in enumerate(strings):
-        if len(s) >= 2:
-            code, damping = triples([s])
-            np.add.at(out[i], code[0], np.where(code[0] > 0, damping, 0.0))
+def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled triple counts of the landmarks and the codes they stand for; column 0 is for all others."""
+    found = [triples([s]) for s in strings]
+    codes = np.unique(np.concatenate([[0], *(code[0] for code, _ in found)]))
+    out = np.zeros((len(strings), len(codes)))
+    for row, (code, damping) in zip(out, found):
+        np.add.at(row, np.searchsorted(codes, code[0]), damping)
+    out[:, 0] = 0.0
     size = np.sqrt((out**2).sum(1, keepdims=True))
-    return out / np.where(size > 0, size, 1.0)
+    return out / np.where(size > 0, size, 1.0), codes
 
 
 def margins(words: list[str], machine: Machine) -> np.ndarray:
@@ -189,20 +194,24 @@ def _fit(positive: Counter, negative: list[str]) -> Machine:
     """Support vector machine on the Nyström map, folded back to letter triples."""
     common = [w for w, _ in positive.most_common(LANDMARKS // 2)]
     landmarks = [p for w in common + negative[: LANDMARKS - len(common)] for p in _windows(w)]
-    base = features(landmarks)
+    base, codes = features(landmarks)
+    column = np.zeros(_LETTERS**3, np.int32)
+    column[codes] = np.arange(len(codes))
     kernel = base @ base.T
     value, vector = np.linalg.eigh(kernel)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # kernel rows to Nyström features
     words = list(positive) + negative
     parts = [_windows(w)[0] for w in words]
-    x = np.hstack([weighted(parts, base) @ root, np.ones((len(words), 1))])
+    x = np.hstack([weighted(parts, base, column=column) @ root, np.ones((len(words), 1))])
     y = np.where(np.arange(len(words)) < len(positive), 1.0, -1.0)
     share = np.array([*positive.values(), *[1.0] * len(negative)], float)
     share[: len(positive)] *= 0.5 / share[: len(positive)].sum()
     share[len(positive) :] *= 0.5 / share[len(positive) :].sum()
     solved = _squared_hinge(x, y, share)
-    return Machine(base.T @ (root @ solved[:-1]), float(solved[-1]), np.zeros(2))
+    weights = np.zeros(_LETTERS**3)
+    weights[codes] = base.T @ (root @ solved[:-1])
+    return Machine(weights, float(solved[-1]), np.zeros(2))
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 3e-5) -> np.ndarray:
