@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriata.llm import language, pii, toxicity
+from seriata.llm import language, neighbours, pii, toxicity
 from seriata.llm.common import doc_crc, table
 from seriata.llm.packing import pack, pieces
 from seriata.llm.simhash import near_duplicates
@@ -36,6 +36,13 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector of ``embeddings``."""
+    rows = table(spark, folder, "embeddings")
+    return neighbours.search(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 @query()
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from those whose crc32 modulo 4 is not 2."""
