@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriata.llm import language, neighbours, pii, toxicity
+from seriata.llm import language, neighbours, pii, topk, toxicity
 from seriata.llm.common import doc_crc, table
 from seriata.llm.packing import pack, pieces
 from seriata.llm.simhash import near_duplicates
@@ -63,6 +63,26 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(pieces(table(spark, folder, "documents"), tokenizer))
 
 
+@query("""
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score
+        FROM whole q JOIN whole r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+           vec_id, score
+    FROM scored QUALIFY rank <= 10""")
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 largest inner products of every hundredth vector of ``embeddings``."""
+    rows = table(spark, folder, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 @query()
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document; the counts and the hash are those of the patterns."""
