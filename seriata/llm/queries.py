@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriata.llm import language, neighbours, pii, topk, toxicity
+from seriata.llm import pieces as sentencepieces
 from seriata.llm.common import doc_crc, table
 from seriata.llm.packing import pack, pieces
 from seriata.llm.simhash import near_duplicates
@@ -145,3 +146,12 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     model = language.train(docs.where(doc_crc() % 5 != 0))
     found = language.identify(docs.select(F.col("doc_id").cast("long"), "text"), model)
     return found.select("doc_id", (doc_crc() % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """The piece numbers of every document, and whether they spell its text."""
+    known = sentencepieces.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, folder, "documents")
+    found = sentencepieces.encode(docs, known)
+    return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("decoded").alias("decoded_hash"))
