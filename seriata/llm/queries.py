@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriata.llm import language, neighbours, pii, topk, toxicity
+from seriata.llm import fixity, language, neighbours, pii, topk, toxicity
 from seriata.llm import pieces as sentencepieces
 from seriata.llm.common import doc_crc, table
 from seriata.llm.packing import pack, pieces
@@ -44,6 +44,46 @@ def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
+# Damage that the query does to a replica: records lost, a character changed, a character added, a record twice.
+_LOST, _FLIPPED, _LONGER, _TWICE = "page_id % 211 = 7", "page_id % 97 = 5", "page_id % 131 = 3", "page_id % 307 = 11"
+
+_RECORD = r"""
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+    || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+    || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)"""
+
+
+@query(f"""
+    WITH damaged AS (
+        SELECT page_id, url, CASE WHEN {_FLIPPED} THEN '#' || substr(html, 2)
+                                  WHEN {_LONGER} THEN html || ' ' ELSE html END AS html,
+               CASE WHEN {_TWICE} THEN 2 ELSE 1 END AS copies
+        FROM pages WHERE NOT ({_LOST})
+    ),
+    one AS (SELECT page_id, strlen({_RECORD}) AS length, md5({_RECORD}) AS hash, 1 AS copies FROM pages),
+    two AS (SELECT page_id, strlen({_RECORD}) AS length, md5({_RECORD}) AS hash, copies FROM damaged),
+    one_at AS (SELECT *, page_id // 1024 AS file, coalesce(sum(length * copies) OVER (PARTITION BY page_id // 1024
+               ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM one),
+    two_at AS (SELECT *, page_id // 1024 AS file, coalesce(sum(length * copies) OVER (PARTITION BY page_id // 1024
+               ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM two)
+    SELECT a.page_id AS number, CASE WHEN b.page_id IS NULL THEN 'lost' ELSE 'changed' END AS state,
+           CAST(a.file AS BIGINT) AS file, CAST(a.place AS BIGINT) AS "offset",
+           CAST(a.length * a.copies AS BIGINT) AS length, CAST(b.place AS BIGINT) AS offset_2,
+           CAST(b.length * b.copies AS BIGINT) AS length_2
+    FROM one_at a LEFT JOIN two_at b ON a.page_id = b.page_id
+    WHERE b.page_id IS NULL OR a.hash <> b.hash OR a.copies <> b.copies""")
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the archive of ``pages`` differs from a replica of it that was damaged on purpose."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    html = F.when(F.expr(_FLIPPED), F.concat(F.lit("#"), F.substring("html", 2, 2147483647)))
+    html = html.when(F.expr(_LONGER), F.concat("html", F.lit(" "))).otherwise(F.col("html"))
+    times = F.when(F.expr(_TWICE), 2).otherwise(1)
+    damaged = pages.where(f"NOT ({_LOST})").withColumn("html", html)
+    damaged = damaged.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    return fixity.audit(fixity.archive(pages), fixity.archive(damaged))
+
+
 @query()
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from those whose crc32 modulo 4 is not 2."""
