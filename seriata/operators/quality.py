@@ -107,13 +107,16 @@ def find_jumps(
     sigmas: float = 5,
     order: Sequence[str] = ("fecha",),
     value: str = "valor",
+    digits: int = 6,
     slices: int | str | None = None,
 ) -> DataFrame:
     """Rows whose change is more than ``sigmas`` deviations from the series' mean change.
 
     Adds ``cambio`` and ``desviaciones``.  ``order`` identifies a row within
-    its series; ``slices="auto"`` cuts series too long for one task, and their
-    mean and deviation then come from a combined aggregate.
+    its series; ``slices="auto"`` cuts series too long for one task.  Mean and
+    deviation come from the count, the sum and the sum of squares of the changes
+    to ``digits`` decimals, summed as whole numbers: the same to the last bit in
+    any order and any number of slices.
     """
     if slices == "auto":
         slices = slices_needed(df, ["serie_id"])
@@ -127,48 +130,30 @@ def find_jumps(
         keep_slice=True,
     )
     whole = Window.partitionBy("serie_id")
+    units = F.rint(F.col("cambio") * float(10**digits)).cast("bigint").cast("decimal(19,0)")
+    sums = {"__n": F.count("cambio"), "__s": F.sum(units), "__q": F.sum(units * units)}
     if slices:
-        typical = _typical_by_slice(changes)
+        # A few rows per slice are summed per series and met by series and slice,
+        # so no task holds a whole series.
+        by_slice = changes.groupBy("serie_id", SLICE).agg(*[s.alias(c) for c, s in sums.items()])
+        totals = by_slice.select(
+            F.col("serie_id").alias("__serie_id"),
+            F.col(SLICE).alias(f"__{SLICE}"),
+            *[F.sum(c).over(whole).alias(c) for c in sums],
+        )
         same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("serie_id", SLICE)]
-        measured = changes.join(typical, same).drop("__serie_id", f"__{SLICE}")
+        measured = changes.join(totals, same).drop("__serie_id", f"__{SLICE}")
     else:
         # The changes already lie together by series: no further shuffle.
-        measured = changes.withColumns(
-            {"__media": F.avg("cambio").over(whole), "__de": F.stddev_samp("cambio").over(whole)}
-        )
-    away = F.abs(F.col("cambio") - F.col("__media"))
-    size = F.when(F.col("__de") > 0, away / F.col("__de"))
+        measured = changes.withColumns({c: s.over(whole) for c, s in sums.items()})
+    n, s, q = (F.col(c).cast("double") for c in sums)
+    mean = F.try_divide(s, n) / 10.0**digits
+    deviation = F.sqrt(F.try_divide(q - F.try_divide(s * s, n), n - 1)) / 10.0**digits
+    away = F.abs(F.col("cambio") - mean)
     return (
-        measured.withColumn("desviaciones", size)
+        measured.withColumn("desviaciones", F.when(deviation > 0, away / deviation))
         .where(F.col("desviaciones") > sigmas)
-        .drop("__media", "__de", SLICE)
-    )
-
-
-def _typical_by_slice(changes: DataFrame) -> DataFrame:
-    """Mean and deviation of each series' changes, one row per series and slice.
-
-    Each slice gives its count, mean and sum of squared deviations; these few
-    rows are combined per series.  Rows then meet them by series and slice, so
-    no task holds a whole series.
-    """
-    by_slice = changes.groupBy("serie_id", SLICE).agg(
-        F.count("cambio").alias("n"),
-        F.avg("cambio").alias("m"),
-        (F.var_pop("cambio") * F.count("cambio")).alias("s"),
-    )
-    whole = Window.partitionBy("serie_id")
-    n, m, s, mean = F.col("n"), F.col("m"), F.col("s"), F.col("__media")
-    return (
-        by_slice.withColumn("__n", F.sum(n).over(whole))
-        .withColumn("__media", F.try_divide(F.sum(n * m).over(whole), F.col("__n")))
-        .withColumn("__s", F.sum(s + n * (m - mean) * (m - mean)).over(whole))
-        .select(
-            F.col("serie_id").alias("__serie_id"),
-            F.col(SLICE).alias(f"__{SLICE}"),
-            "__media",
-            F.when(F.col("__n") > 1, F.sqrt(F.col("__s") / (F.col("__n") - 1))).alias("__de"),
-        )
+        .drop(*sums, SLICE)
     )
 
 

@@ -151,22 +151,37 @@ def relations_identical(left: DataFrame, right: DataFrame) -> bool:
 
 
 def normalised(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Names lower-cased, numbers as rounded doubles, everything else as text.
+    """Names lower-cased, numbers comparable across types, everything else as text.
 
-    All numbers become doubles, so 1 equals 1.0.
+    Whole numbers and decimals stay exact, decimals to ``digits`` decimals;
+    doubles become the decimal of their value rounded to as many.  So 1 equals
+    1.0, and two numbers beyond what a double can tell apart differ.  A double
+    too large for a decimal is compared as text, NaN is NULL.
     """
     scale = float(10**digits)
     columns = []
     for field in df.schema:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.NumericType):
-            column = F.rint(no_nan(column.cast("double")) * scale) / scale
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            value = no_nan(column.cast("double"))
+            rounded = F.rint(value * scale) / scale
+            plain = F.round(rounded.try_cast(f"decimal(38,{digits})"), digits)
+            column = F.coalesce(_number_key(plain), rounded.cast("string"))
+        elif isinstance(kind, T.NumericType):
+            column = _number_key(F.round(column.cast("decimal(38,0)" if isinstance(kind, T.IntegralType) else kind), digits))
         else:
             column = column.cast("string")
         columns.append(column.alias(field.name.strip().lower()))
     return df.select(*columns)
 
 
+def _number_key(value: Column) -> Column:
+    """A decimal as text without zeros at its end."""
+    text = value.cast("string")
+    short = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    return F.when(F.contains(text, F.lit(".")), short).otherwise(text)
+
+
 def results_difference(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
     """Rows that two results do not hold equally often, whatever their order."""
     rows = _sides_by_row(normalised(left, digits), normalised(right, digits))

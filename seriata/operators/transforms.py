@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from seriata.functions.dates import month_start, quarter_start
 from seriata.functions.numbers import mean_of, ratio, round_at
-from seriata.operators.joins import restrict
 from seriata.operators.windows import with_lookback, with_running_total
 
 
@@ -53,15 +52,20 @@ def accumulate_ytd(
     date: str = "fecha",
     value: str = "valor",
     name: str = "acumulado",
+    digits: int | None = None,
     slices: int | str | None = None,
 ) -> DataFrame:
-    """Running total within each series and year; rows of one date count together."""
+    """Running total within each series and year; rows of one date count together.
+
+    ``digits``: the values' decimals, for totals that are exact in any row order.
+    """
     totals = with_running_total(
         df.withColumn("__year", F.year(date)),
         value,
         name,
         group=[series, "__year"],
         order=[date],
+        digits=digits,
         slices=slices,
     )
     return totals.drop("__year")
@@ -77,8 +81,11 @@ def unified_monthly(
 ) -> DataFrame:
     """Flows of the year-to-date series plus the series observed at ``freq``.
 
-    The wanted series are settled among the small tables first, so that the
-    observations are joined once.  They are counted before that join.
+    The wanted series are settled among the names first, so that the
+    observations are joined once.  ``ytd_series`` may be any frame with the
+    year-to-date series in ``serie_id``; their list or dimension spares a pass
+    over their totals.  Nothing runs before the result is asked for, and Spark
+    decides by size whether the names are broadcast.
     """
     published = (flows if ytd_series is None else ytd_series).select("serie_id").distinct()
     wanted = (
@@ -86,7 +93,7 @@ def unified_monthly(
         .select("serie_id")
         .join(published, "serie_id", "left_anti")
     )
-    observed = restrict(observations, wanted, "serie_id")
+    observed = observations.join(wanted, "serie_id", "left_semi")
     return flows.select("serie_id", "fecha", F.col("flujo").alias("valor")).unionByName(
         observed.select("serie_id", "fecha", "valor")
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from seriata.session import settle
 
 ROWS_PER_SLICE = 5_000_000
-MAX_SLICES = 20_000
 
 SLICE = "__slice"
 _BEFORE = "__before"
@@ -40,7 +40,7 @@ def slices_needed(
     )
     if longest is None or longest <= rows_per_slice:
         return 0
-    return min(max(2, math.ceil(rows / rows_per_slice)), MAX_SLICES)
+    return max(2, math.ceil(rows / rows_per_slice))
 
 
 def with_lookback(
@@ -60,7 +60,7 @@ def with_lookback(
 
     ``slices=None``: one window per series, one shuffle; for panels.
     ``slices="auto"``: measure the longest series and cut only if it is too big.
-    ``slices=n``: cut into n slices; runs a checkpoint.
+    ``slices=n``: cut into n slices, which are written to the shared folder.
 
     ``keep_slice`` leaves the slice number in column ``SLICE`` (0 if uncut).
     The rows then lie together by series and slice.
@@ -92,34 +92,43 @@ def with_running_total(
     *,
     group: Sequence[str],
     order: Sequence[str],
+    digits: int | None = None,
     slices: int | str | None = None,
 ) -> DataFrame:
     """Add the running total of ``value`` in each group; equal ``order`` counts together.
 
-    Cut into slices, each row's total is that of its own slice plus one total
-    per earlier slice of the group: the same number up to the order in which
-    doubles are added.
+    With ``digits`` the values have at most that many decimals and are added as
+    whole units: the same total, to the last bit, whatever the slices.  Without
+    it doubles are added in order, which only one window can do, so slices are
+    refused.
     """
+    if slices and digits is None:
+        raise ValueError("slices need the number of decimals: sums of doubles depend on where they are cut")
+    if digits is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(*order)))
     if slices == "auto":
         slices = slices_needed(df, group)
+    units = F.rint(F.col(value) * float(10**digits)).cast("bigint").cast("decimal(38,0)")
+    amount = lambda total: (total * F.lit(Decimal(1).scaleb(-digits))).cast("double")
     if not slices:
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.sum(value).over(window))
+        total = F.sum(units).over(Window.partitionBy(*group).orderBy(*order))
+        return df.withColumn(name, amount(total))
 
-    cut = _cut(df, group, order, int(slices))
-    totals = cut.groupBy(*group, SLICE).agg(F.sum(value).alias("__total"))
+    cut = _cut(df.withColumn("__units", units), group, order, int(slices))
+    totals = cut.groupBy(*group, SLICE).agg(F.sum("__units").alias("__total"))
     earlier = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *[F.col(c).alias(f"__{c}") for c in (*group, SLICE)],
         F.sum("__total").over(earlier).alias("__carried"),
     )
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*group, SLICE)]
-    within = F.sum(value).over(Window.partitionBy(*group, SLICE).orderBy(*order))
-    carry = F.coalesce(F.col("__carried"), F.lit(0.0))
+    within = F.sum("__units").over(Window.partitionBy(*group, SLICE).orderBy(*order))
+    none = F.lit(Decimal(0)).cast("decimal(38,0)")
+    together = F.coalesce(F.col("__within") + F.coalesce("__carried", none), F.col("__carried"))
     return (
-        cut.withColumn(name, within)
+        cut.withColumn("__within", within)
         .join(carried, same)
-        .withColumn(name, F.coalesce(F.col(name) + carry, F.col("__carried")))
+        .withColumn(name, amount(together))
         .select(*df.columns, name)
     )
 

@@ -20,8 +20,7 @@ from seriata.sources.tables import Sources, publish
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-# The order priorities of the test tables.
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+MOST_PRIORITIES = 1000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -112,10 +111,19 @@ def as_ytd(panel: DataFrame) -> DataFrame:
     return totals
 
 
-def published(panel: DataFrame, name: str) -> DataFrame:
+def published(panel: DataFrame) -> DataFrame:
     """The panel written as a mart, for what reads it more than once."""
     path = new_folder(panel.sparkSession)
-    return publish(panel, name, layer="marts", path=path, cluster_by=("serie_id", "fecha"))
+    return publish(panel, layer="marts", path=path, cluster_by=("serie_id", "fecha"))
+
+
+def priorities(spark: SparkSession, folder: str) -> list[str]:
+    """The order priorities that there are; they become columns, so too many fail."""
+    names = table(spark, folder, "orders").select("o_orderpriority").distinct().limit(MOST_PRIORITIES + 1)
+    found = sorted(r[0] for r in names.collect())
+    if len(found) > MOST_PRIORITIES:
+        raise ValueError(f"more than {MOST_PRIORITIES} order priorities")
+    return found
 
 
 def is_month(year: int, month: int) -> Column:

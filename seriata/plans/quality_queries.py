@@ -15,11 +15,22 @@ from seriata.plans.registry import (
     NATION_MONTH,
     NATION_SERIES,
     SUPPLIER_MONTH,
+    flows_of,
     half,
     query,
+    ranked,
+    so_far,
 )
 from seriata.session import new_folder
-from seriata.plans.warehouse import Warehouse, build_warehouse, verify
+from seriata.plans.warehouse import (
+    Files,
+    Warehouse,
+    build_warehouse,
+    load_star,
+    reconcile_panels,
+    verify,
+)
+from seriata.sources.delimited import read_panel
 
 
 def _checked(check: str, severity: str, detail: str, fecha: str = "fecha") -> str:
@@ -46,12 +57,17 @@ def _stale(panel: str) -> str:
 
 
 def jumps(panel: str, sigmas: int, order: str = "fecha") -> str:
+    """Changes by a join on ranks; mean and deviation from exact sums of millionths."""
     return f"""(
-        SELECT *, ABS(cambio - AVG(cambio) OVER one) / NULLIF(STDDEV_SAMP(cambio) OVER one, 0) AS desviaciones
-        FROM (SELECT *, valor - LAG(valor) OVER (PARTITION BY serie_id ORDER BY {order}) AS cambio
-              FROM ({panel}) p) steps
-        WINDOW one AS (PARTITION BY serie_id)
-        QUALIFY desviaciones > {sigmas}) j"""
+        WITH r AS ({ranked(panel, order)}),
+        steps AS (SELECT now.*, now.valor - before.valor AS cambio
+                  FROM r now LEFT JOIN r before ON before.serie_id = now.serie_id AND before.k = now.k - 1),
+        moments AS (SELECT serie_id, COUNT(cambio) AS n, CAST(SUM(u) AS DOUBLE) AS s, CAST(SUM(u * u) AS DOUBLE) AS q
+                    FROM (SELECT *, CAST(round_even(cambio * 1e6, 0) AS HUGEINT) AS u FROM steps) GROUP BY serie_id),
+        typical AS (SELECT serie_id, s / n / 1e6 AS mean, SQRT((q - s * s / n) / (n - 1)) / 1e6 AS deviation
+                    FROM moments WHERE n > 1)
+        SELECT steps.* EXCLUDE (k), ABS(cambio - mean) / deviation AS desviaciones
+        FROM steps JOIN typical USING (serie_id) WHERE deviation > 0 AND ABS(cambio - mean) / deviation > {sigmas}) j"""
 
 
 _JUMP_TEXT = (
@@ -60,18 +76,14 @@ _JUMP_TEXT = (
 
 # The December 1997 flow of one supplier is off by one and a half.
 _OFF = "serie_id = '7' AND YEAR(fecha) = 1997 AND MONTH(fecha) = 12"
-_SUPPLIER_FLOWS = f"""
-    SELECT serie_id, fecha, total AS acumulado,
-           total - IFNULL(LAG(total) OVER same_year, 0) + IF({_OFF}, 1.5, 0) AS flujo
-    FROM (SELECT serie_id, fecha, {half("SUM(valor) OVER same_year", 2)} AS total FROM ({SUPPLIER_MONTH}) p
-          WINDOW same_year AS (PARTITION BY serie_id, YEAR(fecha) ORDER BY fecha)) a
-    WINDOW same_year AS (PARTITION BY serie_id, YEAR(fecha) ORDER BY fecha)"""
+_SUPPLIER_FLOWS = f"""SELECT serie_id, fecha, acumulado, flujo + CASE WHEN {_OFF} THEN 1.5 ELSE 0 END AS flujo
+    FROM ({flows_of(so_far(SUPPLIER_MONTH))}) f"""
 _MISMATCHES = """(
-    SELECT *, ABS(suma_flujos - acumulado_diciembre) AS diferencia FROM (
-        SELECT serie_id, CAST(YEAR(fecha) AS INT) AS anio, SUM(flujo) AS suma_flujos,
-               MAX(IF(MONTH(fecha) = 12, acumulado, NULL)) AS acumulado_diciembre
-        FROM ({flows}) f GROUP BY ALL) years
-    WHERE diferencia > 1e-6) x"""
+    SELECT f.serie_id, CAST(YEAR(f.fecha) AS INT) AS anio, SUM(f.flujo) AS suma_flujos,
+           ANY_VALUE(d.acumulado) AS acumulado_diciembre, ABS(SUM(f.flujo) - ANY_VALUE(d.acumulado)) AS diferencia
+    FROM ({flows}) f JOIN ({flows}) d ON d.serie_id = f.serie_id AND d.fecha = make_date(CAST(YEAR(f.fecha) AS INT), 12, 1)
+    GROUP BY f.serie_id, YEAR(f.fecha)
+    HAVING ABS(SUM(f.flujo) - ANY_VALUE(d.acumulado)) > 1e-6) x"""
 
 _MISMATCH_TEXT = (
     f"'suma de flujos ' || {half('suma_flujos', 2)} || "
@@ -166,6 +178,13 @@ def jumps_4_sigma(spark, folder):
     return found.select("serie_id", "fecha", "event_id", round_at(F.col("cambio"), 6).alias("cambio"))
 
 
+@query(f"SELECT * FROM {jumps(EVENT_STEPS, 4, 'fecha, event_id')}")
+def jumps_sliced(spark, folder):
+    """All columns, with every series cut into slices: the same numbers as from one window."""
+    steps = panels.event_steps(spark, folder)
+    return quality.find_jumps(steps, sigmas=4, order=("fecha", "event_id"), slices=7)
+
+
 @query(f"""{_checked("salto improbable", "aviso", _JUMP_TEXT)} FROM {jumps(SUPPLIER_MONTH, 3)}""")
 def panel_jumps(spark, folder):
     return quality.check_jumps(panels.supplier_month(spark, folder), sigmas=3)
@@ -221,7 +240,7 @@ _REPORT = f"""
 
 
 def _sick_report(spark, folder):
-    panel = panels.published(panels.supplier_month(spark, folder), "panel")
+    panel = panels.published(panels.supplier_month(spark, folder))
 
     def cell(series, year, month):
         return (F.col("serie_id") == series) & panels.is_month(year, month)
@@ -237,12 +256,13 @@ def _sick_report(spark, folder):
         .unionByName(panel.where(cell("4", 1998, 4)))
     )
     dim = panels.table(spark, folder, "supplier").where(F.col("s_suppkey") % 10 != 9)
-    return quality.quality_report(
+    report = quality.quality_report(
         sick,
         fact=sick,
         dim_serie=dim.select(F.col("s_suppkey").cast("string").alias("serie_id")),
         flows=_with_one_off(tr.deaccumulate_ytd(panels.as_ytd(panel))),
     )
+    return panels.published(report)
 
 
 @query(_REPORT)
@@ -359,12 +379,14 @@ def relations_difference(spark, folder):
 
 
 @query("""
-    SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber,
-           COUNT(*) AS izquierda, 1 AS derecha
-    FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) <> 1""")
+    SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
+           CAST(9007199254740992 + l_orderkey AS VARCHAR) AS grande, COUNT(*) AS izquierda, 1 AS derecha
+    FROM lineitem GROUP BY 1, 2, 3 HAVING COUNT(*) <> 1""")
 def results_difference(spark, folder):
     """Rows against their distinct rows: what is left over are the copies."""
-    keys = panels.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    keys = panels.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_orderkey") + 9007199254740992).alias("grande")
+    )
     return reconcile.results_difference(keys, keys.distinct())
 
 
@@ -372,26 +394,84 @@ def results_difference(spark, folder):
 
 _VERDICT = f"""
     WITH obs AS ({NATION_MONTH}), dim AS ({NATION_SERIES}), flows AS ({FLOWS}),
-    dec AS (SELECT SUM(flujo) AS s, MAX(CASE WHEN MONTH(fecha) = 12 THEN acumulado END) AS d
-            FROM flows GROUP BY serie_id, YEAR(fecha))
-    SELECT 'series declaradas' AS prueba, COUNT(*) = 25 AS ok, ABS(COUNT(*) - 25) AS fallas FROM dim
-    UNION ALL SELECT 'sin huerfanas', COUNT(*) = 0, COUNT(*) FROM obs
-        WHERE serie_id NOT IN (SELECT serie_id FROM dim)
-    UNION ALL SELECT 'sin duplicados', COUNT(*) = 0, COUNT(*)
-        FROM (SELECT 1 FROM obs GROUP BY serie_id, fecha HAVING COUNT(*) > 1) u
+    known AS (SELECT * FROM dim WHERE serie_id <> 'NATION_7'),
+    dec AS (SELECT * FROM {_MISMATCHES.format(flows="SELECT * FROM flows")}),
+    orphans AS (SELECT * FROM obs WHERE serie_id NOT IN (SELECT serie_id FROM known)),
+    doubled AS (SELECT 1 FROM obs GROUP BY serie_id, fecha HAVING COUNT(*) > 1),
+    errors AS (SELECT 1 FROM orphans UNION ALL SELECT * FROM doubled UNION ALL SELECT 1 FROM dec
+               UNION ALL SELECT 1 FROM flows WHERE flujo IS NULL
+               UNION ALL SELECT 1 FROM {_gaps("SELECT * FROM obs")})
+    SELECT 'series declaradas' AS prueba, COUNT(*) = 25 AS ok, ABS(COUNT(*) - 25) AS fallas FROM known
+    UNION ALL SELECT 'sin huerfanas', COUNT(*) = 0, COUNT(*) FROM orphans
+    UNION ALL SELECT 'sin duplicados', COUNT(*) = 0, COUNT(*) FROM doubled
     UNION ALL SELECT 'reconcilia', COUNT(*) = 0, COUNT(*)
         FROM (SELECT serie_id, MAX(ABS(o.valor - f.flujo)) AS dif
               FROM obs o LEFT JOIN flows f USING (serie_id, fecha) GROUP BY 1
               HAVING NOT COALESCE(MAX(ABS(o.valor - f.flujo)) <= 1e-6, FALSE) OR COUNT(*) <> COUNT(f.fecha)) r
-    UNION ALL SELECT 'flujos suman diciembre', COUNT(*) = 0, COUNT(*) FROM dec WHERE ABS(s - d) > 1e-6
-    UNION ALL SELECT 'sin errores de calidad', COUNT(*) = 0, COUNT(*) FROM {_gaps("SELECT * FROM obs")}"""
+    UNION ALL SELECT 'flujos suman diciembre', COUNT(*) = 0, COUNT(*) FROM dec
+    UNION ALL SELECT 'sin errores de calidad', COUNT(*) = 0, COUNT(*) FROM errors"""
 
 
 @query(_VERDICT)
 def warehouse_verdict(spark, folder):
-    """Rebuild from the star and verify: all series published year to date."""
-    observed = panels.published(panels.nation_month(spark, folder), "observed")
-    dim = reshape.build_dim_serie(panels.nation_metadata(spark, folder))
+    """Rebuild from the star and verify: all series published year to date, one of them undeclared."""
+    observed = panels.published(panels.nation_month(spark, folder))
+    dim = reshape.build_dim_serie(panels.nation_metadata(spark, folder)).where("serie_id <> 'NATION_7'")
     raw = panels.as_ytd(observed)
     built: Warehouse = build_warehouse(dim, observed, raw, folder=new_folder(spark), prefix="w_")
     return verify(built, observed, series=25, tol=1e-6)
+
+
+@query(f"""
+    WITH series AS (SELECT DISTINCT o_orderpriority AS serie_id FROM orders),
+    months AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS fecha FROM orders),
+    quarters AS (SELECT DISTINCT date_trunc('quarter', o_orderdate) AS fecha FROM orders)
+    SELECT 'mensual' AS panel, serie_id, COUNT(*) AS filas, 0 AS sin_pareja, TRUE AS ok
+    FROM series CROSS JOIN months GROUP BY serie_id
+    UNION ALL SELECT 'trimestral', serie_id, COUNT(*), 0, TRUE FROM series CROSS JOIN quarters GROUP BY serie_id""")
+def star_reconciled(spark, folder):
+    """Panels, metadata and days written as files, loaded as a star, and shown to hold the panels again."""
+    path, carried, by_day = new_folder(spark), "1-URGENT", "2-HIGH"
+    monthly, quarterly = panels.priority_month(spark, folder), panels.priority_quarter(spark, folder)
+    days = panels.priority_day(spark, folder).where(F.col("serie_id") == by_day)
+    quarter = F.trunc("fecha", "quarter").alias("fecha")
+    months = panels.order_calendar(spark, folder).select(F.col("fecha").alias("mes"), quarter)
+    shown = quarterly.where(F.col("serie_id") == carried).join(months, "fecha")
+    means = [
+        df.groupBy("serie_id", quarter).agg(F.avg("valor").alias("valor"))
+        for df in (monthly.where(~F.col("serie_id").isin(carried, by_day)), days)
+    ]
+    names = panels.priorities(spark, folder)
+    wide = {
+        "mensual": monthly.where(F.col("serie_id") != carried).unionByName(
+            shown.select("serie_id", F.col("mes").alias("fecha"), "valor")
+        ),
+        "trimestral": reshape.concat([quarterly.where(F.col("serie_id") == carried), *means]),
+    }
+    for tag, panel in wide.items():
+        cells = panel.groupBy("fecha").pivot("serie_id", names).agg(F.max("valor"))
+        cells.write.option("header", True).csv(f"{path}/{tag}")
+    days.select("fecha", "valor").write.option("header", True).csv(f"{path}/dias")
+    series = panels.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("variable")).distinct()
+    series.select(
+        "variable",
+        F.col("variable").alias("etiqueta"),
+        F.when(F.col("variable") == carried, "Q").otherwise("M").alias("frecuencia"),
+        F.lit("FRED - X").alias("origen"),
+        F.col("variable").alias("titulo_original"),
+    ).write.option("header", True).csv(f"{path}/series")
+
+    star = load_star(
+        spark,
+        Files(
+            metadata=f"{path}/series",
+            panels={tag: f"{path}/{tag}" for tag in wide},
+            routes={"trimestral": "Q"},
+            otherwise="mensual",
+            daily={by_day: f"{path}/dias"},
+        ),
+        period=None,
+    )
+    read = [read_panel(spark, f"{path}/{tag}").drop("archivo", "orden") for tag in wide]
+    out = reconcile_panels(star, *read, carried=carried, tol=1e-5)
+    return out.select("panel", "serie_id", "filas", "sin_pareja", "ok")

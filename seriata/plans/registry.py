@@ -1,4 +1,4 @@
-"""Registered queries, each with its ANSI SQL twin where SQL can express it."""
+"""Registered queries, each with a twin in DuckDB's SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -66,14 +66,46 @@ NATION_SERIES = """
            CASE WHEN n_nationkey <> 7 THEN n_name END AS titulo_original
     FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
+def so_far(panel: str) -> str:
+    """SQL text of money added up from the start of the year, by the rows up to each date."""
+    return f"""
+    SELECT a.serie_id, a.fecha, CAST(SUM(CAST(b.valor AS DECIMAL(18,2))) AS DOUBLE) AS valor
+    FROM ({panel}) a JOIN ({panel}) b
+      ON b.serie_id = a.serie_id AND YEAR(b.fecha) = YEAR(a.fecha) AND b.fecha <= a.fecha
+    GROUP BY a.serie_id, a.fecha"""
+
+
+def flows_of(totals: str, more: str = "0") -> str:
+    """SQL text of totals less the latest earlier total of their year."""
+    dated = f"SELECT serie_id, fecha, YEAR(fecha) AS anio, valor FROM ({totals}) t"
+    return f"""
+    SELECT now.serie_id, CAST(date_trunc('month', now.fecha) AS DATE) AS fecha, now.valor AS acumulado,
+           now.valor - COALESCE(earlier.valor, 0) + {more} AS flujo
+    FROM ({dated}) now ASOF LEFT JOIN ({dated}) earlier
+      ON earlier.serie_id = now.serie_id AND earlier.anio = now.anio AND now.fecha > earlier.fecha"""
+
+
 # Nations as totals of the year so far, dated at month end.
-YTD_RAW = f"""
-    SELECT serie_id, last_day(fecha) AS fecha,
-           {half("SUM(valor) OVER so_far", 2)} AS valor
-    FROM ({NATION_MONTH}) n WINDOW so_far AS (PARTITION BY serie_id, YEAR(fecha) ORDER BY fecha)"""
-
-FLOWS = f"""
-    SELECT serie_id, make_date(CAST(anio AS INT), CAST(MONTH(publicado) AS INT), 1) AS fecha, total AS acumulado,
-           total - IFNULL(LAG(total) OVER same_year, 0) AS flujo
-    FROM (SELECT serie_id, fecha AS publicado, YEAR(fecha) AS anio, valor AS total FROM ({YTD_RAW}) y) p
-    WINDOW same_year AS (PARTITION BY serie_id, anio ORDER BY publicado)"""
+YTD_RAW = f"SELECT serie_id, last_day(fecha) AS fecha, valor FROM ({so_far(NATION_MONTH)}) n"
+
+FLOWS = flows_of(YTD_RAW)
+
+
+def ranked(panel: str, order: str = "fecha") -> str:
+    return f"SELECT *, ROW_NUMBER() OVER (PARTITION BY serie_id ORDER BY {order}) AS k FROM ({panel}) p"
+
+
+def three_month_mean(panel: str) -> str:
+    """SQL text of a panel of money with the mean of up to three rows, by a join on ranks."""
+    mean3 = half("CAST(SUM(CAST(b.valor AS DECIMAL(18,2))) AS DOUBLE) / COUNT(b.valor)", 4)
+    return f"""
+    SELECT a.serie_id, a.fecha, ANY_VALUE(a.valor) AS valor, {mean3} AS mm3
+    FROM ({ranked(panel)}) a JOIN ({ranked(panel)}) b ON b.serie_id = a.serie_id AND b.k BETWEEN a.k - 2 AND a.k
+    GROUP BY a.serie_id, a.fecha"""
+
+
+def a_year_before(panel: str) -> str:
+    """SQL text of a panel with the value twelve ranks lower."""
+    return f"""
+    SELECT a.serie_id, a.fecha, a.valor, b.valor AS hace_un_anio
+    FROM ({ranked(panel)}) a LEFT JOIN ({ranked(panel)}) b ON b.serie_id = a.serie_id AND b.k = a.k - 12"""

@@ -22,17 +22,21 @@ from seriata.plans.registry import (
     SUPPLIER_MONTH,
     half,
     query,
+    three_month_mean,
 )
-from seriata.plans.transform_queries import _GRID, _MM3, _YOY, _monthly_wide
-from seriata.session import new_folder
+from seriata.plans.transform_queries import _GRID, _YOY, _monthly_wide
+from seriata.session import new_folder, settle
 from seriata.sources import delimited, sheets, tables
 
 
 @query(_GRID)
 def csv_panel(spark, folder):
-    """Wide CSV with an empty cell; columns by header, one scan, melted."""
+    """Wide CSV files with an empty cell, half of them with the columns in reverse; melted."""
     path = new_folder(spark)
-    _monthly_wide(spark, folder).write.option("header", True).csv(path)
+    wide = _monthly_wide(spark, folder)
+    early = F.year("fecha") < 1998
+    wide.where(early).write.option("header", True).csv(path)
+    wide.where(~early).select(*reversed(wide.columns)).write.mode("append").option("header", True).csv(path)
     return reshape.melt_panel(delimited.read_panel(spark, path).drop("archivo", "orden"))
 
 
@@ -56,8 +60,12 @@ def csv_observations(spark, folder):
 
 @query(NATION_SERIES)
 def csv_metadata(spark, folder):
+    """Columns in another order, and one more."""
     path = new_folder(spark)
-    panels.nation_metadata(spark, folder).write.option("header", True).csv(path)
+    shuffled = panels.nation_metadata(spark, folder).select(
+        "titulo_original", "variable", F.lit("x").alias("nota"), "frecuencia", "origen", "etiqueta"
+    )
+    shuffled.write.option("header", True).csv(path)
     return delimited.load_dim_serie(spark, path)
 
 
@@ -73,7 +81,7 @@ def csv_daily(spark, folder):
         F.when(F.day("fecha") != 13, F.col("valor")).alias("VALUE"),
     )
     daily.write.partitionBy("serie_id").option("header", True).csv(path)
-    files = {p: f"{path}/serie_id={p}" for p in panels.PRIORITIES}
+    files = {p: f"{path}/serie_id={p}" for p in panels.priorities(spark, folder)}
     files["absent"] = f"{path}/serie_id=absent"
     return delimited.load_daily(spark, files, period=(date(1996, 1, 1), date(2000, 12, 31)))
 
@@ -107,6 +115,36 @@ def sheet_scan(spark, folder):
     return found.withColumnRenamed("archivo", "serie_id")
 
 
+@query(f"""
+    WITH s AS (SELECT CAST(l_suppkey % 2 AS VARCHAR) AS mitad, CAST(date_trunc('month', l_shipdate) AS DATE) AS fecha,
+                      CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, COUNT(*) AS lineas
+               FROM lineitem GROUP BY 1, 2)
+    SELECT 'total ' || mitad AS serie_id, fecha, total AS valor FROM s
+    WHERE fecha BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
+    UNION ALL SELECT 'lineas ' || mitad, fecha, CAST(lineas AS DOUBLE) FROM s
+    WHERE fecha BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""")
+def ytd_loaded(spark, folder):
+    """Two sheets of one name in two folders, each with two series in columns of their own."""
+    lines = panels.table(spark, folder, "lineitem")
+    sums = lines.groupBy(
+        (F.col("l_suppkey") % 2).cast("string").alias("mitad"), dates.month_start("l_shipdate").alias("fecha")
+    ).agg(panels.money("l_extendedprice"), F.count(F.lit(1)).alias("lineas"))
+    file = F.concat(F.lit("/"), "mitad", F.lit("/cuadro.xlsx")).alias("archivo")
+    months = F.months_between("fecha", F.lit(date(1990, 1, 1))).cast("int")
+    below = sums.select(
+        file,
+        (months + 2).alias("row_idx"),
+        F.array(F.col("fecha").cast("string"), F.col("lineas").cast("string"), F.col("valor").cast("string")).alias("cells"),
+    )
+    head = F.array(F.lit("Fecha"), F.lit("Lineas"), F.lit("Total")).alias("cells")
+    above = sums.select("mitad").distinct().select(file, F.lit(1).alias("row_idx"), head)
+    files = {}
+    for half_ in "01":
+        files |= {f"total {half_}": (f"/{half_}/cuadro.xlsx", 2), f"lineas {half_}": (f"/{half_}/cuadro.xlsx", 1)}
+    period = (date(1996, 1, 1), date(2000, 12, 31))
+    return sheets.load_ytd(spark, files, period=period, rows=above.unionByName(below))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def declared_source(spark, folder):
     source = tables.Sources(spark, folder, ["orders"])
@@ -116,8 +154,8 @@ def declared_source(spark, folder):
 @query(f"""SELECT serie_id, fecha, valor FROM ({SUPPLIER_MONTH}) p
     WHERE fecha >= DATE '1998-01-01' AND fecha < DATE '1999-01-01'""")
 def published_table(spark, folder):
-    """Written clustered by series and date, replaced, read back by a pushable range."""
-    written = panels.published(panels.supplier_month(spark, folder), "supplier_month")
+    """Written clustered by series and date, read back by a pushable range."""
+    written = panels.published(panels.supplier_month(spark, folder))
     return written.where(dates.in_year(F.col("fecha"), 1998))
 
 
@@ -134,6 +172,31 @@ def appended_table(spark, folder):
     )
 
 
+@query(f"""
+    SELECT 'antes' AS vez, COUNT(*) AS filas, CAST(SUM(CAST(valor AS DECIMAL(18,2))) AS DOUBLE) AS suma
+    FROM ({SUPPLIER_MONTH}) p
+    UNION ALL SELECT 'despues', COUNT(*), CAST(SUM(CAST(valor AS DECIMAL(18,2))) AS DOUBLE) FROM ({PRIORITY_MONTH}) q
+    UNION ALL SELECT 'vacia', 0, NULL UNION ALL SELECT 'sin vista', 0, NULL""")
+def rebuilt_table(spark, folder):
+    """One path written, replaced, emptied; its view dropped; what was there each time."""
+    path, seen = new_folder(spark), []
+
+    def look(when, df):
+        sums = df.agg(F.count(F.lit(1)).alias("filas"), numbers.exact_sum(F.col("valor")).alias("suma"))
+        seen.append(settle(sums.select(F.lit(when).alias("vez"), "filas", "suma")))
+
+    view = f"rebuilt_{path.rsplit('/', 1)[-1]}"
+    look("antes", tables.publish(panels.supplier_month(spark, folder), view, kind="table", path=path))
+    look("despues", tables.publish(panels.priority_month(spark, folder), view, kind="table", path=path))
+    schema = T.StructType.fromDDL("serie_id string, fecha date, valor double")
+    emptied = tables.publish(tables.empty(spark, schema), view, kind="table", path=path)
+    look("vacia", emptied)
+    tables.drop_all(spark, [view])
+    if not spark.catalog.tableExists(view):
+        look("sin vista", emptied)
+    return reshape.concat(seen)
+
+
 @query(f"SELECT serie_id, fecha, valor FROM ({PRIORITY_MONTH}) p")
 def staging_view(spark, folder):
     tables.publish(panels.priority_month(spark, folder), "priority_month_view", layer="staging")
@@ -142,10 +205,10 @@ def staging_view(spark, folder):
 
 @query(f"""
     SELECT y.*, m.mm3 FROM ({_YOY}) y
-    JOIN (SELECT serie_id, fecha, {_MM3} AS mm3 FROM ({SUPPLIER_MONTH}) p) m USING (serie_id, fecha)""")
+    JOIN ({three_month_mean(SUPPLIER_MONTH)}) m USING (serie_id, fecha)""")
 def marts_from_table(spark, folder):
     """The derived relations read from a published panel, in one exchange."""
-    panel = panels.published(panels.supplier_month(spark, folder), "mensual")
+    panel = panels.published(panels.supplier_month(spark, folder))
     return moving_average(yoy_change(panel))
 
 

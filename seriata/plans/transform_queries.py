@@ -19,9 +19,12 @@ from seriata.plans.registry import (
     PRIORITY_QUARTER,
     SUPPLIER_MONTH,
     YTD_RAW,
+    a_year_before,
+    flows_of,
     half,
     mean,
     query,
+    three_month_mean,
 )
 
 
@@ -43,10 +46,7 @@ def accumulate_ytd(spark, folder):
     return panels.ytd_raw(spark, folder)
 
 
-@query(f"""
-    SELECT serie_id, fecha, total AS acumulado, total - IFNULL(LAG(total) OVER same_year, 0) AS flujo
-    FROM (SELECT serie_id, fecha - CAST(DAY(fecha) - 1 AS INT) AS fecha, valor AS total FROM ({YTD_RAW}) y) s
-    WINDOW same_year AS (PARTITION BY serie_id, YEAR(fecha) ORDER BY fecha)""")
+@query(flows_of(f"SELECT serie_id, CAST(date_trunc('month', fecha) AS DATE) AS fecha, valor FROM ({YTD_RAW}) y"))
 def staged_deaccumulated(spark, folder):
     staged = staging.stage_ytd(panels.ytd_raw(spark, folder))
     return tr.deaccumulate_ytd(staged, value="acumulado")
@@ -77,15 +77,9 @@ def unified_monthly(spark, folder):
     return tr.unified_monthly(tr.deaccumulate_ytd(raw), observed, dim, ytd_series=raw)
 
 
-_A_YEAR_AGO = "LAG(valor, 12) OVER history"
 _YOY = f"""
-    SELECT p.*, {_A_YEAR_AGO} AS hace_un_anio,
-           {half(f"(valor / NULLIF({_A_YEAR_AGO}, 0) - 1) * 100", 2)} AS var_interanual_pc
-    FROM ({SUPPLIER_MONTH}) p WINDOW history AS (PARTITION BY serie_id ORDER BY fecha)"""
-
-_MM3 = half(
-    "AVG(valor) OVER (PARTITION BY serie_id ORDER BY fecha ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", 4
-)
+    SELECT *, {half("(valor / NULLIF(hace_un_anio, 0) - 1) * 100", 2)} AS var_interanual_pc
+    FROM ({a_year_before(SUPPLIER_MONTH)}) y"""
 
 
 @query(_YOY)
@@ -93,14 +87,14 @@ def yoy_change(spark, folder):
     return tr.yoy_change(panels.supplier_month(spark, folder))
 
 
-@query(f"SELECT serie_id, fecha, valor, {_MM3} AS mm3 FROM ({SUPPLIER_MONTH}) p")
+@query(three_month_mean(SUPPLIER_MONTH))
 def moving_average_3(spark, folder):
     return tr.moving_average(panels.supplier_month(spark, folder))
 
 
 @query(f"""
     SELECT y.*, m.mm3 FROM ({_YOY}) y
-    JOIN (SELECT serie_id, fecha, {_MM3} AS mm3 FROM ({SUPPLIER_MONTH}) p) m USING (serie_id, fecha)""")
+    JOIN ({three_month_mean(SUPPLIER_MONTH)}) m USING (serie_id, fecha)""")
 def yoy_and_average(spark, folder):
     """Both windows over one exchange and one sort."""
     return tr.moving_average(tr.yoy_change(panels.supplier_month(spark, folder)))
@@ -177,14 +171,14 @@ def avg_of_avg_gap(spark, folder):
 # ---------------------------------------------------------------- reshaping
 
 
-def _wide(panel):
-    return panel.groupBy("fecha").pivot("serie_id", list(panels.PRIORITIES)).agg(F.max("valor"))
+def _wide(spark, folder, panel):
+    return panel.groupBy("fecha").pivot("serie_id", panels.priorities(spark, folder)).agg(F.max("valor"))
 
 
 def _monthly_wide(spark, folder):
     """The monthly panel with one empty cell."""
     gap = panels.is_month(1996, 5)
-    wide = _wide(panels.priority_month(spark, folder))
+    wide = _wide(spark, folder, panels.priority_month(spark, folder))
     return wide.withColumn("3-MEDIUM", F.when(~gap, F.col("3-MEDIUM")))
 
 
@@ -229,7 +223,7 @@ def wide_to_long(spark, folder):
     return reshape.wide_to_long(
         {
             "mensual": _monthly_wide(spark, folder),
-            "trimestral": _wide(panels.priority_quarter(spark, folder)),
+            "trimestral": _wide(spark, folder, panels.priority_quarter(spark, folder)),
         },
         _priority_dim(spark, folder),
         **_ROUTES,
@@ -240,7 +234,7 @@ def wide_to_long(spark, folder):
 def route_by_frequency(spark, folder):
     parts = {
         "mensual": _monthly_wide(spark, folder),
-        "trimestral": _wide(panels.priority_quarter(spark, folder)),
+        "trimestral": _wide(spark, folder, panels.priority_quarter(spark, folder)),
     }
     tagged = [reshape.melt_panel(p).withColumn("archivo", F.lit(t)) for t, p in parts.items()]
     return reshape.route_by_frequency(

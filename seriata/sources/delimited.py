@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from datetime import date
-from urllib.parse import quote
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,43 +17,65 @@ from seriata.functions.numbers import no_nan
 from seriata.operators.reshape import build_dim_serie, wide_to_long
 from seriata.sources.paths import existing, require
 
-PERIOD = (date(2015, 1, 1), date(2025, 12, 31))
-
-# File paths come as URIs; these characters stay plain in them.
-_PLAIN = "!$&'()*+,;=:@"
+_LOCAL = "^file:/+"
 
 _PAIR = T.StructType([T.StructField("fecha", T.DateType()), T.StructField("valor", T.DoubleType())])
 
 
 def read_panel(spark: SparkSession, path: str, *, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Wide panel: ``fecha`` and one double per series, named by the header.
+    """Wide panel: ``fecha`` and one double per series, named by each file's header.
 
-    A cell that is no number or date fails the read.  ``archivo`` and
-    ``orden`` tell the file and the place in it, for first-wins dedup.
+    Files that name the same columns in another order are read apart, one scan
+    per header.  A cell that is no number or date fails the read, as does a file
+    whose header changes meanwhile.  ``archivo`` and ``orden`` tell the file and
+    the place in it, for first-wins dedup.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType(
-        [T.StructField(c, T.DateType() if c == "fecha" else T.DoubleType()) for c in header]
-    )
-    return (
-        spark.read.schema(schema)
-        .options(header=True, dateFormat=date_format, mode="FAILFAST")
-        .csv(path)
-        .select(
-            "*",
-            F.col("_metadata.file_name").alias("archivo"),
-            # Blocks are read in order, each within one task.
-            F.struct(
-                "_metadata.file_path",
-                "_metadata.file_block_start",
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("orden"),
+    headers = _headers(spark, path)
+    columns = list(dict.fromkeys(c for header in headers for c in header))
+    parts = []
+    for header, files in headers.items():
+        schema = T.StructType(
+            [T.StructField(c, T.DateType() if c == "fecha" else T.DoubleType()) for c in header]
         )
-    )
+        part = (
+            spark.read.schema(schema)
+            .options(header=True, dateFormat=date_format, mode="FAILFAST", enforceSchema=False)
+            .csv(files)
+            .select(
+                "*",
+                F.col("_metadata.file_name").alias("archivo"),
+                # Blocks are read in order, each within one task.
+                F.struct(
+                    "_metadata.file_path",
+                    "_metadata.file_block_start",
+                    F.monotonically_increasing_id().alias("row"),
+                ).alias("orden"),
+            )
+        )
+        parts.append(part)
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return together.select(*[f"`{c}`" for c in columns], "archivo", "orden")
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files below ``path`` by their column names; the first lines alone are read.
+
+    The listing of a panel's files is as long as the number of its files.
+    """
+    files = [unquote(file) for file in sorted(spark.read.csv(path).inputFiles())]  # they come as URIs
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        found.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
+    return found
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.METADATA).option("header", True).csv(path)
+    """The metadata's columns by name, in whatever order the file has them; one that is missing fails."""
+    text = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schemas.METADATA if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schemas.METADATA])
 
 
 def load_dim_serie(spark: SparkSession, path: str) -> DataFrame:
@@ -78,40 +102,53 @@ def load_observations(
     return wide_to_long(wide, dim_serie, routes=routes, otherwise=otherwise)
 
 
-def series_of_file(files: Mapping[str, str]) -> Column:
-    """Series of the file being read, from its name or its folder's."""
-    names = {series: path.rstrip("/").split("/")[-1] for series, path in files.items()}
-    by_name = F.create_map(
-        *[F.lit(x) for series, name in names.items() for x in (quote(name, safe=_PLAIN), series)]
-    )
-    parts = F.split("_metadata.file_path", "/")
-    return F.coalesce(
-        F.try_element_at(by_name, F.element_at(parts, -1)),
-        F.try_element_at(by_name, F.element_at(parts, -2)),
+def plain_path(uri: str) -> str:
+    """A file's address without the scheme of local files, which is written in two ways."""
+    return re.sub(_LOCAL, "/", uri)
+
+
+def series_of_file(files: Mapping[str, str], found: Mapping[str, str]) -> Column:
+    """Series of the file being read, by its full path; a file of no series fails the query.
+
+    ``found`` maps every file to the path that it was asked for by.
+    """
+    by_path = {asked: series for series, asked in files.items()}
+    if len(by_path) < len(files):
+        raise ValueError("two series name one path")
+    known = F.create_map(
+        *[F.lit(x) for file, asked in found.items() for x in (plain_path(file), by_path[asked])]
     )
+    path = F.regexp_replace("_metadata.file_path", _LOCAL, "/")
+    stray = F.raise_error(F.concat(F.lit("no series has the file "), path))
+    return F.coalesce(F.try_element_at(known, path), stray)
 
 
 def load_daily(
     spark: SparkSession,
     files: Mapping[str, str],
     *,
-    period: tuple[date, date] = PERIOD,
+    period: tuple[date, date] | None,
     date_format: str = "yyyy-MM-dd",
 ) -> DataFrame:
-    """Two-column daily CSVs (series to file or folder), whatever their headers say.
+    """Two-column daily CSVs (series to file, folder or pattern), whatever their headers say.
 
     All files go through one scan, so the plan does not grow with the number
-    of series.  Dates are strict; rows without a value are dropped.
+    of series.  Dates are strict; rows without a value are dropped, and rows
+    outside ``period`` (closed; ``None`` keeps all).
     """
-    found = existing(spark, files.values())
-    if not found:
+    kept = existing(spark, files.values())
+    if not kept:
         return spark.createDataFrame([], schemas.FACT_OBSERVACION_DIARIA)
-    kept = {series: path for series, path in files.items() if path in found}
-    return (
+    found = {file: path for path in kept for file in spark.read.csv(path).inputFiles()}
+    rows = (
         spark.read.schema(_PAIR)
         .options(header=True, dateFormat=date_format, mode="FAILFAST")
-        .csv(found)
-        .select(series_of_file(kept).alias("serie_id"), "fecha", no_nan(F.col("valor")).alias("valor"))
-        .where(F.col("fecha").between(*period))
+        .csv(kept)
+        .select(
+            series_of_file({s: p for s, p in files.items() if p in kept}, found).alias("serie_id"),
+            "fecha",
+            no_nan(F.col("valor")).alias("valor"),
+        )
         .na.drop("any", subset=["fecha", "valor"])
     )
+    return rows.where(F.col("fecha").between(*period)) if period else rows

@@ -15,14 +15,14 @@ from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriata import schemas
 from seriata.functions.dates import try_date
 from seriata.functions.numbers import try_number
 from seriata.functions.text import starts_like
-from seriata.sources.delimited import PERIOD
+from seriata.sources.delimited import plain_path
 from seriata.sources.paths import existing
 
 HEADER_WORD = "fecha"
@@ -43,33 +43,34 @@ def scan_sheets(
     word: str = HEADER_WORD,
     header_rows: int = HEADER_ROWS,
     date_formats: tuple[str, ...] = (),
+    each: str | None = None,
 ) -> DataFrame:
     """``archivo, fecha, valor`` of every table row that parses.
 
-    ``value_column`` is the index of the value cell, or a column that gives it
-    per file.  A file without a header fails the query when its rows are read.
-    The headers are one row per file and come from its first rows only.
+    ``value_column`` is the index of the value cell, or a column that gives it.
+    ``each`` names an array column: a table row comes once per element, as
+    ``one``.  Other columns pass through.  A file without a header fails the
+    query when its rows are read.  The rows are read once and meet by file.
     """
     first_cell = F.try_element_at("cells", F.lit(1))
-    headers = (
-        rows.where((F.col("row_idx") < header_rows) & starts_like(first_cell, word))
-        .groupBy("archivo")
-        .agg(F.min("row_idx").alias("header"))
-    )
+    sheet = Window.partitionBy("archivo")  # bounded by the format
+    is_header = (F.col("row_idx") < header_rows) & starts_like(first_cell, word)
     index = F.lit(value_column) if isinstance(value_column, int) else value_column
     no_header = F.raise_error(F.concat(F.lit("no header row in "), F.col("archivo")))
     below = F.when(F.col("header").isNull(), no_header.cast("boolean")).otherwise(
         F.col("row_idx") > F.col("header")
     )
     return (
-        rows.join(headers, "archivo", "left")
+        rows.withColumn("header", F.min(F.when(is_header, F.col("row_idx"))).over(sheet))
         .where(below)
+        .withColumn("one", F.explode(each) if each else F.lit(None))
         .select(
-            "archivo",
+            *[c for c in rows.columns if c not in ("row_idx", "cells", each)],
+            *(["one"] if each else []),
             try_date(first_cell, *date_formats).alias("fecha"),
             try_number(F.try_element_at("cells", index + 1)).alias("valor"),
         )
-        .na.drop("any")
+        .na.drop("any", subset=["fecha", "valor"])
     )
 
 
@@ -77,34 +78,48 @@ def load_ytd(
     spark: SparkSession,
     files: Mapping[str, tuple[str, int]],
     *,
-    period: tuple[date, date] = PERIOD,
+    period: tuple[date, date] | None,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Year-to-date series (series to file and value column), never altered."""
-    found = existing(spark, [path for path, _ in files.values()])
-    if not found:
-        return spark.createDataFrame([], schemas.FACT_ACUMULADO_CRUDO)
-    names = {path.split("/")[-1]: (series, k) for series, (path, k) in files.items()}
-    series_of = F.create_map(*[F.lit(x) for n, (s, _) in names.items() for x in (n, s)])
-    column_of = F.create_map(*[F.lit(x) for n, (_, k) in names.items() for x in (n, k)])
-    table = scan_sheets(read_sheets(spark, *found), F.element_at(column_of, F.col("archivo")))
-    return table.where(F.col("fecha").between(*period)).select(
-        F.element_at(series_of, F.col("archivo")).alias("serie_id"), "fecha", "valor"
+    """Year-to-date series (series to sheet and value column), never altered.
+
+    A sheet may serve several series, each with its own column; it is read
+    once.  ``rows`` are the sheets' rows (``archivo, row_idx, cells``) where
+    they do not come from workbooks; the map then names ``archivo``.  Rows
+    outside ``period`` (closed; ``None`` keeps all) are left out.
+    """
+    if rows is None:
+        found = set(existing(spark, dict.fromkeys(path for path, _ in files.values())))
+        files = {series: spec for series, spec in files.items() if spec[0] in found}
+        if not files:
+            return spark.createDataFrame([], schemas.FACT_ACUMULADO_CRUDO)
+        of_path = {file: path for path in found for file in spark.read.format("binaryFile").load(path).inputFiles()}
+        asked = F.create_map(*[F.lit(x) for file, path in of_path.items() for x in (plain_path(file), path)])
+        address = F.regexp_replace("archivo", "^file:/+", "/")
+        rows = read_sheets(spark, *found).withColumn("archivo", F.element_at(asked, address))
+    spec = spark.createDataFrame(
+        [(series, path, column) for series, (path, column) in files.items()],
+        "serie_id string, archivo string, place int",
     )
+    by_file = spec.groupBy("archivo").agg(F.collect_list(F.struct("serie_id", "place")).alias("asked"))
+    wanted = rows.join(by_file, "archivo")
+    each = scan_sheets(wanted, F.col("one.place"), each="asked")
+    table = each.select(F.col("one.serie_id").alias("serie_id"), "fecha", "valor")
+    return table.where(F.col("fecha").between(*period)) if period else table
 
 
 def read_sheets(spark: SparkSession, *paths: str) -> DataFrame:
     """First sheet of each workbook (.xlsx) as numbered rows of text."""
     files = spark.read.format("binaryFile").load(list(paths))
-    return files.select("path", "content").mapInPandas(_rows_of_files, SHEET_SCHEMA)
+    return files.select(F.col("_metadata.file_path").alias("path"), "content").mapInPandas(_rows_of_files, SHEET_SCHEMA)
 
 
 def _rows_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            name = path.split("/")[-1]
             part: list[tuple[str, int, list[str | None]]] = []
             for i, cells in enumerate(_xlsx_rows(content)):
-                part.append((name, i, cells))
+                part.append((path, i, cells))
                 if len(part) == _ROWS_PER_BATCH:
                     yield pd.DataFrame(part, columns=["archivo", "row_idx", "cells"])
                     part = []

@@ -35,7 +35,7 @@ def clustered(df: DataFrame, by: Sequence[str], files: int | None = None) -> Dat
 
 def publish(
     df: DataFrame,
-    name: str,
+    name: str | None = None,
     *,
     kind: str | None = None,
     layer: str | None = None,
@@ -43,12 +43,13 @@ def publish(
     cluster_by: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> DataFrame:
-    """Create or replace ``name`` as a view or as a parquet table.
+    """Create or replace a view ``name``, or a parquet table.
 
     A table is written to ``path`` (replacing or, with ``mode="append"``,
     adding rows) and read back, so what follows starts from the written rows;
-    without a path it becomes a table of the session's catalog.  Do not
-    publish to a path that ``df`` reads.
+    with a ``name`` the session gets a view of it.  Without a path it becomes
+    the table ``name`` of the session's catalog.  Do not publish to a path that
+    ``df`` reads.
     """
     kind = kind or LAYERS[layer or "marts"]
     spark = df.sparkSession
@@ -63,7 +64,8 @@ def publish(
         return spark.table(name)
     rows.write.mode(mode).parquet(path)
     written = spark.read.parquet(path)
-    written.createOrReplaceTempView(name)
+    if name is not None:
+        written.createOrReplaceTempView(name)
     return written
 
 

@@ -103,3 +103,21 @@ def test_results_are_compared_not_texts(spark):
     assert not r.results_equal(one, one.unionByName(one.limit(1)))
     assert not r.results_equal(one, one.withColumnRenamed("b", "d"))
     assert r.results_equal(spark.createDataFrame([], PANEL), spark.createDataFrame([], PANEL))
+
+
+@pytest.mark.parametrize(
+    "left, right, equal",
+    [
+        ("9007199254740992L", "9007199254740993L", False),
+        ("12345678901234567.01BD", "12345678901234567.02BD", False),
+        ("1L", "1.0D", True),
+        ("10.50BD", "10.5D", True),
+        ("100", "100.000BD", True),
+        ("-0.0D", "0", True),
+        ("1e300D", "1e300D", True),
+        ("1e300D", "2e300D", False),
+        ("double('NaN')", "CAST(NULL AS DOUBLE)", True),
+    ],
+)
+def test_numbers_are_compared_by_type(spark, left, right, equal):
+    assert r.results_equal(spark.sql(f"SELECT {left} AS x"), spark.sql(f"SELECT {right} AS x")) == equal

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zipfile
 from datetime import date
 from pathlib import Path
@@ -61,12 +62,13 @@ def test_daily_by_position(spark, tmp_path):
         "usd": _write(tmp_path / "usd.csv", "observation_date,X\n2020-05-05,1.25\n"),
         "absent": str(tmp_path / "absent.csv"),
     }
-    got = delimited.load_daily(spark, files)
+    got = delimited.load_daily(spark, files, period=(date(2015, 1, 1), date(2025, 12, 31)))
     assert rows(got) == [("t2y", "2015-01-01", 2.0), ("t2y", "2025-12-31", 4.0), ("usd", "2020-05-05", 1.25)]
     wrong = {"w": _write(tmp_path / "wrong.csv", "DATE,V\nyesterday,1\n")}
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
-        delimited.load_daily(spark, wrong).collect()
-    assert delimited.load_daily(spark, {"a": str(tmp_path / "absent.csv")}).isEmpty()
+        delimited.load_daily(spark, wrong, period=None).collect()
+    assert delimited.load_daily(spark, {"a": str(tmp_path / "absent.csv")}, period=None).isEmpty()
+    assert delimited.load_daily(spark, {"t2y": files["t2y"]}, period=None).count() == 4
 
 
 def test_presence(spark, tmp_path):
@@ -143,11 +145,47 @@ def test_year_to_date_files(spark, tmp_path):
         "exp": (_xlsx(tmp_path / "exports.xlsx"), 1),
         "absent": (str(tmp_path / "absent.xlsx"), 1),
     }
-    got = sheets.load_ytd(spark, files)
+    got = sheets.load_ytd(spark, files, period=None)
     assert rows(got) == [("bal", "2020-01-31", 10.5), ("bal", "2020-02-29", 12.0), ("exp", "2020-02-29", 7.0)]
     early = sheets.load_ytd(spark, files, period=(date(2020, 1, 1), date(2020, 1, 31)))
     assert rows(early) == [("bal", "2020-01-31", 10.5)]
-    assert sheets.load_ytd(spark, {"a": (str(tmp_path / "absent.xlsx"), 1)}).isEmpty()
+    assert sheets.load_ytd(spark, {"a": (str(tmp_path / "absent.xlsx"), 1)}, period=None).isEmpty()
+
+
+def test_two_series_of_one_workbook_and_two_workbooks_of_one_name(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "y").mkdir()
+    one, other = _xlsx(tmp_path / "x" / "book.xlsx"), _xlsx(tmp_path / "y" / "book.xlsx")
+    got = sheets.load_ytd(spark, {"a": (one, 2), "b": (one, 1), "c": (other, 2)}, period=None)
+    assert rows(got) == [
+        ("a", "2020-01-31", 10.5), ("a", "2020-02-29", 12.0), ("b", "2020-02-29", 7.0),
+        ("c", "2020-01-31", 10.5), ("c", "2020-02-29", 12.0),
+    ]
+    assert len(re.findall("MapInPandas", got._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_columns_bind_by_name(spark, tmp_path):
+    text = "variable,frecuencia,etiqueta,titulo_original,origen\nffr,M,Fed funds,Title,FRED - FEDFUNDS\n"
+    got = delimited.load_dim_serie(spark, _write(tmp_path / "meta.csv", text))
+    assert rows(got, "etiqueta", "frecuencia", "proveedor") == [("Fed funds", "M", "FRED")]
+    with pytest.raises(ValueError, match="origen"):
+        delimited.read_metadata(spark, _write(tmp_path / "less.csv", "variable,etiqueta,frecuencia,titulo_original\n"))
+    (tmp_path / "wide").mkdir()
+    _write(tmp_path / "wide" / "1.csv", "fecha,x,y\n2020-01-01,1,2\n")
+    _write(tmp_path / "wide" / "2 b.csv", "fecha,y,x\n2020-02-01,4,3\n")
+    panel = delimited.read_panel(spark, str(tmp_path / "wide"))
+    assert rows(panel, "fecha", "x", "y") == [("2020-01-01", 1.0, 2.0), ("2020-02-01", 3.0, 4.0)]
+
+
+def test_daily_files_of_one_name_and_patterns(spark, tmp_path):
+    for folder, value in (("x", 1), ("y", 2)):
+        (tmp_path / folder).mkdir()
+        _write(tmp_path / folder / "d.csv", f"a,b\n2020-01-01,{value}\n")
+    files = {"one": str(tmp_path / "x" / "d.csv"), "two": str(tmp_path / "y" / "*.csv")}
+    got = delimited.load_daily(spark, files, period=None)
+    assert rows(got) == [("one", "2020-01-01", 1.0), ("two", "2020-01-01", 2.0)]
+    with pytest.raises(ValueError, match="two series"):
+        delimited.load_daily(spark, {"one": files["one"], "again": files["one"]}, period=None)
 
 
 def test_publish_replace_append_and_drop(spark, panel, tmp_path):

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seriata.functions.dates import in_year
-from seriata.operators import joins, staging
+from seriata.operators import staging
 from seriata.operators import transforms as tr
 
 
@@ -67,18 +67,14 @@ def test_unified_monthly_takes_each_series_once(spark, panel):
     assert rows(out) == [("m", "2020-01-01", 5.0), ("y", "2020-01-01", 1.0), ("y", "2020-02-01", 2.0)]
 
 
-@pytest.mark.parametrize("how, kept", [("left_semi", {"hot"}), ("left_anti", {"s0", "s1", "s2"})])
-def test_restrict_by_broadcast_and_by_salt(spark, how, kept):
-    fact = spark.range(900).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("serie_id"),
-        F.col("id").alias("fecha"),
-    )
-    fact = fact.unionByName(spark.createDataFrame([("s0", -1)], "serie_id string, fecha long"))
-    names = spark.createDataFrame([("hot",), ("absent",)], "serie_id string")
-    wide = joins.restrict(fact, names, "serie_id", how=how)
-    salted = joins.restrict(fact, names, "serie_id", how=how, broadcast_rows=0)
-    assert rows(wide) == rows(salted)
-    assert {r[0] for r in rows(salted.select("serie_id").distinct())} == kept
+def test_unified_monthly_runs_nothing_by_itself(spark, panel):
+    raw = panel([("y", "2020-01-31", 1.0)])
+    dim = spark.createDataFrame([("y", "M")], "serie_id string, frecuencia string")
+    spark.sparkContext.setJobGroup("unified", "unified")
+    out = tr.unified_monthly(tr.deaccumulate_ytd(raw), panel([("m", "2020-01", 2.0)]), dim, ytd_series=raw)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("unified")
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert "hint" not in out._jdf.queryExecution().analyzed().toString().lower()
 
 
 def test_yoy_needs_a_previous_value_that_is_not_zero(panel):

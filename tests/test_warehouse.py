@@ -99,7 +99,7 @@ def files(tmp_path):
 
 
 def test_from_files_to_verdict(spark, files, tmp_path):
-    star = load_star(spark, files)
+    star = load_star(spark, files, period=None)
     assert star.dim_fecha.count() == 36
     assert rows(star.observations.groupBy("serie_id").count()) == [("bal", 36), ("gdp", 12), ("rate", 36), ("t2y", 36)]
 
@@ -112,7 +112,7 @@ def test_from_files_to_verdict(spark, files, tmp_path):
 
 
 def test_the_star_reproduces_its_panels(spark, files):
-    star = load_star(spark, files)
+    star = load_star(spark, files, period=None)
     monthly, quarterly = (
         read_panel(spark, files.panels[tag]).drop("archivo", "orden") for tag in ("mensual", "trimestral")
     )
@@ -128,7 +128,7 @@ def test_the_star_reproduces_its_panels(spark, files):
 
 
 def test_a_broken_rebuild_is_seen(spark, files):
-    star = load_star(spark, files)
+    star = load_star(spark, files, period=None)
     spoiled = star.ytd_raw.withColumn("valor", F.when(F.col("fecha") == "2020-05-31", 1.0).otherwise(F.col("valor")))
     dim = star.dim_serie.where("serie_id <> 'gdp'")
     built = build_warehouse(dim, star.observations, spoiled)
