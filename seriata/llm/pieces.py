@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from seriata.session import settle
 
 SPACE = "▁"
+MOST = 1_000_000
 _BETWEEN = f"(?<=[^{SPACE}])(?={SPACE})"
 
 
@@ -25,9 +26,12 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     """``(id, piece, score, bytes)`` of a model file; ``score`` is NULL for pieces that texts cannot spell.
 
     ``bytes`` is what a piece stands for, as hexadecimal digits.  Fails for a
-    model with a piece that goes on behind a space.
+    model with a piece that goes on behind a space, or with more than ``MOST``
+    pieces: the table is broadcast.
     """
     loaded = sentencepiece.SentencePieceProcessor(model_file=model)
+    if loaded.get_piece_size() > MOST:
+        raise ValueError(f"more than {MOST} pieces")
     rows = []
     for i in range(loaded.get_piece_size()):
         piece = loaded.id_to_piece(i)
@@ -55,10 +59,11 @@ def encode_words(distinct: DataFrame, table: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(1), F.length("word"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))
     edges = (
-        distinct.withColumn("start", F.explode(starts))
+        distinct.repartition("word")  # the edges of a word stay where it is
+        .withColumn("start", F.explode(starts))
         .withColumn("size", F.explode(sizes))
         .withColumn("piece", F.expr("substring(word, start, size)"))
-        .join(spelled, "piece", "left")
+        .join(F.broadcast(spelled), "piece", "left")
         .where("id IS NOT NULL OR size = 1")
     )
     rank = F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("rank")
@@ -98,46 +103,75 @@ def _ids(cuts: Column) -> Column:
 FIRST_BYTE = 3  # number of the piece of byte 0; those of the other bytes follow
 
 
-def decode_words(encoded: DataFrame, table: DataFrame) -> DataFrame:
-    """Add ``decoded`` to ``encoded(word, ids)``: the word that the numbers spell."""
-    spelled = (
-        encoded.select("word", F.posexplode("ids").alias("place", "id"))
-        .join(table.select("id", "bytes"), "id")
+def spelled_words(encoded: DataFrame, table: DataFrame) -> DataFrame:
+    """``(word, ids, decoded)`` of ``encoded(word, ids)``: what the numbers of each word spell."""
+    parts = F.array_sort(F.collect_list(F.struct("place", "bytes")))
+    return (
+        encoded.select("word", "ids", F.posexplode("ids").alias("place", "id"))
+        .join(F.broadcast(table.select("id", "bytes")), "id")
         .groupBy("word")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "bytes"))).alias("parts"))
+        .agg(F.first("ids").alias("ids"), parts.alias("parts"))
+        .select("word", "ids", _bytes("parts").alias("decoded"))
     )
-    raw = F.unhex(F.array_join(F.transform("parts", lambda p: p["bytes"]), ""))
-    return encoded.join(spelled.select("word", raw.cast("string").alias("decoded")), "word", "left")
+
+
+def _bytes(parts: str) -> Column:
+    return F.unhex(F.array_join(F.transform(parts, lambda p: p["bytes"]), "")).cast("string")
+
+
+def decode(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``(doc_id, decoded)``: the text that ``rows(doc_id, ids)`` spell, for every row.
+
+    NULL or no numbers spell the empty text; numbers that are no piece spell
+    nothing.  Repeated rows, and rows without ``doc_id``, stay.
+    """
+    keyed = rows.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    parts = F.array_sort(F.collect_list(F.struct("place", "bytes")))
+    text = (
+        keyed.distinct()
+        .select("doc_id", "ids", F.posexplode("ids").alias("place", "id"))
+        .join(F.broadcast(table.select("id", "bytes")), "id")
+        .groupBy(F.col("doc_id").alias("__doc_id"), F.col("ids").alias("__ids"))
+        .agg(parts.alias("parts"))
+        .select("__doc_id", "__ids", _text(_bytes("parts")).alias("decoded"))
+    )
+    same = keyed["doc_id"].eqNullSafe(text["__doc_id"]) & (keyed["ids"] == text["__ids"])
+    return keyed.join(text, same, "left").select("doc_id", F.coalesce("decoded", F.lit("")).alias("decoded"))
 
 
 def encode(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """``(doc_id, ids, decoded)`` of every row of ``docs(doc_id, text)``.
+    """``(doc_id, ids, spelled)`` of every row of ``docs(doc_id, text)``.
 
-    ``decoded`` is the text that ``ids`` spell.  A NULL or empty text has no
-    pieces.  Repeated rows, and rows without ``doc_id``, stay; other columns are
-    ignored.  The time for one word grows with the square of its length.
+    ``spelled``: whether the numbers of each of its words spell that word.  A
+    NULL or empty text has no pieces.  Repeated rows, and rows without
+    ``doc_id``, stay; other columns are ignored.  The time for one word grows
+    with the square of its length.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("text", "doc_id"))
     met = keyed.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.posexplode(words("text")).alias("place", "word"))
     distinct = settle(keyed.select(F.explode(words("text")).alias("word")).distinct())
-    known = settle(decode_words(encode_words(distinct, table), table))
-    parts = F.array_sort(F.collect_list(F.struct("place", "ids", "decoded")))
+    known = settle(
+        spelled_words(encode_words(distinct, table), table).select(
+            "word", "ids", (F.col("word") == F.col("decoded")).alias("right")
+        )
+    )
+    parts = F.array_sort(F.collect_list(F.struct("place", "ids")))
     put = (
         met.join(known, "word")
         .groupBy("doc_id", "key")
-        .agg(parts.alias("parts"))
+        .agg(parts.alias("parts"), F.bool_and("right").alias("spelled"))
         .select(
             F.col("doc_id").alias("__doc_id"),
             F.col("key").alias("__key"),
             F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"),
-            _text(F.array_join(F.transform("parts", lambda p: p["decoded"]), "")).alias("decoded"),
+            "spelled",
         )
     )
     same = keyed["doc_id"].eqNullSafe(put["__doc_id"]) & (keyed["key"] == put["__key"])
     none = F.array().cast("array<int>")
     return keyed.join(put, same, "left").select(
-        "doc_id", F.coalesce("ids", none).alias("ids"), F.coalesce("decoded", F.lit("")).alias("decoded")
+        "doc_id", F.coalesce("ids", none).alias("ids"), F.coalesce("spelled", F.lit(True)).alias("spelled")
     )
 
 

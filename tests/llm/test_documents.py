@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -366,6 +367,10 @@ def test_pieces_equal_the_library(spark, odd, none):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
     got = pieces.encode(docs, known).collect()
     assert sorted(repr((r.doc_id, r.ids)) for r in got) == sorted(repr((i, library.encode(t or ""))) for i, t in short)
-    texts = {(i, (t or "").replace("▁", " ")) for i, t in short}
-    assert {(r.doc_id, r.decoded) for r in got} == texts
+    assert all(r.spelled for r in got)
+    again = pieces.decode(pieces.encode(docs, known), known).collect()
+    assert sorted(repr(tuple(r)) for r in again) == sorted(repr((i, (t or "").replace("▁", " "))) for i, t in short)
     assert pieces.encode(none, known).isEmpty()
+    odd_ids = spark.createDataFrame([(1, None), (None, []), (None, [1, 5])], "doc_id long, ids array<int>")
+    assert sorted(map(repr, pieces.decode(odd_ids, known).collect())) == sorted(map(repr, [
+        Row(doc_id=1, decoded=""), Row(doc_id=None, decoded=""), Row(doc_id=None, decoded="")]))
