@@ -23,7 +23,7 @@ from seriata.session import settle
 
 LENGTH = 2048
 GROUP = 4096  # documents packed together
-TEXT_BYTES = 1 << 20  # of text that a task tokenizes at once
+TEXT_BYTES = 1 << 22  # of text that a task tokenizes at once
 END = 0  # the number behind each document
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"

@@ -9,7 +9,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-KEPT = 250_000  # chunks, and words, whose numbers a worker remembers
+KEPT = 500_000  # chunks, and words, whose numbers a worker remembers
 
 # Chunks of these letters have no other form under NFC and are lower-cased letter by letter.
 _PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+").fullmatch
