@@ -19,6 +19,7 @@ from seriata.session import settle
 
 SPACE = "▁"
 MOST = 1_000_000
+WORDS = 50_000  # different words that a task encodes, about: their edges are sorted in memory
 _BETWEEN = f"(?<=[^{SPACE}])(?={SPACE})"
 
 
@@ -53,13 +54,13 @@ def words(text: str) -> Column:
 
 
 def encode_words(distinct: DataFrame, table: DataFrame) -> DataFrame:
-    """``(word, ids)`` of ``distinct(word)``, which must hold each word once."""
+    """``(word, ids)`` of ``distinct(word)``, a written table of each word once; its rows are counted."""
     spelled = table.where("score IS NOT NULL").select("id", "piece", "score")
     longest = spelled.agg(F.max(F.length("piece"))).first()[0] or 0
     starts = F.sequence(F.lit(1), F.length("word"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))
     edges = (
-        distinct.repartition("word")  # the edges of a word stay where it is
+        distinct.repartition(max(1, distinct.count() // WORDS), "word")  # its edges stay where a word is
         .withColumn("start", F.explode(starts))
         .withColumn("size", F.explode(sizes))
         .withColumn("piece", F.expr("substring(word, start, size)"))
