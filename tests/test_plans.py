@@ -13,6 +13,7 @@ from seriata.functions.dates import in_year
 from seriata.operators import quality, reconcile
 from seriata.operators import transforms as tr
 from seriata.plans import panels
+from seriata.sources import sheets
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -114,3 +115,16 @@ def test_empty_panels_have_plans_and_no_rows(spark):
         reconcile.reconcile(empty, empty),
     ):
         assert df.isEmpty()
+
+
+def test_sheet_rows_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "sheet")
+    cells = [("f", 0, ["fecha", "v"]), ("f", 1, ["2020-01-31", "1"])]
+    spark.createDataFrame(cells, sheets.SHEET_SCHEMA).write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = sheets.load_ytd(spark, {"a": ("f", 1), "b": ("f", 1)}, period=None, rows=spark.read.parquet(path))
+        assert plan(df).count("FileScan parquet") == 1
+        assert sorted(r.serie_id for r in df.collect()) == ["a", "b"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
