@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import __spark_entry__ as driver
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from seriata.llm import language, simhash, toxicity
+from seriata.llm import copies, language, simhash, toxicity
 from seriata.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -71,6 +73,50 @@ def test_one_document_of_each_class_stays(spark, planted):
     assert [r.text[:6] for r in rows if r.doc_id is None] == ["nobody"]
 
 
+def _alike(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.lower().split() for t in (a, b)))
+    return len(a & b) / len(a | b) >= 0.8
+
+
+def _changed(rng, words, at_most):
+    """The words with a few of them changed, next to one another or not."""
+    words = list(words)
+    for _ in range(rng.randint(1, at_most)):
+        words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 30, 100, 160]))] + common[: rng.choice([0, 30, 60])]
+        texts += [" ".join(base), " ".join(base).upper()] + [_changed(rng, base, 5) for _ in range(12)]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    changed = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if _alike(texts[i], texts[j]):
+                changed += texts[i].lower() != texts[j].lower()
+                parent[find(i)] = find(j)
+    assert changed > 100
+    want = {frozenset(j for j in range(len(texts)) if find(j) == find(i)) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for leaders in (copies.LEADERS, (1, 1)):
+        monkeypatch.setattr(copies, "LEADERS", leaders)
+        found = {}
+        for r in copies.with_class(docs).collect():
+            found.setdefault(r["class"], set()).add(r.doc_id)
+        assert {frozenset(c) for c in found.values()} == want
+
+
 def test_personal_data_is_masked(spark, planted):
     masked = corpus_pipeline.without_personal_data(spark, planted, FOLDER)
     texts = [r.text for r in masked.collect() if r.text]
