@@ -28,10 +28,12 @@ def different(df: DataFrame, key: str, embedding: str, keep: int) -> DataFrame:
     """``(ids, vec)``: each vector once, with the ``keep`` smallest numbers of its rows.
 
     A list of the best ``keep - 1`` rows cannot need more of equal vectors.
-    The ranks are cut on the side of the scan, so copies are not gathered.
+    Repeated rows count once: they fall together before they are ranked.  Both
+    are cut on the side of the scan, so copies are not gathered.
     """
     order = Window.partitionBy(embedding).orderBy(key)
-    ranked = df.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= keep)
+    once = df.select(key, embedding).distinct()
+    ranked = once.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= keep)
     return ranked.groupBy(F.col(embedding).alias("vec")).agg(F.array_sort(F.collect_set(key)).alias("ids"))
 
 

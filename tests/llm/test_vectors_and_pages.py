@@ -102,6 +102,16 @@ def test_topk_is_exact(spark, odd_vectors, monkeypatch, bucket):
     assert topk.search(empty, empty, 7).isEmpty() and topk.search(odd_vectors, empty, 7).isEmpty()
 
 
+def test_repeated_rows_take_no_place_of_other_numbers(spark, odd_vectors):
+    often = odd_vectors.where("vec_id BETWEEN 100 AND 129").crossJoin(spark.range(3).select())
+    hot = odd_vectors.where("vec_id = 100").crossJoin(spark.range(25).select())
+    rows = odd_vectors.unionByName(often).unionByName(hot)
+    asked = odd_vectors.where("vec_id IN (100, 101, 115)")
+    for search in (lambda of: topk.search(of, asked, 7), lambda of: neighbours.search(of, asked, 7, trees=3, visit=3.0)):
+        got, want = ({(r.query_id, r["rank"], r.vec_id) for r in search(of).collect()} for of in (rows, odd_vectors))
+        assert got == want and len(got) == 21
+
+
 def test_products_beyond_doubles_are_exact():
     a = np.array([3_000_000_019, -7], np.int64)
     b = np.array([[3_000_000_021, 5], [1 << 62, 1]], np.int64)
