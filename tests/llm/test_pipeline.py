@@ -117,6 +117,16 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch):
         assert {frozenset(c) for c in found.values()} == want
 
 
+def test_one_row_of_each_class_stays_whatever_its_number(spark, planted):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    near = third.replace("c50", "changed")
+    rows = [(7, one), (7, other), (8, other), (9, other), (None, third), (None, near), (7, one)]
+    docs = spark.createDataFrame([(i, t, "en", None, n) for n, (i, t) in enumerate(rows)], planted.schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, docs, FOLDER).collect()]
+    assert len(kept) == 3 and {(7, one), (7, other)} < set(kept)
+    assert [i for i, t in kept if t in (third, near)] == [None]
+
+
 def test_personal_data_is_masked(spark, planted):
     masked = corpus_pipeline.without_personal_data(spark, planted, FOLDER)
     texts = [r.text for r in masked.collect() if r.text]
