@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriata.llm import fixity, language, neighbours, pii, topk, toxicity
+from seriata.llm import alignment, byte_bpe, fixity, language, lexical, neighbours, pii, topk, toxicity
 from seriata.llm import pieces as sentencepieces
 from seriata.llm.common import doc_crc, table
 from seriata.llm.packing import pack, pieces
 from seriata.llm.simhash import near_duplicates
 from seriata.llm.urls import judge
+from seriata.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,3 +196,59 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = sentencepieces.encode(docs, known)
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "spelled")
+
+
+@query()
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """The byte-level token numbers of every document, and the bytes they stand for."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long"), "text")
+    found = byte_bpe.decode(byte_bpe.encode(docs, ranks).drop("text"), ranks)
+    return found.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the tokens of two tokenizers meet in every document, and how common these meetings are."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    groups = settle(alignment.align(table(spark, folder, "documents"), a, b))
+    scored = alignment.score(groups, alignment.count(groups, *alignment.vocabularies(a, b)))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    texts = alignment.texts(groups).select("row", digest)
+    return scored.join(texts, "row").drop("row")
+
+
+@query(r"""
+    WITH cut AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM documents
+    ),
+    lengths AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+    held AS (SELECT doc_id, term, count(*) AS tf FROM cut GROUP BY doc_id, term),
+    weighed AS (
+        SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM total) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM held GROUP BY term
+    ),
+    asked AS (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ),
+    scored AS (
+        SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf)
+               // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length)))) AS BIGINT) AS score
+        FROM asked JOIN weighed USING (term) JOIN held USING (term) JOIN lengths USING (doc_id), total
+        GROUP BY item_id, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 10""")
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 documents that score highest for each item of ``benchmark``."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
