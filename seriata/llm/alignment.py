@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,16 @@ from seriata.llm.common import bounded_batches, by_batch
 from seriata.llm.workers import kept
 from seriata.session import settle
 
-TEXT_CHARS = 1 << 18  # of text that a task tokenizes at once
+KEPT = 200_000  # words that a worker remembers
+KEPT_CHARS = 64  # longer words are not remembered
+TEXT_CHARS = 1 << 20  # of text that a task tokenizes at once
 SCORED = ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 COMMON = 1 << 16  # a pair is common if it makes up at least this part of all links by pairs
 
+COLUMNS = ("a", "b", "a_ends", "b_ends")
 _SPACE, _ALIKE = "▁", -1
 
-GROUPS = "row long, doc_id long, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>"
+GROUPS = "row long, doc_id long, a binary, b binary, a_ends binary, b_ends binary"
 
 
 def _letters() -> dict[str, int]:
@@ -40,8 +44,16 @@ def _letters() -> dict[str, int]:
     return {chr(byte): byte for byte in own} | {chr(256 + i): byte for i, byte in enumerate(rest)}
 
 
+Groups = tuple[bytes, bytes, bytes, bytes]  # the columns a, b, a_ends, b_ends of a text or a word
+NOTHING: Groups = (b"", b"", b"", b"")
+
+
 class Pair:
-    """Tokenizers A (byte-level) and B (pieces), and the bytes of their tokens."""
+    """Tokenizers A (byte-level) and B (pieces), the bytes of their tokens, and the groups of known words.
+
+    A single space between two other characters begins a token of A and of B,
+    so the groups of a text are those of its words, each with the space before it.
+    """
 
     def __init__(self, a: str, b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,21 +66,65 @@ class Pair:
             self.bytes_a[number] = bytes(map(letters.__getitem__, token)) if all(t in letters for t in token) else token.encode()
         self.bytes_b = [_bytes_of(self.b, number) for number in range(self.b.vocab_size())]
         self.length_a, self.length_b = (np.array(list(map(len, tokens)), np.int64) for tokens in (self.bytes_a, self.bytes_b))
+        self.begins_a, self.begins_b = (np.array([t[:1] == b" " for t in tokens]) for tokens in (self.bytes_a, self.bytes_b))
         self.alike = alike(self.bytes_a, self.bytes_b)
-
-    def groups(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Numbers of A and of B, and how many of each make up each group."""
-        spaced = [" " + (t or "") for t in texts]
-        of_a = self.a.encode_batch(spaced, add_special_tokens=False)
-        of_b = self.b.encode([s[1:] for s in spaced], num_threads=1)
-        for text, a, b in zip(spaced, of_a, of_b):
-            raw = text.encode()
-            ids_a, ids_b = np.array(a.ids, np.int32), np.array(b, np.int32)
-            same = len(raw) > 1 and all(b"".join(map(known.__getitem__, ids.tolist())) == raw for known, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
-            yield groups_of(ids_a, ids_b, self.length_a, self.length_b) if same else (_NONE, _NONE, _NONE, _NONE)
-
-
-_NONE = np.zeros(0, np.int32)
+        # A's pattern cuts at such a space; B must have no piece that goes over one.
+        self.by_word = not any(b" " in token.lstrip(b" ") for token in self.bytes_b)
+        self.words: dict[str, Groups | None] = {}
+        self.long: list[str] = []
+
+    def groups(self, texts: list[str | None]) -> Iterator[Groups]:
+        """The groups of each text; ``NOTHING`` where the tokens don't give it back."""
+        split = [t.split(" ") if t else [] for t in texts]
+        if len(self.words) > KEPT:
+            self.words.clear()
+        if self.by_word:
+            self._learn(list(set().union(*split) - self.words.keys()))
+        for text, words in zip(texts, split):
+            known = list(map(self.words.get, words))
+            if None in known:
+                yield self.of_text(text)
+            elif known:
+                yield tuple(map(b"".join, zip(*known)))
+            else:
+                yield NOTHING
+        for word in self.long:
+            self.words.pop(word, None)
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the groups of words; None for those that white space touches or that don't come back."""
+        self.long = [word for word in words if len(word) > KEPT_CHARS]
+        closed = [w for w in words if w and not (w[0].isspace() or w[-1].isspace() or _SPACE in w)]
+        self.words.update(dict.fromkeys(words))
+        if not closed:
+            return
+        a, b = self._tokens(" ".join(closed))
+        if a is None:
+            for word in closed:
+                groups = self.of_text(word)
+                self.words[word] = None if groups == NOTHING else groups
+            return
+        columns = [(x.astype("<u4").tobytes(), 4) for x in (a, b)] + [(e.tobytes(), 1) for e in ends_of(a, b, self.length_a, self.length_b)]
+        starts = [np.append(np.flatnonzero(begins[x]), len(x)).tolist() for x, begins in ((a, self.begins_a), (b, self.begins_b))]
+        assert len(starts[0]) == len(starts[1]) == len(closed) + 1
+        for i, word in enumerate(closed):
+            spans = [(at[i], at[i + 1]) for at in starts] * 2
+            self.words[word] = tuple(raw[size * x : size * y] for (raw, size), (x, y) in zip(columns, spans))
+
+    def of_text(self, text: str) -> Groups:
+        a, b = self._tokens(text)
+        if a is None:
+            return NOTHING
+        ends = ends_of(a, b, self.length_a, self.length_b)
+        return a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), ends[0].tobytes(), ends[1].tobytes()
+
+    def _tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | tuple[None, None]:
+        """Numbers of A for a space and the text, and of B, if both give back every byte."""
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        raw = (" " + text).encode()
+        if not text or any(b"".join(map(known.__getitem__, ids)) != raw for known, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            return None, None
+        return np.array(a, np.int32), np.array(b, np.int32)
 
 
 def _bytes_of(model: sentencepiece.SentencePieceProcessor, number: int) -> bytes:
@@ -84,23 +140,27 @@ def alike(bytes_a: list[bytes], bytes_b: list[bytes]) -> np.ndarray:
     return np.array([numbers.get(token, _ALIKE) for token in bytes_a], np.int32)
 
 
-def groups_of(a: np.ndarray, b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Cut two sequences over the same bytes wherever a token of each ends."""
+def ends_of(a: np.ndarray, b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of two sequences over the same bytes end where one of the other ends."""
     ends_a, ends_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
     at = np.searchsorted(ends_b, ends_a)  # the last byte ends one of each, so there is always a place
     meet = ends_b[at] == ends_a
-    last_a, last_b = np.flatnonzero(meet) + 1, at[meet] + 1
-    return a, b, np.diff(last_a, prepend=0).astype(np.int32), np.diff(last_b, prepend=0).astype(np.int32)
+    other = np.zeros(len(b), bool)
+    other[at[meet]] = True
+    return meet, other
 
 
-def written(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> str:
+def written(a: bytes, b: bytes, a_ends: bytes, b_ends: bytes) -> str:
     """Groups as text, such as ``a1,a2|b1;a3|b2,b3``."""
-    if not len(a):
+    if not a:
         return ""
-    group = np.arange(len(a_sizes))
-    key = np.concatenate([2 * np.repeat(group, a_sizes), 2 * np.repeat(group, b_sizes) + 1])
+    key = []
+    for side, ends in enumerate((a_ends, b_ends)):
+        last = np.frombuffer(ends, bool)
+        key.append(2 * (np.cumsum(last) - last) + side)  # the group, and in it A before B
+    key = np.concatenate(key)
     order = np.argsort(key, kind="stable")
-    key, numbers = key[order], np.concatenate([a, b])[order].tolist()
+    key, numbers = key[order], np.concatenate([np.frombuffer(x, "<u4") for x in (a, b)])[order].tolist()
     mark = np.where(key[1:] == key[:-1], 0, np.where(key[1:] & 1, 1, 2)).tolist()
     marks = (",", "|", ";")
     return "".join([f"{n}{marks[m]}" for n, m in zip(numbers, mark)]) + str(numbers[-1])
@@ -109,21 +169,22 @@ def written(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarr
 def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     """The tokens of every row of ``docs(doc_id, text)`` by A and by B, and their groups.
 
-    Gives ``row, doc_id, a, b, a_sizes, b_sizes``: token numbers, and how many
-    of each make up each group.  A stands for a space and the text, as B puts
-    a space in front itself.  A text that is NULL or empty, or of which the
-    tokens of A or B do not give back every byte (say, because it holds the
-    letter that stands for a space in B), has no tokens and no groups.  Texts
-    are taken whole; repeated rows, and rows without ``doc_id``, are rows of
-    their own; other columns are ignored.  ``row`` tells rows apart once they are written.
+    Gives ``row, doc_id, a, b, a_ends, b_ends``: token numbers as little-endian
+    unsigned 32-bit integers, and a byte for each token that is 1 if it is the
+    last of its group.  A stands for a space and the text, as B puts a space in
+    front itself.  A text that is NULL or empty, or of which the tokens of A or B
+    do not give back every byte (say, because it holds the letter that stands
+    for a space in B), has no tokens and no groups.  Texts are taken whole;
+    repeated rows, and rows without ``doc_id``, are rows of their own; other
+    columns are ignored.  ``row`` tells rows apart once they are written.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pair = kept(("alignment", a, b), lambda: Pair(a, b))
         texts = batch.column(2).to_pylist()
         found = [groups for some in _portions(texts) for groups in pair.groups(some)]
-        columns = [_lists([groups[i] for groups in found]) for i in range(4)]
-        return pa.record_batch([batch.column(0), batch.column(1), *columns], ["row", "doc_id", "a", "b", "a_sizes", "b_sizes"])
+        columns = [pa.array([groups[i] for groups in found], pa.binary()) for i in range(4)]
+        return pa.record_batch([batch.column(0), batch.column(1), *columns], ["row", "doc_id", *COLUMNS])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return by_batch(rows, run, GROUPS)
@@ -138,32 +199,26 @@ def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
             begin, size = i + 1, 0
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NONE, *parts])))
-
-
-class _Batch:
-    """The links of a batch of groups: row by row the last token of A and of B of each group."""
+class _Links:
+    """The links of some rows of groups: the last tokens of A and of B of each group."""
 
     def __init__(self, batch: pa.RecordBatch, known: np.ndarray):
-        a, b, self.a_sizes, self.b_sizes = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "a_sizes", "b_sizes"))
-        sizes_a, sizes_b = (_flat(s) for s in (self.a_sizes, self.b_sizes))
-        self.a, self.b = _flat(a)[np.cumsum(sizes_a) - 1], _flat(b)[np.cumsum(sizes_b) - 1]
-        self.rows = np.repeat(np.arange(batch.num_rows), _counts(self.a_sizes))
-        self.plain = (sizes_a == 1) & (sizes_b == 1) & (known[self.a] == self.b) if len(self.a) else np.zeros(0, bool)
+        parts = [batch.column(batch.schema.get_field_index(c)) for c in COLUMNS]
+        a, b, a_ends, b_ends = (np.frombuffer(b"".join(p.to_pylist()), kind) for p, kind in zip(parts, ("<u4", "<u4", bool, bool)))
+        self.a, self.b = a[a_ends].astype(np.int64), b[b_ends].astype(np.int64)
+        self.n_a, self.n_b = (np.array(pc.binary_length(p), np.int64) for p in parts[2:])
+        self.rows = np.repeat(np.arange(batch.num_rows), self.n_a)[a_ends]
+        # a group of one token of A is one of B too if both have the same bytes
+        alone = a_ends.copy()
+        alone[1:] &= a_ends[:-1]
+        starts = np.cumsum(self.n_a) - self.n_a
+        starts = starts[self.n_a > 0]
+        alone[starts] = a_ends[starts]
+        self.plain = alone[a_ends] & (known[self.a] == self.b)
 
     def pairs(self) -> np.ndarray:
         """A number for each link that is not plain: 2^32 times A's token, and B's."""
-        return self.a[~self.plain].astype(np.int64) << 32 | self.b[~self.plain]
-
-
-def _flat(lists: pa.ListArray) -> np.ndarray:
-    return lists.flatten().to_numpy()
-
-
-def _counts(lists: pa.ListArray) -> np.ndarray:
-    return np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        return self.a[~self.plain] << 32 | self.b[~self.plain]
 
 
 @dataclass(frozen=True)
@@ -193,7 +248,7 @@ def count(groups: DataFrame, known: np.ndarray, n_b: int) -> Counts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.zeros(len(known), np.int64)
         for batch in batches:
-            links = _Batch(batch, known)
+            links = _Links(batch, known)
             plain += np.bincount(links.a[links.plain], minlength=len(known))
             pair, n = np.unique(links.pairs(), return_counts=True)
             yield pa.record_batch([np.ones(len(pair), bool), pair, n], ["is_pair", "key", "n"])
@@ -201,7 +256,7 @@ def count(groups: DataFrame, known: np.ndarray, n_b: int) -> Counts:
         yield pa.record_batch([np.zeros(len(at), bool), at, plain[at]], ["is_pair", "key", "n"])
 
     bounded_batches(groups.sparkSession)
-    partial = settle(groups.select("a", "b", "a_sizes", "b_sizes").mapInArrow(run, "is_pair boolean, key long, n long"))
+    partial = settle(groups.select(*COLUMNS).mapInArrow(run, "is_pair boolean, key long, n long"))
     summed = partial.where("NOT is_pair").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     plain = np.zeros(len(known), np.int64)
     plain[summed["key"].to_numpy()] = summed["n"].to_numpy()
@@ -231,7 +286,7 @@ def score(groups: DataFrame, counts: Counts) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, plain, best, common, common_n = sent.value
-        links, rows = _Batch(batch, known), batch.num_rows
+        links, rows = _Links(batch, known), batch.num_rows
         n = np.zeros(len(links.a), np.int64)
         n[links.plain] = plain[links.a[links.plain]]
         pair = links.pairs()
@@ -244,8 +299,8 @@ def score(groups: DataFrame, counts: Counts) -> DataFrame:
         of = links.rows[~links.plain][~found]
         ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)
         rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(pair[~found]))
-        size_a, size_b, n_groups = (_counts(batch.column(batch.schema.get_field_index(c))) for c in ("a", "b", "a_sizes"))
-        columns = [batch.column(0), batch.column(1), size_a, size_b, n_groups, n_groups, is_best, total, rare]
+        n_groups = np.bincount(links.rows, minlength=rows)
+        columns = [batch.column(0), batch.column(1), links.n_a, links.n_b, n_groups, n_groups, is_best, total, rare]
         return pa.record_batch(columns, [*SCORED, "rare"])
 
     scored = settle(by_batch(groups, run, ", ".join(f"{c} long" for c in SCORED) + ", rare array<long>"))
@@ -264,9 +319,7 @@ def texts(groups: DataFrame) -> DataFrame:
     """``(row, groups)``: the groups of each row as text, as ``written`` has them; empty without tokens."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "a_sizes", "b_sizes")]
-        flat, ends = [_flat(x) for x in lists], [x.offsets.to_numpy() - x.offsets[0].as_py() for x in lists]
-        found = [written(*(f[e[i] : e[i + 1]] for f, e in zip(flat, ends))) for i in range(batch.num_rows)]
+        found = [written(*groups) for groups in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in COLUMNS))]
         return pa.record_batch([batch.column(0), pa.array(found, pa.string())], ["row", "groups"])
 
     return by_batch(groups, run, "row long, groups string")
