@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriata.llm.common import bounded_batches, by_batch
-from seriata.llm.workers import kept
+from seriata.llm.workers import kept, release
 from seriata.session import settle
 
-KEPT = 200_000  # words that a worker remembers
+KEPT = 60_000  # words that a worker remembers
 KEPT_CHARS = 64  # longer words are not remembered
-TEXT_CHARS = 1 << 20  # of text that a task tokenizes at once
+TEXT_CHARS = 1 << 18  # of text that a task tokenizes at once
 SCORED = ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 COMMON = 1 << 16  # a pair is common if it makes up at least this part of all links by pairs
 
@@ -246,6 +246,7 @@ def count(groups: DataFrame, known: np.ndarray, n_b: int) -> Counts:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         plain = np.zeros(len(known), np.int64)
         for batch in batches:
             links = _Links(batch, known)
@@ -285,6 +286,7 @@ def score(groups: DataFrame, counts: Counts) -> DataFrame:
     sent = spark.sparkContext.broadcast((counts.alike, counts.plain, counts.best, counts.common, counts.common_n))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        release()
         known, plain, best, common, common_n = sent.value
         links, rows = _Links(batch, known), batch.num_rows
         n = np.zeros(len(links.a), np.int64)
@@ -319,6 +321,7 @@ def texts(groups: DataFrame) -> DataFrame:
     """``(row, groups)``: the groups of each row as text, as ``written`` has them; empty without tokens."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        release()
         found = [written(*groups) for groups in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in COLUMNS))]
         return pa.record_batch([batch.column(0), pa.array(found, pa.string())], ["row", "groups"])
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
@@ -51,6 +51,12 @@ def with_columns(
     return by_batch(docs, run, f"{kept}, {added}")
 
 
+def stretch(text: str, chars: int) -> Column:
+    """The text, or of a longer one ``chars`` characters in a row from a place fixed by its hash."""
+    free = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(F.col(text), F.pmod(F.xxhash64(text), free).cast("int") + 1, F.lit(chars))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))

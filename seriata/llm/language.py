@@ -21,12 +21,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import by_batch, fixed_sample, with_columns
+from seriata.llm.common import by_batch, fixed_sample, stretch, with_columns
+from seriata.llm.workers import kept
 
 ORDER = 4
 SAMPLE_DOCS = 500  # documents a language is learned from, about
-SAMPLE_CHARS = 20_000  # longer documents are not learned from
-KEPT = 250_000  # words whose code lengths a worker remembers
+SAMPLE_CHARS = 20_000  # of a document that are learned from
+KEPT = 100_000  # words whose code lengths a worker remembers
 UNKNOWN = "und"
 AT_ONCE = 256  # texts whose words are coded together
 _WORDS_AT_ONCE = 1 << 15
@@ -149,8 +150,8 @@ class Coder:
 
 def sample_counts(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFrame:
     """``(lang, gram, n)`` over a fixed choice of ``docs(doc_id, text, lang)`` per language."""
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    chosen = fixed_sample(usable.select("doc_id", "text", "lang"), "lang", docs_per_language).select("lang", "text")
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    chosen = fixed_sample(usable, "lang", docs_per_language).select("lang", stretch("text", SAMPLE_CHARS).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         by_language: dict[str, list[bytes]] = {}
@@ -173,10 +174,11 @@ def sample_counts(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Data
 
 
 def train(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Model:
-    """Trees from about ``docs_per_language`` whole documents of each language.
+    """Trees from about ``docs_per_language`` documents of each language.
 
-    Documents of more than ``SAMPLE_CHARS`` characters are not chosen, so what
-    reaches the driver is bounded by the number of languages.
+    Of longer documents a stretch of ``SAMPLE_CHARS`` characters is taken, at a
+    place fixed by their hash, so what reaches the driver is bounded by the
+    number of languages.
     """
     rows = sample_counts(docs, docs_per_language).toArrow()
     language = rows["lang"].combine_chunks().dictionary_encode()
@@ -185,38 +187,33 @@ def train(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row of ``docs(text, ...)``.
+    """Add ``lang_pred``, ``score`` and ``bits`` to every row of ``docs(text, ...)``.
 
     ``score`` is the chance of the predicted language, all languages being as
-    likely beforehand.  A text that is NULL or has no letter, and any text if no
+    likely beforehand; ``bits`` is the text's code length in it per byte, NULL
+    where there is none.  A text that is NULL or has no letter, and any text if no
     language was learned, is ``und`` with the score 0.  Ties go to the language
-    that sorts first.  Other columns pass through, columns of the two names are
+    that sorts first.  Other columns pass through, columns of the three names are
     replaced; repeated rows stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         languages = sent.value.languages
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        names, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
         judged = [i for i, t in enumerate(texts) if t and _has_letter(t)] if languages else []
         for begin in range(0, len(judged), AT_ONCE):
             some = judged[begin : begin + AT_ONCE]
             for i, bits in zip(some, _coder(sent).lengths([texts[i] for i in some])):
                 best = int(np.argmin(bits))
                 names[i] = languages[best]
+                rates[i] = float(bits[best]) / sum(len(w) + 1 for w in words_of(texts[i]))
                 scores[i] = float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
 
-    return with_columns(docs, run, "lang_pred string, score double")
-
-
-_CODERS: dict[int, Coder] = {}
+    return with_columns(docs, run, "lang_pred string, score double, bits double")
 
 
 def _coder(sent: Broadcast) -> Coder:
     """One coder per worker and model, so that words are remembered from task to task."""
-    key = id(sent.value)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(sent.value)
-    return _CODERS[key]
+    return kept(("language", id(sent.value)), lambda: Coder(sent.value))

@@ -10,7 +10,6 @@ could not fill is packed once more, in fewer groups.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from seriata.llm.common import by_batch
 from seriata.llm.tokens import WordTokenizer
+from seriata.llm.workers import kept
 from seriata.session import settle
 
 LENGTH = 2048
@@ -30,9 +30,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids a
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return kept(("words", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:

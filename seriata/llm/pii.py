@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import fixed_sample, with_columns
+from seriata.llm.common import fixed_sample, stretch, with_columns
+from seriata.llm.workers import release
 
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9  # chance from which a token becomes a span
 SAMPLE_DOCS = 4000
-SAMPLE_CHARS = 20_000  # longer documents are not learned from
+SAMPLE_CHARS = 20_000  # of a document that are learned from
 SHAPES = 500
 ROUNDS = 12  # of message passing
 AT_ONCE = 256  # documents whose fields are solved together
@@ -245,10 +246,15 @@ def further_spans(field: Field, texts: list[str], found: list[list[Span]]) -> li
 
 
 def train(docs: DataFrame, n: int = SAMPLE_DOCS) -> Field:
-    """Learn from a fixed choice of about ``n`` documents of ``docs(doc_id, text)`` with a digit or at sign."""
-    usable = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
+    """Learn from a fixed choice of about ``n`` documents of ``docs(doc_id, text)`` with a digit or at sign.
+
+    Of longer documents a stretch of ``SAMPLE_CHARS`` characters is taken, at a
+    place fixed by their hash.
+    """
+    usable = docs.where(F.col("text").rlike("[0-9@]"))
     dealt = usable.select("doc_id", "text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(16)).alias("deal"))
-    chosen = fixed_sample(dealt, "deal", -(-n // 16)).select("text").orderBy(F.xxhash64("text"), "text")
+    chosen = fixed_sample(dealt, "deal", -(-n // 16)).select(stretch("text", SAMPLE_CHARS).alias("text"))
+    chosen = chosen.orderBy(F.xxhash64("text"), "text")
     return learn(chosen.toArrow()["text"].to_pylist())
 
 
@@ -263,6 +269,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(texts: list[str | None]) -> list[pa.Array]:
+        release()
         rows = []
         for begin in range(0, len(texts), AT_ONCE):
             some = [t or "" for t in texts[begin : begin + AT_ONCE]]

@@ -25,13 +25,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import fixed_sample, with_columns
+from seriata.llm.common import fixed_sample, stretch, with_columns
+from seriata.llm.workers import kept
 from seriata.session import settle
 
 DECAY = 0.7
 LANDMARKS = 256
 SAMPLE_DOCS = 1500  # documents of each label that are learned from, about
-SAMPLE_CHARS = 20_000  # longer documents are not learned from
+SAMPLE_CHARS = 20_000  # of a document that are learned from
 NEGATIVES = 3_000  # different tokens of clean documents, and as many of those that come closest
 ROUNDS = 4
 MENTIONS = 0.01  # share of the toxic texts in which a token must be found to stand for them
@@ -39,7 +40,7 @@ ODDS = 1.5  # how much likelier, in logarithms, it must be there than in clean o
 NEAR_BEST = 1.0  # and how close to the likeliest token of the text
 WINDOW = 24  # letters that one kernel sees; longer tokens are seen in overlapping windows
 THRESHOLD = 0.3
-KEPT = 250_000  # tokens whose margins a worker remembers
+KEPT = 100_000  # tokens whose margins a worker remembers
 FLOOR = -1.0  # the least margin that is told apart, and that of a text without tokens
 
 _LETTERS = 64
@@ -272,14 +273,15 @@ def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_DOCS) -> DataF
     """``(text, toxic)`` of about ``each`` documents of either label, a fixed choice.
 
     ``docs(doc_id, text)``; of several labels of a document ``labels(doc_id,
-    toxic)`` the highest counts.  Documents of more than ``SAMPLE_CHARS``
-    characters are left to the others.
+    toxic)`` the highest counts.  Of longer documents a stretch of
+    ``SAMPLE_CHARS`` characters is taken, at a place fixed by their hash.
     """
     marked = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    usable = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    usable = docs.where("text IS NOT NULL").select("doc_id", "text")
     labelled = usable.select("doc_id").join(marked, "doc_id")
     chosen = settle(fixed_sample(labelled, "toxic", each, key=("doc_id",)))  # about twice ``each`` numbers
-    return usable.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    rows = usable.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return rows.select(stretch("text", SAMPLE_CHARS).alias("text"), "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_DOCS) -> Machine:
@@ -305,13 +307,6 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return with_columns(docs, run, "score double")
 
 
-_JUDGES: dict[int, Judge] = {}
-
-
 def _judge(sent: Broadcast) -> Judge:
     """One judge per worker and machine, so that tokens are remembered from task to task."""
-    key = id(sent.value)
-    if key not in _JUDGES:
-        _JUDGES.clear()
-        _JUDGES[key] = Judge(sent.value)
-    return _JUDGES[key]
+    return kept(("toxicity", id(sent.value)), lambda: Judge(sent.value))

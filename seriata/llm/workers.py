@@ -21,3 +21,8 @@ def kept(key: Hashable, make: Callable[[], Kept]) -> Kept:
         _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def release() -> None:
+    """Let go of what earlier stages left in the worker; for stages that need no such object."""
+    _KEPT.clear()

@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from seriata.llm import copies, language, simhash, toxicity
+from seriata.llm import copies, language, toxicity
 from seriata.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,9 +35,9 @@ def planted(spark):
 
 def test_registered():
     names = driver.queries()
-    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
-    assert {"op3_warc", "op6_topk", "op8_url_filter"} <= set(driver.oracle_sql())
+    assert {"op3_warc", "op6_topk", "op8_url_filter", "op13_lexical"} <= set(driver.oracle_sql())
 
 
 def test_stages_keep_the_columns_and_pass_on_what_they_keep(spark, planted):
@@ -64,13 +64,67 @@ def test_documents_without_letters_go(spark, planted):
     assert language.UNKNOWN == "und"
 
 
+def _plain_classes(texts):
+    """Classes of texts by the Jaccard similarity of all pairs of sets of five words in a row."""
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set()))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, one in enumerate(sets):
+        for j in range(i):
+            both = len(one & sets[j])
+            if 9 * both >= 4 * (len(one) + len(sets[j])):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
 def test_one_document_of_each_class_stays(spark, planted):
-    kept = corpus_pipeline.without_near_duplicates(spark, planted, FOLDER)
-    classes = simhash.near_duplicates(planted)
-    want = {r.component_id for r in classes.where("component_id IS NOT NULL").collect()}
-    rows = kept.select("doc_id", "text").collect()
-    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(want)
-    assert [r.text[:6] for r in rows if r.doc_id is None] == ["nobody"]
+    docs = planted.select("doc_id", "text").collect()
+    classes = {}
+    for r, c in zip(docs, _plain_classes([r.text for r in docs])):
+        classes.setdefault(c, []).append((r.doc_id is None, r.doc_id or 0, r.text or ""))
+    kept = corpus_pipeline.without_near_duplicates(spark, planted, FOLDER).select("doc_id", "text").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(min(c)[:2] for c in classes.values())
+    assert len(kept) < len(docs) - 4
+
+
+def test_columns_of_any_name_pass_through(spark, planted):
+    """Names that the operators use themselves."""
+    names = ["spans", "root", "class", "score", "lang_pred", "bits", "__class", "__rank", "__rest", "a b", "row", "node"]
+    docs = planted.select("doc_id", "text", "lang", *[F.concat(F.lit(f"{n} of "), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        named = out.where("doc_id IS NOT NULL")
+        assert named.count() > 100
+        for n in names:
+            assert named.where(F.col(f"`{n}`") != F.concat(F.lit(f"{n} of "), F.col("doc_id"))).isEmpty()
+
+
+def test_language_stage_without_a_language_to_learn(spark, planted):
+    docs = planted.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.in_a_language(spark, docs, FOLDER)
+    gone = {r.doc_id for r in docs.exceptAll(kept).collect()}
+    assert gone == {10**6 + 2, 10**6 + 3, 10**6 + 4}
+
+
+def test_language_stage_judges_by_code_length(spark, planted):
+    noise = random.Random(1)
+    text = " ".join("".join(chr(noise.randrange(0x4E00, 0x9FA0)) for _ in range(5)) for _ in range(200))
+    docs = planted.unionByName(spark.createDataFrame([(77777777, text, None, "s", 1)], planted.schema))
+    kept = {r.doc_id for r in corpus_pipeline.in_a_language(spark, docs, FOLDER).select("doc_id").collect()}
+    scored = language.identify(docs, language.train(docs.where(corpus_pipeline.doc_crc() % 5 != 0)))
+    bits = {r.doc_id: r.bits for r in scored.collect()}
+    assert kept == {i for i, b in bits.items() if b is not None and b < corpus_pipeline.FOREIGN}
+    assert 77777777 not in kept and max(b for b in bits.values() if b) > 15
+    assert sorted(b for b in bits.values() if b)[-2] < 9  # all others stay with room to spare
 
 
 def _alike(a, b):
