@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriata.functions.dates import next_period, period_start, periods_between
+from seriata.functions.exact import exact_moments, exact_totals
 from seriata.functions.numbers import number_text
 from seriata.operators.reshape import concat
 from seriata.operators.windows import SLICE, slices_needed, with_lookback
@@ -31,6 +32,9 @@ STALE = "serie desactualizada"
 STALE_DETAIL = "termina antes que el resto del panel"
 
 
+_KEY = "__key"
+
+
 class QualityError(ValueError):
     """The report holds errors."""
 
@@ -107,53 +111,38 @@ def find_jumps(
     sigmas: float = 5,
     order: Sequence[str] = ("fecha",),
     value: str = "valor",
-    digits: int = 6,
     slices: int | str | None = None,
 ) -> DataFrame:
     """Rows whose change is more than ``sigmas`` deviations from the series' mean change.
 
     Adds ``cambio`` and ``desviaciones``.  ``order`` identifies a row within
     its series; ``slices="auto"`` cuts series too long for one task.  Mean and
-    deviation come from the count, the sum and the sum of squares of the changes
-    to ``digits`` decimals, summed as whole numbers: the same to the last bit in
-    any order and any number of slices.
+    deviation come from exact sums: the same to the last bit in any order and
+    any number of slices, whatever the size of the changes.
     """
     if slices == "auto":
         slices = slices_needed(df, ["serie_id"])
     changes = with_lookback(
-        df,
+        df.withColumn(_KEY, F.struct("serie_id")).drop("serie_id"),  # equal to itself even if the series is NULL
         lambda w: {"cambio": F.col(value) - F.lag(value).over(w)},
-        series=["serie_id"],
+        series=[_KEY],
         order=order,
         back=1,
         slices=slices,
         keep_slice=True,
     )
-    whole = Window.partitionBy("serie_id")
-    units = F.rint(F.col("cambio") * float(10**digits)).cast("bigint").cast("decimal(19,0)")
-    sums = {"__n": F.count("cambio"), "__s": F.sum(units), "__q": F.sum(units * units)}
+    moments = exact_moments(changes, [_KEY], "cambio").select(_KEY, "media", "desviacion")
     if slices:
-        # A few rows per slice are summed per series and met by series and slice,
-        # so no task holds a whole series.
-        by_slice = changes.groupBy("serie_id", SLICE).agg(*[s.alias(c) for c, s in sums.items()])
-        totals = by_slice.select(
-            F.col("serie_id").alias("__serie_id"),
-            F.col(SLICE).alias(f"__{SLICE}"),
-            *[F.sum(c).over(whole).alias(c) for c in sums],
-        )
-        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("serie_id", SLICE)]
-        measured = changes.join(totals, same).drop("__serie_id", f"__{SLICE}")
-    else:
-        # The changes already lie together by series: no further shuffle.
-        measured = changes.withColumns({c: s.over(whole) for c, s in sums.items()})
-    n, s, q = (F.col(c).cast("double") for c in sums)
-    mean = F.try_divide(s, n) / 10.0**digits
-    deviation = F.sqrt(F.try_divide(q - F.try_divide(s * s, n), n - 1)) / 10.0**digits
-    away = F.abs(F.col("cambio") - mean)
+        # A row per series and slice meets the changes, so that no task holds a whole series.
+        moments = changes.select(_KEY, SLICE).distinct().join(moments, _KEY)
+    # Without slices the changes already lie together by series: both sides read one exchange.
+    measured = changes.join(moments, [_KEY, SLICE] if slices else _KEY)
+    away = F.abs(F.col("cambio") - F.col("media")) / F.col("desviacion")
     return (
-        measured.withColumn("desviaciones", F.when(deviation > 0, away / deviation))
+        measured.withColumn("desviaciones", F.when(F.col("desviacion") > 0, away))
         .where(F.col("desviaciones") > sigmas)
-        .drop(*sums, SLICE)
+        .withColumn("serie_id", F.col(_KEY)["serie_id"])
+        .select(*df.columns, "cambio", "desviaciones")
     )
 
 
@@ -171,12 +160,13 @@ def check_jumps(df: DataFrame, **options) -> DataFrame:
 def find_ytd_mismatches(flows: DataFrame, *, tol: float = 1e-6) -> DataFrame:
     """Series-years whose flows do not add up to the December total.
 
-    Years without a December total are left out.
+    Flows are added exactly; years without a December total are left out.
     """
-    december = F.when(F.month("fecha") == 12, F.col("acumulado"))
-    by_year = flows.groupBy("serie_id", F.year("fecha").alias("anio")).agg(
-        F.sum("flujo").alias("suma_flujos"), F.max(december).alias("acumulado_diciembre")
-    )
+    key = F.struct("serie_id", F.year("fecha").alias("anio")).alias(_KEY)
+    dated = flows.select(key, "flujo", F.when(F.month("fecha") == 12, F.col("acumulado")).alias("diciembre"))
+    sums = exact_totals(dated, [_KEY], {"suma_flujos": [F.col("flujo")]}).select(_KEY, "suma_flujos")
+    december = dated.groupBy(_KEY).agg(F.max("diciembre").alias("acumulado_diciembre"))
+    by_year = sums.join(december, _KEY).select(f"{_KEY}.*", "suma_flujos", "acumulado_diciembre")
     difference = F.abs(F.col("suma_flujos") - F.col("acumulado_diciembre"))
     return by_year.withColumn("diferencia", difference).where(F.col("diferencia") > tol)
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriata.functions.dates import month_start, quarter_start
+from seriata.functions.exact import exact_moments
 from seriata.functions.numbers import mean_of, ratio, round_at
+from seriata.operators.anti import not_in
 from seriata.operators.windows import with_lookback, with_running_total
 
 
@@ -53,11 +55,13 @@ def accumulate_ytd(
     value: str = "valor",
     name: str = "acumulado",
     digits: int | None = None,
+    exact: bool = False,
     slices: int | str | None = None,
 ) -> DataFrame:
     """Running total within each series and year; rows of one date count together.
 
-    ``digits``: the values' decimals, for totals that are exact in any row order.
+    ``digits``: the values' decimals, for totals that are exact in any row
+    order; ``exact``: the same for doubles of any size.
     """
     totals = with_running_total(
         df.withColumn("__year", F.year(date)),
@@ -66,6 +70,7 @@ def accumulate_ytd(
         group=[series, "__year"],
         order=[date],
         digits=digits,
+        exact=exact,
         slices=slices,
     )
     return totals.drop("__year")
@@ -85,14 +90,11 @@ def unified_monthly(
     observations are joined once.  ``ytd_series`` may be any frame with the
     year-to-date series in ``serie_id``; their list or dimension spares a pass
     over their totals.  Nothing runs before the result is asked for, and Spark
-    decides by size whether the names are broadcast.
+    decides by size whether the names are broadcast.  As with NOT IN, a NULL
+    among the year-to-date series leaves no series observed at ``freq``.
     """
     published = (flows if ytd_series is None else ytd_series).select("serie_id").distinct()
-    wanted = (
-        dim_serie.where(F.col("frecuencia") == freq)
-        .select("serie_id")
-        .join(published, "serie_id", "left_anti")
-    )
+    wanted = not_in(dim_serie.where(F.col("frecuencia") == freq).select("serie_id"), "serie_id", published)
     observed = observations.join(wanted, "serie_id", "left_semi")
     return flows.select("serie_id", "fecha", F.col("flujo").alias("valor")).unionByName(
         observed.select("serie_id", "fecha", "valor")
@@ -174,8 +176,11 @@ def carried_monthly(
 
 
 def quarterly_means(df: DataFrame, *, decimals: int | None = None) -> DataFrame:
-    """Quarterly means; ``decimals`` of the values, if known, makes them exact."""
+    """Quarterly means, the same in any order of rows; ``decimals`` of the values, if known, makes that cheaper."""
     quarter = quarter_start(F.col("fecha")).alias("fecha")
+    if decimals is None:
+        means = exact_moments(df.select("serie_id", quarter, "valor"), ["serie_id", "fecha"], "valor")
+        return means.select("serie_id", "fecha", F.col("media").alias("valor"))
     return df.groupBy("serie_id", quarter).agg(mean_of(F.col("valor"), decimals).alias("valor"))
 
 

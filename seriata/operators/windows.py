@@ -16,6 +16,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from seriata.functions.exact import SPAN, carried, place_of, put_together, running_places
 from seriata.session import settle
 
 ROWS_PER_SLICE = 5_000_000
@@ -93,21 +94,23 @@ def with_running_total(
     group: Sequence[str],
     order: Sequence[str],
     digits: int | None = None,
+    exact: bool = False,
     slices: int | str | None = None,
 ) -> DataFrame:
     """Add the running total of ``value`` in each group; equal ``order`` counts together.
 
     With ``digits`` the values have at most that many decimals and are added as
-    whole units: the same total, to the last bit, whatever the slices.  Without
-    it doubles are added in order, which only one window can do, so slices are
-    refused.
+    whole units.  With ``exact``, or with slices but no ``digits``, doubles of
+    any size are added as whole numbers at powers of 2^32 (see
+    ``functions.exact``).  Both give the same total, to the last bit, whatever
+    the slices.  With neither doubles are added one after another.
     """
-    if slices and digits is None:
-        raise ValueError("slices need the number of decimals: sums of doubles depend on where they are cut")
-    if digits is None:
-        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(*order)))
     if slices == "auto":
         slices = slices_needed(df, group)
+    if digits is None and (exact or slices):
+        return _exact_running_total(df, value, name, group, order, slices)
+    if digits is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(*order)))
     units = F.rint(F.col(value) * float(10**digits)).cast("bigint").cast("decimal(38,0)")
     amount = lambda total: (total * F.lit(Decimal(1).scaleb(-digits))).cast("double")
     if not slices:
@@ -133,6 +136,50 @@ def with_running_total(
     )
 
 
+def _exact_running_total(
+    df: DataFrame, value: str, name: str, group: Sequence[str], order: Sequence[str], slices: int | str | None
+) -> DataFrame:
+    """Running totals by place below the group's largest value; in slices with what earlier ones add up to."""
+    number = F.col(value).cast("double")
+    if not slices:
+        top = place_of(F.max(F.abs(number)).over(Window.partitionBy(*group)))
+        ordered = Window.partitionBy(*group).orderBy(*order)
+        placed = df.withColumn("__top", top)
+        return _as_double(placed, lambda x: F.sum(x).over(ordered), number, F.count(value).over(ordered), name, df.columns)
+
+    cut = _cut(df, group, order, int(slices))
+    tops = cut.groupBy(*group, SLICE).agg(F.max(F.abs(number)).alias("__most"))
+    tops = tops.withColumn("__top", place_of(F.max("__most").over(Window.partitionBy(*group))))
+    keys = (*group, SLICE)
+    tops = tops.select(*[F.col(c).alias(f"__{c}") for c in keys], "__top")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    placed = cut.join(tops, same).drop(*[f"__{c}" for c in keys])
+    sums = placed.groupBy(*keys, "__top").agg(running_places(number, F.col("__top"), F.sum).alias("__places"), F.count(value).alias("__count"))
+    earlier = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ("high", "middle", "low")
+    before = sums.select(
+        *[F.col(c).alias(f"__{c}") for c in keys],
+        F.array(*[F.sum(F.get("__places", i)[p]).over(earlier) for i in range(SPAN // 3) for p in parts]).alias("__carried"),
+        F.sum("__count").over(earlier).alias("__counted"),
+    )
+    together = placed.join(before, same).drop(*[f"__{c}" for c in keys])
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    at = iter(range(SPAN))
+
+    def with_earlier(x: Column) -> Column:
+        return F.sum(x).over(ordered) + F.coalesce(F.get("__carried", next(at)), F.lit(Decimal(0)))
+
+    n = F.count(value).over(ordered) + F.coalesce("__counted", F.lit(0))
+    return _as_double(together, with_earlier, number, n, name, df.columns)
+
+
+def _as_double(df, total, number: Column, n: Column, name: str, columns: Sequence[str]) -> DataFrame:
+    """Places of running totals put together; NULL before the first value."""
+    placed = df.withColumns({"__sums": running_places(number, F.col("__top"), total), f"__odd_{name}": F.lit(None).cast("double"), "__n": n})
+    out = put_together(placed.withColumn(f"__{name}", carried(F.col("__sums"))), name)
+    return out.withColumn(name, F.when(F.col("__n") > 0, F.col(name))).select(*columns, name)
+
+
 def _cut(df: DataFrame, series: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
     """Rows in near-equal slices by series and order, numbered in ``SLICE``.
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from seriata.functions.dates import month_start
 from seriata.functions.numbers import round_at
-from seriata.operators import constraints, quality, reconcile, reshape
+from seriata.operators import constraints, fingerprint, quality, reconcile, reshape
 from seriata.operators import transforms as tr
+from seriata.operators.anti import not_in
 from seriata.plans import panels
 from seriata.plans.registry import (
     EVENT_STEPS,
@@ -57,15 +58,12 @@ def _stale(panel: str) -> str:
 
 
 def jumps(panel: str, sigmas: int, order: str = "fecha") -> str:
-    """Changes by a join on ranks; mean and deviation from exact sums of millionths."""
+    """Changes by a join on ranks, by how many deviations they are off; DuckDB's own mean and deviation."""
     return f"""(
         WITH r AS ({ranked(panel, order)}),
         steps AS (SELECT now.*, now.valor - before.valor AS cambio
                   FROM r now LEFT JOIN r before ON before.serie_id = now.serie_id AND before.k = now.k - 1),
-        moments AS (SELECT serie_id, COUNT(cambio) AS n, CAST(SUM(u) AS DOUBLE) AS s, CAST(SUM(u * u) AS DOUBLE) AS q
-                    FROM (SELECT *, CAST(round_even(cambio * 1e6, 0) AS HUGEINT) AS u FROM steps) GROUP BY serie_id),
-        typical AS (SELECT serie_id, s / n / 1e6 AS mean, SQRT((q - s * s / n) / (n - 1)) / 1e6 AS deviation
-                    FROM moments WHERE n > 1)
+        typical AS (SELECT serie_id, AVG(cambio) AS mean, STDDEV_SAMP(cambio) AS deviation FROM steps GROUP BY serie_id)
         SELECT steps.* EXCLUDE (k), ABS(cambio - mean) / deviation AS desviaciones
         FROM steps JOIN typical USING (serie_id) WHERE deviation > 0 AND ABS(cambio - mean) / deviation > {sigmas}) j"""
 
@@ -178,11 +176,13 @@ def jumps_4_sigma(spark, folder):
     return found.select("serie_id", "fecha", "event_id", round_at(F.col("cambio"), 6).alias("cambio"))
 
 
-@query(f"SELECT * FROM {jumps(EVENT_STEPS, 4, 'fecha, event_id')}")
+@query(f"""SELECT * EXCLUDE (desviaciones), {half("desviaciones", 6)} AS desviaciones
+    FROM {jumps(EVENT_STEPS, 4, 'fecha, event_id')}""")
 def jumps_sliced(spark, folder):
-    """All columns, with every series cut into slices: the same numbers as from one window."""
+    """All columns, with every series cut into slices; deviations to six decimals, as far as DuckDB's own are good."""
     steps = panels.event_steps(spark, folder)
-    return quality.find_jumps(steps, sigmas=4, order=("fecha", "event_id"), slices=7)
+    found = quality.find_jumps(steps, sigmas=4, order=("fecha", "event_id"), slices=7)
+    return found.withColumn("desviaciones", round_at(F.col("desviaciones"), 6))
 
 
 @query(f"""{_checked("salto improbable", "aviso", _JUMP_TEXT)} FROM {jumps(SUPPLIER_MONTH, 3)}""")
@@ -304,6 +304,33 @@ def relationship_failures(spark, folder):
     return constraints.relationships(orders, "o_custkey", customers, "c_custkey")
 
 
+_OPEN_ORDERS = "SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS o_custkey, o_orderpriority FROM orders"
+_NOT_IN_LISTS = {
+    "con NULL": f"SELECT o_custkey FROM ({_OPEN_ORDERS}) l WHERE o_orderpriority = '1-URGENT'",
+    "sin NULL": f"SELECT o_custkey FROM ({_OPEN_ORDERS}) l WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL",
+    "vacia": f"SELECT o_custkey FROM ({_OPEN_ORDERS}) l WHERE o_orderpriority = 'NINGUNA'",
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{name}' AS lista, o_custkey, COUNT(*) AS filas
+    FROM ({_OPEN_ORDERS}) o WHERE o_custkey NOT IN ({listed}) GROUP BY o_custkey""" for name, listed in _NOT_IN_LISTS.items()))
+def not_in_lists(spark, folder):
+    """Orders, some without a customer, whose customer is not in a list: with a NULL in it, without, and empty."""
+    orders = panels.table(spark, folder, "orders").select(
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("o_custkey"), "o_orderpriority"
+    )
+    urgent = orders.where("o_orderpriority = '1-URGENT'")
+    lists = (urgent, urgent.where("o_custkey IS NOT NULL"), orders.where("o_orderpriority = 'NINGUNA'"))
+    return reshape.concat(
+        [
+            not_in(orders, "o_custkey", listed).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("filas")).select(
+                F.lit(name).alias("lista"), "o_custkey", "filas"
+            )
+            for name, listed in zip(_NOT_IN_LISTS, lists)
+        ]
+    )
+
+
 @query("SELECT p_partkey, p_type FROM part WHERE p_type NOT IN ('ECONOMY', 'STANDARD')")
 def accepted_values_failures(spark, folder):
     parts = panels.table(spark, folder, "part").select("p_partkey", "p_type")
@@ -390,6 +417,26 @@ def results_difference(spark, folder):
     return reconcile.results_difference(keys, keys.distinct())
 
 
+_LINES = "SELECT l_orderkey, l_linenumber, l_extendedprice AS precio FROM lineitem"
+_LINES_COPY = f"""
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 1009 = 3 THEN precio + 0.25 ELSE precio END AS precio
+    FROM ({_LINES}) c WHERE l_orderkey % 997 <> 5
+    UNION ALL SELECT * FROM ({_LINES}) d WHERE l_orderkey % 1013 = 7"""
+
+
+@query(f"""
+    SELECT l_orderkey, l_linenumber, precio, CAST(SUM(i) AS BIGINT) AS izquierda, CAST(SUM(d) AS BIGINT) AS derecha
+    FROM (SELECT *, 1 AS i, 0 AS d FROM ({_LINES}) l UNION ALL SELECT *, 0, 1 FROM ({_LINES_COPY}) r) b
+    GROUP BY ALL HAVING SUM(i) <> SUM(d)""")
+def multiset_difference(spark, folder):
+    """Order lines against a copy with rows lost, changed and doubled, found by sums of hashes per range."""
+    lines = panels.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("precio"))
+    price = F.when(F.col("l_orderkey") % 1009 == 3, F.col("precio") + 0.25).otherwise(F.col("precio"))
+    copy = lines.where("l_orderkey % 997 <> 5").withColumn("precio", price)
+    copy = copy.unionByName(lines.where("l_orderkey % 1013 = 7")).select("precio", "l_linenumber", "l_orderkey")
+    return fingerprint.multiset_difference(lines, copy)
+
+
 # ---------------------------------------------------------------- end to end
 
 _VERDICT = f"""

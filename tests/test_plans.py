@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seriata.functions.dates import in_year
 from seriata.operators import quality, reconcile
 from seriata.operators import transforms as tr
-from seriata.plans import panels
+from seriata.plans import panels, registry
 from seriata.sources import sheets
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,10 +34,10 @@ def stored(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_cross_join_and_no_python(spark, name):
-    text = plan(driver.queries()[name](spark, FOLDER))
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
+    text = plan(registry.QUERIES[name](spark, FOLDER))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Arrow", "Pandas"):
         assert node not in text, text
     # One task only ever gets the rows of a global aggregate's partial results.
     lines = text.splitlines()
@@ -74,8 +74,17 @@ def test_two_windows_share_one_exchange_and_sort(stored):
     assert plan(both).count("Sort [") == 1
 
 
-def test_jumps_need_one_exchange(stored):
-    assert len(exchanges(quality.find_jumps(stored))) == 1
+def test_jumps_need_one_exchange(spark, stored):
+    """Changes and their moments read the same one; without a broadcast, so that both are there to see."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quality.find_jumps(stored)
+        found.collect()
+        final = plan(found).split("Initial Plan")[0]
+        lines = [line for line in final.splitlines() if "Exchange hash" in line]
+        assert sorted("ReusedExchange" in line for line in lines) == [False, True], final
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_reconciliation_has_no_join(stored):

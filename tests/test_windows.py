@@ -114,8 +114,8 @@ def test_the_same_numbers_in_any_number_of_slices(spark, decimals):
     days = df.withColumn("fecha", F.date_add(F.lit("2020-01-01"), F.col("fecha").cast("int")))
     totals = [rows(transforms.accumulate_ytd(days, digits=2, slices=n)) for n in (None, 3, 7, 50)]
     assert all(t == totals[0] for t in totals)
-    with pytest.raises(ValueError, match="decimals"):
-        transforms.accumulate_ytd(days, slices=3)
+    exact = [rows(transforms.accumulate_ytd(days, exact=True, slices=n)) for n in (None, 3, 50)]
+    assert exact[0] == exact[1] == exact[2] == rows(transforms.accumulate_ytd(days, slices=5))
 
 
 @pytest.mark.parametrize("size", [2, 50])
