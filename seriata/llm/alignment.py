@@ -25,9 +25,9 @@ from seriata.llm.common import bounded_batches, by_batch
 from seriata.llm.workers import kept, release
 from seriata.session import settle
 
-KEPT = 60_000  # words that a worker remembers
+KEPT = 30_000  # words that a worker remembers
 KEPT_CHARS = 64  # longer words are not remembered
-TEXT_CHARS = 1 << 18  # of text that a task tokenizes at once
+TEXT_CHARS = 1 << 17  # of text that a task tokenizes at once
 SCORED = ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 COMMON = 1 << 16  # a pair is common if it makes up at least this part of all links by pairs
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
@@ -18,11 +19,15 @@ def kept(key: Hashable, make: Callable[[], Kept]) -> Kept:
     operators on top of one another.
     """
     if key not in _KEPT:
-        _KEPT.clear()
+        release()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def release() -> None:
     """Let go of what earlier stages left in the worker; for stages that need no such object."""
-    _KEPT.clear()
+    if _KEPT:
+        _KEPT.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed, others may not
+        if trim is not None:
+            trim(0)
