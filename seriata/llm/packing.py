@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriata.llm.common import by_batch
-from seriata.llm.tokens import WordTokenizer
+from seriata.llm.tokens import KEPT, WordTokenizer
 from seriata.llm.workers import kept
 from seriata.session import settle
 
@@ -30,17 +30,20 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids a
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    return kept(("words", path), lambda: WordTokenizer(path))
+def _tokenizer(path: str, remember: int) -> WordTokenizer:
+    return kept(("words", path, remember), lambda: WordTokenizer(path, remember))
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool = False, remember: int = KEPT
+) -> DataFrame:
     """Documents as token numbers, the longer ones cut every ``length`` tokens.
 
     ``docs(doc_id, text)`` gives ``doc_id, piece, start, length, ids_crc32`` and,
     if kept, ``ids``.  A NULL or empty text is the end number alone.  Repeated
     rows, and rows without ``doc_id``, are documents of their own; other
-    columns are ignored.  ``tokenizer`` must be a path that executors can open.
+    columns are ignored.  ``tokenizer`` must be a path that executors can open;
+    a worker remembers up to ``remember`` words, which costs memory and spares time.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -48,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool
         rows: list[tuple] = []
         end = np.array([END], "<u4").tobytes()
         for begin, stop in _portions(texts):
-            for i, numbers in enumerate(_tokenizer(tokenizer).encode(texts[begin:stop]), begin):
+            for i, numbers in enumerate(_tokenizer(tokenizer, remember).encode(texts[begin:stop]), begin):
                 raw = numbers + end
                 for piece, at in enumerate(range(0, len(raw), 4 * length)):
                     part = raw[at : at + 4 * length]

@@ -9,7 +9,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-KEPT = 500_000  # chunks, and words, whose numbers a worker remembers
+KEPT = 500_000  # chunks, and words, whose numbers a worker remembers unless told otherwise
 
 # Chunks of these letters have no other form under NFC and are lower-cased letter by letter.
 _PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+").fullmatch
@@ -26,7 +26,8 @@ class WordTokenizer:
     tokenizer marks the last token of a word, which tells them apart again.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = KEPT):
+        self.remember = remember
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -37,9 +38,9 @@ class WordTokenizer:
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Numbers of each text as little-endian unsigned 32-bit integers."""
         split = [_split(text) for text in texts]
-        if len(self.chunks) > KEPT:
+        if len(self.chunks) > self.remember:
             self.chunks.clear()
-        if len(self.words) > KEPT:
+        if len(self.words) > self.remember:
             self.words.clear()
         self._learn(set().union(*split) - self.chunks.keys())
         known = self.chunks.__getitem__
