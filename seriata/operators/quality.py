@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,9 +233,19 @@ def severity_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("severidad").agg(F.count(F.lit(1)).alias("filas"))
 
 
-def require_no_errors(report: DataFrame) -> int:
-    """Raise if the report holds errors; warnings are only counted and returned."""
-    counts = {r["severidad"]: r["filas"] for r in severity_counts(report).collect()}
+def report_counts() -> list[Column]:
+    """Aggregates for ``publish(observe=...)``: rows of each severity and check, counted as the report is written."""
+    by = [("severidad", ERROR), ("severidad", WARNING), ("chequeo", ORPHAN), ("chequeo", MISMATCH)]
+    return [F.count_if(F.col(column) == value).alias(value) for column, value in by]
+
+
+def require_no_errors(report: DataFrame, counts: Mapping[str, int] | None = None) -> int:
+    """Raise if the report holds errors; warnings are only counted and returned.
+
+    With ``counts`` (what ``report_counts`` has observed) the report is not read.
+    """
+    if counts is None:
+        counts = {r["severidad"]: r["filas"] for r in severity_counts(report).collect()}
     if counts.get(ERROR):
         raise QualityError(f"the quality report holds {counts[ERROR]} errors")
     return counts.get(WARNING, 0)

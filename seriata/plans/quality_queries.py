@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from seriata.functions.dates import month_start
@@ -31,6 +32,7 @@ from seriata.plans.warehouse import (
     reconcile_panels,
     verify,
 )
+from seriata.sources import tables
 from seriata.sources.delimited import read_panel
 
 
@@ -239,7 +241,7 @@ _REPORT = f"""
     FROM {_stale(_SICK)}"""
 
 
-def _sick_report(spark, folder):
+def _sick_plan(spark, folder):
     panel = panels.published(panels.supplier_month(spark, folder))
 
     def cell(series, year, month):
@@ -256,13 +258,16 @@ def _sick_report(spark, folder):
         .unionByName(panel.where(cell("4", 1998, 4)))
     )
     dim = panels.table(spark, folder, "supplier").where(F.col("s_suppkey") % 10 != 9)
-    report = quality.quality_report(
+    return quality.quality_report(
         sick,
         fact=sick,
         dim_serie=dim.select(F.col("s_suppkey").cast("string").alias("serie_id")),
         flows=_with_one_off(tr.deaccumulate_ytd(panels.as_ytd(panel))),
     )
-    return panels.published(report)
+
+
+def _sick_report(spark, folder):
+    return panels.published(_sick_plan(spark, folder))
 
 
 @query(_REPORT)
@@ -275,6 +280,17 @@ def severity_counts(spark, folder):
     return quality.severity_counts(_sick_report(spark, folder))
 
 
+@query(f"SELECT severidad, COUNT(*) AS filas FROM ({_REPORT}) r GROUP BY 1")
+def counted_report(spark, folder):
+    """The report's errors and warnings, counted by the job that writes it."""
+    seen = Observation()
+    tables.publish(
+        _sick_plan(spark, folder), layer="marts", path=new_folder(spark), observe=(seen, quality.report_counts())
+    )
+    counts = [(s, seen.get[s]) for s in (quality.ERROR, quality.WARNING) if seen.get[s]]
+    return spark.createDataFrame(counts, "severidad string, filas bigint")
+
+
 # ---------------------------------------------------------------- constraints
 
 

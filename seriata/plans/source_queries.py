@@ -212,6 +212,50 @@ def marts_from_table(spark, folder):
     return moving_average(yoy_change(panel))
 
 
+@query(f"""
+    SELECT y.*, m.mm3 FROM ({_YOY}) y
+    JOIN ({three_month_mean(SUPPLIER_MONTH)}) m USING (serie_id, fecha)""")
+def bucketed_marts(spark, folder):
+    """The same from a bucketed mart, without an exchange."""
+    path = new_folder(spark)
+    name = f"panel_{path.rsplit('/', 1)[-1]}"
+    panel = tables.publish_bucketed(panels.supplier_month(spark, folder), name, buckets=8, path=path)
+    return moving_average(yoy_change(panel))
+
+
+@query(f"""
+    SELECT s_suppkey % 7 AS grupo, CAST(s_suppkey AS VARCHAR) AS serie_id, fecha, valor
+    FROM ({SUPPLIER_MONTH}) p JOIN supplier ON serie_id = CAST(s_suppkey AS VARCHAR)""")
+def enforced_table(spark, folder):
+    """Written with NOT NULL, accepted values and a range held by the writing job; replaced once by itself."""
+    panel = panels.supplier_month(spark, folder)
+    rows = panel.select((F.col("serie_id").cast("bigint") % 7).alias("grupo"), "serie_id", "fecha", "valor")
+    schema = T.StructType(
+        [
+            T.StructField("grupo", T.LongType(), False),
+            T.StructField("serie_id", T.StringType(), False),
+            T.StructField("fecha", T.DateType(), False),
+            T.StructField("valor", T.DoubleType(), True),
+        ]
+    )
+    rules = {"schema": schema, "accepted": {"grupo": range(7)}, "ranges": {"valor": (0.0, 1e15)}}
+    path = new_folder(spark)
+    first = tables.publish(rows, path=path, cluster_by=("serie_id", "fecha"), **rules)
+    return tables.publish(first, path=path, cluster_by=("serie_id", "fecha"), **rules)
+
+
+@query(f"""SELECT 1 AS carga, serie_id, fecha, valor FROM ({PRIORITY_MONTH}) p
+    UNION ALL SELECT 2, serie_id, fecha, valor FROM ({SUPPLIER_MONTH}) q WHERE YEAR(fecha) < 1998""")
+def repeated_load(spark, folder):
+    """Two loads; the first put twice, the second put again with fewer rows."""
+    path = new_folder(spark)
+    one, two = panels.priority_month(spark, folder), panels.supplier_month(spark, folder)
+    tables.put_load(one, path, 1)
+    tables.put_load(two, path, 2)
+    tables.put_load(one, path, 1)
+    return tables.put_load(two.where(F.col("fecha") < date(1998, 1, 1)), path, 2)
+
+
 # ---------------------------------------------------------------- scalar expressions
 
 

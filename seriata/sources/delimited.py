@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import re
+import csv
 from collections.abc import Mapping
 from datetime import date
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriata import schemas
 from seriata.functions.numbers import no_nan
 from seriata.operators.reshape import build_dim_serie, wide_to_long
-from seriata.sources.paths import existing, require
-
-_LOCAL = "^file:/+"
+from seriata.sources.paths import existing, files_below, plain_path, plain_path_of, require, small_table
 
 _PAIR = T.StructType([T.StructField("fecha", T.DateType()), T.StructField("valor", T.DoubleType())])
 
@@ -58,15 +56,26 @@ def read_panel(spark: SparkSession, path: str, *, date_format: str = "yyyy-MM-dd
 
 
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files below ``path`` by their column names; the first lines alone are read.
+    """Files below ``path`` by their column names, found by one job however many files there are.
 
-    The listing of a panel's files is as long as the number of its files.
+    It reads the first block of each file and shuffles its first line.  To the
+    driver come the different headers with their files' paths, as many as the
+    reader itself has to list; empty files have no header and are left out.
     """
-    files = [unquote(file) for file in sorted(spark.read.csv(path).inputFiles())]  # they come as URIs
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.struct(F.monotonically_increasing_id().alias("row"), "value").alias("line"),
+    )
+    # A block is read in order within one task; a header is a line that is not empty.
+    firsts = lines.where("block = 0 AND trim(line.value) <> ''").groupBy("file").agg(F.min("line").alias("line"))
     found: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        found.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
-    return found
+    for row in firsts.groupBy("line.value").agg(F.sort_array(F.collect_list("file")).alias("files")).collect():
+        header = tuple(next(csv.reader([row["value"].removeprefix("\ufeff")], escapechar="\\")))
+        found.setdefault(header, []).extend(unquote(file) for file in row["files"])  # they come as URIs
+    if not found:
+        raise ValueError(f"no header in {path}")
+    return dict(sorted(found.items(), key=lambda item: min(item[1])))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -102,25 +111,16 @@ def load_observations(
     return wide_to_long(wide, dim_serie, routes=routes, otherwise=otherwise)
 
 
-def plain_path(uri: str) -> str:
-    """A file's address without the scheme of local files, which is written in two ways."""
-    return re.sub(_LOCAL, "/", uri)
-
+def series_of_files(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
+    """``(file, serie_id)`` of every file that the paths of ``files`` (series to path) name.
 
-def series_of_file(files: Mapping[str, str], found: Mapping[str, str]) -> Column:
-    """Series of the file being read, by its full path; a file of no series fails the query.
-
-    ``found`` maps every file to the path that it was asked for by.
+    The files are listed, not read.  It is one relation to join by path, with no expression
+    per file; Spark knows its size and broadcasts it only below its own threshold.
     """
-    by_path = {asked: series for series, asked in files.items()}
-    if len(by_path) < len(files):
+    if len(set(files.values())) < len(files):
         raise ValueError("two series name one path")
-    known = F.create_map(
-        *[F.lit(x) for file, asked in found.items() for x in (plain_path(file), by_path[asked])]
-    )
-    path = F.regexp_replace("_metadata.file_path", _LOCAL, "/")
-    stray = F.raise_error(F.concat(F.lit("no series has the file "), path))
-    return F.coalesce(F.try_element_at(known, path), stray)
+    found = {plain_path(file): series for series, path in files.items() for file in files_below(spark, path)}
+    return small_table(spark, {"file": found.keys(), "serie_id": found.values()})
 
 
 def load_daily(
@@ -136,19 +136,19 @@ def load_daily(
     of series.  Dates are strict; rows without a value are dropped, and rows
     outside ``period`` (closed; ``None`` keeps all).
     """
-    kept = existing(spark, files.values())
+    kept = set(existing(spark, files.values()))
     if not kept:
         return spark.createDataFrame([], schemas.FACT_OBSERVACION_DIARIA)
-    found = {file: path for path in kept for file in spark.read.csv(path).inputFiles()}
+    series = series_of_files(spark, {s: path for s, path in files.items() if path in kept})
     rows = (
         spark.read.schema(_PAIR)
         .options(header=True, dateFormat=date_format, mode="FAILFAST")
-        .csv(kept)
-        .select(
-            series_of_file({s: p for s, p in files.items() if p in kept}, found).alias("serie_id"),
-            "fecha",
-            no_nan(F.col("valor")).alias("valor"),
-        )
+        .csv(sorted(kept))
+        .select(plain_path_of("_metadata.file_path").alias("file"), "fecha", no_nan(F.col("valor")).alias("valor"))
         .na.drop("any", subset=["fecha", "valor"])
     )
-    return rows.where(F.col("fecha").between(*period)) if period else rows
+    stray = F.raise_error(F.concat(F.lit("no series has the file "), F.col("file")))
+    named = rows.join(series, "file", "left").select(
+        F.coalesce("serie_id", stray).alias("serie_id"), "fecha", "valor"
+    )
+    return named.where(F.col("fecha").between(*period)) if period else named

@@ -2,8 +2,9 @@
 
 A sheet is a frame of ``archivo, row_idx, cells``.  The header is the first of
 the first rows whose first cell starts with a given word; the rows below it are
-the table.  A workbook sheet holds at most 1,048,576 rows by its format, so one
-task per file is bounded.
+the table.  Only the first rows of a file meet to find the header; it is joined
+back, so that rows given as a frame may be of any number.  A workbook is decoded
+by one task, which its format bounds: a sheet holds at most 1,048,576 rows.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriata import schemas
 from seriata.functions.dates import try_date
 from seriata.functions.numbers import try_number
 from seriata.functions.text import starts_like
-from seriata.sources.delimited import plain_path
-from seriata.sources.paths import existing
+from seriata.session import settle
+from seriata.sources.paths import existing, files_below, plain_path, plain_path_of, small_table
 
 HEADER_WORD = "fecha"
 HEADER_ROWS = 15
@@ -50,25 +51,26 @@ def scan_sheets(
     ``value_column`` is the index of the value cell, or a column that gives it.
     ``each`` names an array column: a table row comes once per element, as
     ``one``.  Other columns pass through.  A file without a header fails the
-    query when its rows are read.  The rows are read once and meet by file.
+    query when its rows are read.  ``rows`` are read twice, the first time only
+    where ``row_idx`` is small, which reaches a scan of stored rows.
     """
     first_cell = F.try_element_at("cells", F.lit(1))
-    sheet = Window.partitionBy("archivo")  # bounded by the format
-    is_header = (F.col("row_idx") < header_rows) & starts_like(first_cell, word)
+    tops = rows.where((F.col("row_idx") < header_rows) & starts_like(first_cell, word))
+    headers = tops.groupBy("archivo").agg(F.min("row_idx").alias("header"))
     index = F.lit(value_column) if isinstance(value_column, int) else value_column
     no_header = F.raise_error(F.concat(F.lit("no header row in "), F.col("archivo")))
     below = F.when(F.col("header").isNull(), no_header.cast("boolean")).otherwise(
         F.col("row_idx") > F.col("header")
     )
     return (
-        rows.withColumn("header", F.min(F.when(is_header, F.col("row_idx"))).over(sheet))
+        rows.join(headers, "archivo", "left")
         .where(below)
         .withColumn("one", F.explode(each) if each else F.lit(None))
         .select(
             *[c for c in rows.columns if c not in ("row_idx", "cells", each)],
             *(["one"] if each else []),
             try_date(first_cell, *date_formats).alias("fecha"),
-            try_number(F.try_element_at("cells", index + 1)).alias("valor"),
+            try_number(F.try_element_at("cells", (index + 1).cast("int"))).alias("valor"),
         )
         .na.drop("any", subset=["fecha", "valor"])
     )
@@ -93,13 +95,14 @@ def load_ytd(
         files = {series: spec for series, spec in files.items() if spec[0] in found}
         if not files:
             return spark.createDataFrame([], schemas.FACT_ACUMULADO_CRUDO)
-        of_path = {file: path for path in found for file in spark.read.format("binaryFile").load(path).inputFiles()}
-        asked = F.create_map(*[F.lit(x) for file, path in of_path.items() for x in (plain_path(file), path)])
-        address = F.regexp_replace("archivo", "^file:/+", "/")
-        rows = read_sheets(spark, *found).withColumn("archivo", F.element_at(asked, address))
-    spec = spark.createDataFrame(
-        [(series, path, column) for series, (path, column) in files.items()],
-        "serie_id string, archivo string, place int",
+        asked = {plain_path(file): path for path in found for file in files_below(spark, path)}
+        names = small_table(spark, {"file": asked.keys(), "asked_by": asked.values()})
+        # Decoded once; what follows reads the rows twice.
+        cells = settle(read_sheets(spark, *found)).withColumn("file", plain_path_of("archivo"))
+        rows = cells.join(names, "file").select(F.col("asked_by").alias("archivo"), "row_idx", "cells")
+    places = list(files.values())
+    spec = small_table(
+        spark, {"serie_id": files.keys(), "archivo": (p for p, _ in places), "place": (c for _, c in places)}
     )
     by_file = spec.groupBy("archivo").agg(F.collect_list(F.struct("serie_id", "place")).alias("asked"))
     wanted = rows.join(by_file, "archivo")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriata.operators.constraints import schema_failures
+from seriata.sources.paths import reads
+
+LOAD = "carga"  # the column that keys a table by load number
+
 # Layer to (kind of relation, schema); staging is cheap to recompute, marts are read often.
 LAYERS = {"staging": "view", "marts": "table"}
 
@@ -42,33 +48,152 @@ def publish(
     path: str | None = None,
     cluster_by: Sequence[str] = (),
     mode: str = "overwrite",
+    schema: T.StructType | None = None,
+    accepted: Mapping[str, Sequence] | None = None,
+    ranges: Mapping[str, tuple] | None = None,
+    observe: tuple[Observation, Sequence[Column]] | None = None,
 ) -> DataFrame:
     """Create or replace a view ``name``, or a parquet table.
 
     A table is written to ``path`` (replacing or, with ``mode="append"``,
     adding rows) and read back, so what follows starts from the written rows;
     with a ``name`` the session gets a view of it.  Without a path it becomes
-    the table ``name`` of the session's catalog.  Do not publish to a path that
-    ``df`` reads.
+    the table ``name`` of the session's catalog.  Replacing a path that ``df``
+    reads is refused.
+
+    ``schema``, ``accepted`` and ``ranges`` are enforced by the job that writes
+    (see ``enforced``).  With them a path is replaced as load 0 of ``put_load``,
+    so that a row that breaks a rule leaves the rows that were there before.
+
+    ``observe`` takes aggregates of the rows as they are written, above every
+    exchange, so that no row is counted twice when a map task is repeated.
     """
     kind = kind or LAYERS[layer or "marts"]
     spark = df.sparkSession
+    rules = schema is not None
+    if not rules and (accepted or ranges):
+        raise ValueError("accepted values and ranges go with a schema")
     if kind == "view":
+        df = enforced(df, schema, accepted=accepted, ranges=ranges) if rules else df
         df.createOrReplaceTempView(name)
         return df
     if kind != "table":
         raise ValueError("kind is 'view' or 'table'")
-    rows = clustered(df, cluster_by) if cluster_by else df
-    if path is None:
-        rows.write.mode(mode).format("parquet").saveAsTable(name)
-        return spark.table(name)
-    rows.write.mode(mode).parquet(path)
-    written = spark.read.parquet(path)
+    if rules and path is not None and mode == "overwrite":
+        how = {"cluster_by": cluster_by, "accepted": accepted, "ranges": ranges, "observe": observe}
+        written = put_load(df, path, 0, schema=schema, **how).drop(LOAD)
+    else:
+        if path is not None and mode == "overwrite" and reads(df, path):
+            raise ValueError(f"{path} is read by the rows that would replace it")
+        rows = enforced(df, schema, accepted=accepted, ranges=ranges) if rules else df
+        rows = clustered(rows, cluster_by) if cluster_by else rows
+        rows = rows.observe(observe[0], *observe[1]) if observe else rows
+        if path is None:
+            rows.write.mode(mode).format("parquet").saveAsTable(name)
+            return spark.table(name)
+        rows.write.mode(mode).parquet(path)
+        written = spark.read.parquet(path)
     if name is not None:
         written.createOrReplaceTempView(name)
     return written
 
 
+def enforced(
+    df: DataFrame,
+    schema: T.StructType,
+    *,
+    accepted: Mapping[str, Sequence] | None = None,
+    ranges: Mapping[str, tuple] | None = None,
+) -> DataFrame:
+    """The declared columns, in that order; reading a row that breaks a rule fails the query.
+
+    Rules are NOT NULL of ``schema``, ``accepted`` values and closed ``ranges``
+    by column; as in SQL, NULL breaks only the first.  Missing columns and other
+    types fail at once.  Each rule is part of its column's expression, so it is
+    tested by whatever job writes the column, without a pass of its own.
+    """
+    wrong = schema_failures(df, schema)
+    unknown = (set(accepted or ()) | set(ranges or ())) - {f.name for f in schema}
+    if wrong or unknown:
+        raise ValueError("; ".join(wrong + [f"rule for undeclared column {c}" for c in sorted(unknown)]))
+
+    def checked(field: T.StructField) -> Column:
+        value, broken = F.col(f"`{field.name}`"), []
+        if not field.nullable:
+            broken.append((value.isNull(), "is NULL"))
+        if accepted and field.name in accepted:
+            broken.append((~value.isin(list(accepted[field.name])), "is not among the accepted values"))
+        if ranges and field.name in ranges:
+            broken.append((~value.between(*ranges[field.name]), "is out of range"))
+        out = value
+        for rule, text in reversed(broken):
+            shown = F.concat(F.lit(f"{field.name} {text}: "), F.coalesce(value.cast("string"), F.lit("NULL")))
+            out = F.when(rule, F.raise_error(shown).cast(field.dataType)).otherwise(out)
+        return out.alias(field.name)
+
+    return df.select(*[checked(f) for f in schema])
+
+
+def put_load(
+    df: DataFrame,
+    path: str,
+    number: int,
+    *,
+    schema: T.StructType | None = None,
+    accepted: Mapping[str, Sequence] | None = None,
+    ranges: Mapping[str, tuple] | None = None,
+    cluster_by: Sequence[str] = (),
+    observe: tuple[Observation, Sequence[Column]] | None = None,
+) -> DataFrame:
+    """Put the rows as load ``number`` into the table at ``path``; gives the whole table with ``LOAD``.
+
+    Only that load is replaced, by dynamic partition overwrite: the same load
+    put twice leaves its rows once, and one that fails leaves what was there.
+    ``df`` may read the table itself.  A load without rows empties its number.
+    """
+    if LOAD in df.columns:
+        raise ValueError(f"{LOAD} is the number of the load; leave it out of the rows")
+    spark = df.sparkSession
+    rows = enforced(df, schema, accepted=accepted, ranges=ranges) if schema is not None else df
+    bare = rows.schema
+    rows = rows.withColumn(LOAD, F.lit(number))
+    if cluster_by:
+        rows = rows.repartitionByRange(*cluster_by).sortWithinPartitions(LOAD, *cluster_by)
+    if observe:
+        rows = rows.observe(observe[0], *observe[1])
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(LOAD).parquet(path)
+    if not seen.get["rows"]:  # no partition was written, so none was replaced
+        empty(spark, bare).write.mode("overwrite").parquet(f"{path}/{LOAD}={number}")
+    return spark.read.parquet(path)
+
+
+def publish_bucketed(
+    df: DataFrame,
+    name: str,
+    *,
+    by: str = "serie_id",
+    order: Sequence[str] = ("fecha",),
+    buckets: int = 200,
+    path: str | None = None,
+) -> DataFrame:
+    """Create or replace the catalog table ``name``, its rows in ``buckets`` buckets of ``by``, each sorted.
+
+    The rows meet by ``by`` once, here; windows, groups and joins by ``by`` of
+    this table, and of tables with as many buckets, need no exchange.  Every
+    bucket is one file.  A value with a large share of the rows fills its
+    bucket: tables with such a series go by ``publish(cluster_by=...)`` and
+    ``slices`` instead (see ``windows``).
+    """
+    writer = df.repartition(buckets, by).write.mode("overwrite").format("parquet")
+    writer = writer.bucketBy(buckets, by).sortBy(by, *order)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """The typed relation without rows: a created or emptied table."""
     return spark.createDataFrame([], schema)

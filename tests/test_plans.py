@@ -6,14 +6,14 @@ import re
 
 import __spark_entry__ as driver
 import pytest
-from conftest import PANEL
+from conftest import PANEL, rows
 from pyspark.sql import functions as F
 
 from seriata.functions.dates import in_year
 from seriata.operators import quality, reconcile
 from seriata.operators import transforms as tr
 from seriata.plans import panels, registry
-from seriata.sources import sheets
+from seriata.sources import sheets, tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -126,14 +126,30 @@ def test_empty_panels_have_plans_and_no_rows(spark):
         assert df.isEmpty()
 
 
-def test_sheet_rows_are_read_once(spark, tmp_path):
+def test_a_sheet_is_in_no_window_and_its_header_is_sought_in_the_first_rows(spark, tmp_path):
     path = str(tmp_path / "sheet")
     cells = [("f", 0, ["fecha", "v"]), ("f", 1, ["2020-01-31", "1"])]
     spark.createDataFrame(cells, sheets.SHEET_SCHEMA).write.parquet(path)
+    df = sheets.load_ytd(spark, {"a": ("f", 1), "b": ("f", 1)}, period=None, rows=spark.read.parquet(path))
+    assert "Window" not in plan(df) and "LessThan(row_idx,15)" in plan(df)
+    assert sorted(r.serie_id for r in df.collect()) == ["a", "b"]
+
+
+def test_a_bucketed_mart_needs_no_exchange(spark, tmp_path):
+    facts = panels.supplier_month(spark, FOLDER)
+    names = spark.read.parquet(f"{FOLDER}/supplier.parquet").selectExpr("CAST(s_suppkey AS STRING) AS serie_id")
+    fact = tables.publish_bucketed(facts, "plan_fact", buckets=4, path=str(tmp_path / "f"))
+    dim = tables.publish_bucketed(names, "plan_dim", order=(), buckets=4, path=str(tmp_path / "d"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = sheets.load_ytd(spark, {"a": ("f", 1), "b": ("f", 1)}, period=None, rows=spark.read.parquet(path))
-        assert plan(df).count("FileScan parquet") == 1
-        assert sorted(r.serie_id for r in df.collect()) == ["a", "b"]
+        for df in (
+            tr.deaccumulate_ytd(fact),
+            tr.moving_average(tr.yoy_change(fact)),
+            fact.join(dim, "serie_id", "left_anti"),
+            fact.join(dim, "serie_id"),
+        ):
+            assert exchanges(df) == [], plan(df)
+        assert rows(tr.yoy_change(fact)) == rows(tr.yoy_change(facts))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        tables.drop_all(spark, ["plan_fact", "plan_dim"])

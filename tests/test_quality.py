@@ -141,3 +141,20 @@ def test_declared_schema(spark, panel):
     holed = panel([("a", "2020-01", None), ("b", None, 1.0)])
     assert rows(c.null_failures(holed, schemas.FACT_OBSERVACION)) == [("b", None, 1.0)]
     assert c.null_failures(holed, schemas.FACT_ACUMULADO_CRUDO).count() == 2
+
+
+def test_counts_seen_while_the_report_is_written(spark, panel, tmp_path):
+    from pyspark.sql import Observation
+
+    from seriata.sources.tables import publish
+
+    frame = [("c", s, "a", None, "d") for s in (q.ERROR, q.ERROR, q.WARNING)]
+    report = spark.createDataFrame(frame, "chequeo string, severidad string, serie_id string, fecha date, detalle string")
+    for cluster in ((), ("serie_id", "fecha")):
+        seen = Observation()
+        how = {"cluster_by": cluster, "observe": (seen, q.report_counts())}
+        publish(report, path=str(tmp_path / f"r{len(cluster)}"), **how)
+        assert (seen.get[q.ERROR], seen.get[q.WARNING], seen.get[q.ORPHAN]) == (2, 1, 0)
+    with pytest.raises(q.QualityError):
+        q.require_no_errors(None, seen.get)
+    assert q.require_no_errors(None, {q.ERROR: 0, q.WARNING: 7}) == 7
