@@ -65,6 +65,13 @@ def test_neighbours_of_all_leaves_are_exact(spark, odd_vectors):
     assert neighbours.search(odd_vectors, empty, 7).isEmpty()
 
 
+def test_rounds_of_the_neighbour_search_change_no_result(spark, odd_vectors):
+    assert [neighbours._round(n, 2, 8) for n in (0, 1, 2, 15, 16, 127, 128)] == [0, 0, 1, 1, 2, 2, 3]
+    asked = odd_vectors.where(F.col("vec_id").isin(0, 5, 20, 204))
+    one, many = (neighbours.search(odd_vectors, asked, 7, trees=3, visit=3.0, first=f, more=2).collect() for f in (3, 1))
+    assert len(one) and sorted(one) == sorted(many)
+
+
 def test_neighbours_reach_the_recall(spark):
     rows = table(spark, "/root/testdata/sf0.01", "embeddings")
     found = queries.QUERIES["op2_neighbours"](spark, "/root/testdata/sf0.01").collect()
