@@ -16,6 +16,7 @@ from seriata.operators import reshape
 from seriata.operators.transforms import moving_average, yoy_change
 from seriata.plans import panels
 from seriata.plans.registry import (
+    NATION_MONTH,
     NATION_SERIES,
     PRIORITY_DAY,
     PRIORITY_MONTH,
@@ -86,9 +87,45 @@ def csv_daily(spark, folder):
     return delimited.load_daily(spark, files, period=(date(1996, 1, 1), date(2000, 12, 31)))
 
 
+@query(f"""
+    WITH d AS ({PRIORITY_DAY})
+    SELECT serie_id, fecha, valor, NULL AS texto, NULL AS motivo FROM d WHERE DAY(fecha) NOT IN (7, 13)
+    UNION ALL SELECT serie_id, NULL, NULL, CAST(fecha AS VARCHAR) || ',n.d.', 'no number' FROM d WHERE DAY(fecha) = 13
+    UNION ALL SELECT serie_id, NULL, NULL, 'day ' || CAST(fecha AS VARCHAR) || ',1.5', 'no date' FROM d WHERE DAY(fecha) = 7""")
+def daily_rejects(spark, folder):
+    """Two-column CSVs with unreadable values and dates: rows that load, and lines kept apart."""
+    path = new_folder(spark)
+    day, text = F.day("fecha"), F.col("fecha").cast("string")
+    panels.priority_day(spark, folder).select(
+        "serie_id",
+        F.when(day == 7, F.concat(F.lit("day "), text)).otherwise(text).alias("DATE"),
+        F.when(day == 7, "1.5").when(day == 13, "n.d.").otherwise(F.col("valor").cast("string")).alias("VALUE"),
+    ).write.partitionBy("serie_id").option("header", True).csv(path)
+    files = {p: f"{path}/serie_id={p}" for p in panels.priorities(spark, folder)}
+    good, rejects = delimited.load_daily_or_reject(spark, files, period=None)
+    both = good.unionByName(rejects, allowMissingColumns=True)
+    return both.select("serie_id", "fecha", "valor", "texto", "motivo")
+
+
 @query(f"SELECT serie_id, fecha, valor FROM ({SUPPLIER_MONTH}) p WHERE MONTH(fecha) <> 12")
 def sheet_scan(spark, folder):
     """A sheet per supplier: title rows, a header somewhere below, unreadable Decembers."""
+    return sheets.scan_sheets(_supplier_sheets(spark, folder), 2).withColumnRenamed("archivo", "serie_id")
+
+
+@query(f"""
+    SELECT serie_id, CAST(CAST(serie_id AS INT) % 10 + 2 + (YEAR(fecha) - 1990) * 12 + MONTH(fecha) - 1 AS INT) AS row_idx,
+           'valor' AS columna, 'n.d.' AS texto, 'no number' AS motivo, NULL AS fecha, NULL AS valor
+    FROM ({SUPPLIER_MONTH}) p WHERE MONTH(fecha) = 12
+    UNION ALL SELECT serie_id, NULL, NULL, NULL, NULL, fecha, valor FROM ({SUPPLIER_MONTH}) p WHERE MONTH(fecha) <> 12""")
+def sheet_rejects(spark, folder):
+    """The same sheets: rows that parse, and the cells for which rows are left out."""
+    good, rejects = sheets.scan_or_reject(_supplier_sheets(spark, folder), 2)
+    both = rejects.unionByName(good, allowMissingColumns=True)
+    return both.withColumnRenamed("archivo", "serie_id")
+
+
+def _supplier_sheets(spark, folder):
     panel = panels.supplier_month(spark, folder)
     number = F.col("serie_id").cast("bigint")
     titles = (number % 10 + 1).cast("int")
@@ -111,8 +148,7 @@ def sheet_scan(spark, folder):
         (titles + 1 + F.months_between("fecha", first)).cast("int").alias("row_idx"),
         F.array(F.col("fecha").cast("string"), F.lit("x"), shown).alias("cells"),
     )
-    found = sheets.scan_sheets(above.unionByName(below), 2)
-    return found.withColumnRenamed("archivo", "serie_id")
+    return above.unionByName(below)
 
 
 @query(f"""
@@ -344,3 +380,18 @@ def text_functions(spark, folder):
         text.provider_of(origin).alias("proveedor"),
         text.starts_like(F.concat(F.lit("  "), "o_orderpriority"), "5-low").alias("empieza"),
     )
+
+
+@query(f"""
+    WITH p AS (SELECT * FROM ({NATION_MONTH}) m WHERE serie_id > 'C' OR fecha < DATE '1998-01-01')
+    SELECT serie_id, COUNT(*) AS filas, COUNT(CASE WHEN MONTH(fecha) <> 5 THEN valor END) AS n_valor,
+           MIN(fecha) AS min_fecha, MAX(fecha) AS max_fecha, MAX(fecha) < (SELECT MAX(fecha) FROM p) AS rezagada
+    FROM p GROUP BY serie_id""")
+def footer_profile(spark, folder):
+    """Counts, first and last dates and laggards of a mart by series, from footers only; some series end early."""
+    path = new_folder(spark)
+    panel = panels.nation_month(spark, folder).where((F.col("serie_id") > "C") | (F.col("fecha") < date(1998, 1, 1)))
+    mart = panel.select("serie_id", "fecha", F.when(F.month("fecha") != 5, F.col("valor")).alias("valor"))
+    tables.clustered(mart, ["serie_id", "fecha"]).write.partitionBy("serie_id").parquet(path)
+    found = tables.footer_profile(spark, path, by=["serie_id"], counted=["valor"], extremes=["fecha"])
+    return found.withColumn("rezagada", F.col("max_fecha") < found.agg(F.max("max_fecha")).scalar())

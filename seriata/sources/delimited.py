@@ -15,8 +15,11 @@ from pyspark.sql import types as T
 from seriata import schemas
 from seriata.functions.numbers import no_nan
 from seriata.operators.reshape import build_dim_serie, wide_to_long
+from seriata.session import settle
 from seriata.sources.paths import existing, files_below, plain_path, plain_path_of, require, small_table
 
+NO_DATE, NO_NUMBER, NO_PAIR = "no date", "no number", "wrong number of cells"
+
 _PAIR = T.StructType([T.StructField("fecha", T.DateType()), T.StructField("valor", T.DoubleType())])
 
 
@@ -136,19 +139,70 @@ def load_daily(
     of series.  Dates are strict; rows without a value are dropped, and rows
     outside ``period`` (closed; ``None`` keeps all).
     """
-    kept = set(existing(spark, files.values()))
+    kept = _present(spark, files)
     if not kept:
         return spark.createDataFrame([], schemas.FACT_OBSERVACION_DIARIA)
-    series = series_of_files(spark, {s: path for s, path in files.items() if path in kept})
     rows = (
         spark.read.schema(_PAIR)
         .options(header=True, dateFormat=date_format, mode="FAILFAST")
-        .csv(sorted(kept))
+        .csv(sorted(kept.values()))
         .select(plain_path_of("_metadata.file_path").alias("file"), "fecha", no_nan(F.col("valor")).alias("valor"))
         .na.drop("any", subset=["fecha", "valor"])
     )
-    stray = F.raise_error(F.concat(F.lit("no series has the file "), F.col("file")))
-    named = rows.join(series, "file", "left").select(
-        F.coalesce("serie_id", stray).alias("serie_id"), "fecha", "valor"
-    )
+    named = _named(rows, series_of_files(spark, kept)).select("serie_id", "fecha", "valor")
     return named.where(F.col("fecha").between(*period)) if period else named
+
+
+def load_daily_or_reject(
+    spark: SparkSession,
+    files: Mapping[str, str],
+    *,
+    period: tuple[date, date] | None,
+    date_format: str = "yyyy-MM-dd",
+) -> tuple[DataFrame, DataFrame]:
+    """As ``load_daily``, but a line that is no date and number is kept apart instead of failing the load.
+
+    The second frame is ``serie_id, archivo, bloque, fila, texto, motivo``: the
+    line as it stands in the file, where its block begins, a number that grows
+    with the lines of a block, and what is wrong with it.  ``period`` does not
+    apply to it.  The files are scanned once and what was parsed is written;
+    both frames read what was written.
+    """
+    kept = _present(spark, files)
+    rejected = "serie_id string, archivo string, bloque long, fila long, texto string, motivo string"
+    if not kept:
+        return spark.createDataFrame([], schemas.FACT_OBSERVACION_DIARIA), spark.createDataFrame([], rejected)
+    lines = (
+        spark.read.schema(T.StructType([*_PAIR, T.StructField("texto", T.StringType())]))
+        .options(header=True, dateFormat=date_format, mode="PERMISSIVE", columnNameOfCorruptRecord="texto")
+        .csv(sorted(kept.values()))
+        .select(
+            plain_path_of("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("bloque"),
+            F.monotonically_increasing_id().alias("fila"),
+            "*",
+        )
+    )
+    parsed = settle(_named(lines, series_of_files(spark, kept)))
+    good = parsed.where("texto IS NULL").select("serie_id", "fecha", no_nan(F.col("valor")).alias("valor"))
+    good = good.na.drop("any", subset=["fecha", "valor"])
+    cells = F.from_csv("texto", F.lit("fecha string, valor string"))
+    no_date = F.try_to_timestamp(cells["fecha"], F.lit(date_format)).isNull() & cells["fecha"].isNotNull()
+    no_number = cells["valor"].try_cast("double").isNull() & cells["valor"].isNotNull()
+    reason = F.when(no_date, NO_DATE).when(no_number, NO_NUMBER).otherwise(NO_PAIR)
+    rejects = parsed.where("texto IS NOT NULL").select(
+        "serie_id", F.col("file").alias("archivo"), "bloque", "fila", "texto", reason.alias("motivo")
+    )
+    return good.where(F.col("fecha").between(*period)) if period else good, rejects
+
+
+def _present(spark: SparkSession, files: Mapping[str, str]) -> dict[str, str]:
+    found = set(existing(spark, files.values()))
+    return {series: path for series, path in files.items() if path in found}
+
+
+def _named(rows: DataFrame, series: DataFrame) -> DataFrame:
+    """The rows with the series of their ``file``; one that no series has fails the query."""
+    stray = F.raise_error(F.concat(F.lit("no series has the file "), F.col("file")))
+    joined = rows.join(series, "file", "left")
+    return joined.withColumn("serie_id", F.coalesce("serie_id", stray))

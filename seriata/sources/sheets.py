@@ -24,6 +24,7 @@ from seriata.functions.dates import try_date
 from seriata.functions.numbers import try_number
 from seriata.functions.text import starts_like
 from seriata.session import settle
+from seriata.sources.delimited import NO_DATE, NO_NUMBER
 from seriata.sources.paths import existing, files_below, plain_path, plain_path_of, small_table
 
 HEADER_WORD = "fecha"
@@ -54,28 +55,78 @@ def scan_sheets(
     query when its rows are read.  ``rows`` are read twice, the first time only
     where ``row_idx`` is small, which reaches a scan of stored rows.
     """
-    first_cell = F.try_element_at("cells", F.lit(1))
-    tops = rows.where((F.col("row_idx") < header_rows) & starts_like(first_cell, word))
-    headers = tops.groupBy("archivo").agg(F.min("row_idx").alias("header"))
-    index = F.lit(value_column) if isinstance(value_column, int) else value_column
-    no_header = F.raise_error(F.concat(F.lit("no header row in "), F.col("archivo")))
-    below = F.when(F.col("header").isNull(), no_header.cast("boolean")).otherwise(
-        F.col("row_idx") > F.col("header")
-    )
+    below = _table_rows(rows, word, header_rows)
     return (
-        rows.join(headers, "archivo", "left")
-        .where(below)
-        .withColumn("one", F.explode(each) if each else F.lit(None))
+        below.withColumn("one", F.explode(each) if each else F.lit(None))
         .select(
             *[c for c in rows.columns if c not in ("row_idx", "cells", each)],
             *(["one"] if each else []),
-            try_date(first_cell, *date_formats).alias("fecha"),
-            try_number(F.try_element_at("cells", (index + 1).cast("int"))).alias("valor"),
+            try_date(_first_cell(), *date_formats).alias("fecha"),
+            try_number(_cell(value_column)).alias("valor"),
         )
         .na.drop("any", subset=["fecha", "valor"])
     )
 
 
+def scan_or_reject(
+    rows: DataFrame,
+    value_column: Column | int,
+    *,
+    word: str = HEADER_WORD,
+    header_rows: int = HEADER_ROWS,
+    date_formats: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """What ``scan_sheets`` gives of ``archivo, row_idx, cells``, and the cells it leaves out.
+
+    The cells are ``archivo, row_idx, columna, texto, motivo``; a blank cell has
+    no value and is no reject.  The table's rows are parsed and written once;
+    both results read what was written.
+    """
+    parsed = settle(
+        _table_rows(rows, word, header_rows).select(
+            "archivo",
+            "row_idx",
+            _first_cell().alias("texto_fecha"),
+            try_date(_first_cell(), *date_formats).alias("fecha"),
+            _cell(value_column).alias("texto_valor"),
+            try_number(_cell(value_column)).alias("valor"),
+        )
+    )
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(column).alias("columna"),
+                F.col(f"texto_{column}").alias("texto"),
+                F.lit(reason).alias("motivo"),
+                (F.col(column).isNull() & (F.trim(f"texto_{column}") != "")).alias("rejected"),
+            )
+            for column, reason in (("fecha", NO_DATE), ("valor", NO_NUMBER))
+        ]
+    )
+    rejects = parsed.select("archivo", "row_idx", F.inline(cells)).where("rejected").drop("rejected")
+    return parsed.select("archivo", "fecha", "valor").na.drop("any", subset=["fecha", "valor"]), rejects
+
+
+def _table_rows(rows: DataFrame, word: str, header_rows: int) -> DataFrame:
+    """The rows below each file's header."""
+    tops = rows.where((F.col("row_idx") < header_rows) & starts_like(_first_cell(), word))
+    headers = tops.groupBy("archivo").agg(F.min("row_idx").alias("header"))
+    no_header = F.raise_error(F.concat(F.lit("no header row in "), F.col("archivo")))
+    below = F.when(F.col("header").isNull(), no_header.cast("boolean")).otherwise(
+        F.col("row_idx") > F.col("header")
+    )
+    return rows.join(headers, "archivo", "left").where(below)
+
+
+def _first_cell() -> Column:
+    return F.try_element_at("cells", F.lit(1))
+
+
+def _cell(index: Column | int) -> Column:
+    index = F.lit(index) if isinstance(index, int) else index
+    return F.try_element_at("cells", (index + 1).cast("int"))
+
+
 def load_ytd(
     spark: SparkSession,
     files: Mapping[str, tuple[str, int]],

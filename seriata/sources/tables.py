@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriata.operators.constraints import schema_failures
+from seriata.session import new_folder
 from seriata.sources.paths import reads
 
 LOAD = "carga"  # the column that keys a table by load number
@@ -194,6 +195,71 @@ def publish_bucketed(
     return df.sparkSession.table(name)
 
 
+_IN_ORDER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
+
+
+def footer_profile(
+    spark: SparkSession,
+    path: str,
+    *,
+    by: Sequence[str] = (),
+    counted: Sequence[str] = (),
+    extremes: Sequence[str] = (),
+) -> DataFrame:
+    """Counts and extremes of the table at ``path`` from its files' footers; no column is read.
+
+    Gives ``by`` (columns that the table is partitioned by), ``filas``, ``n_<c>``
+    of each counted column (values that are not NULL), and ``min_<c>`` and
+    ``max_<c>`` of each column of extremes, which are dates or whole numbers.
+    Footers lack extremes where a column has no value in a block of rows; then
+    the columns are scanned.  The report is written, a row per partition.
+    """
+    schema = spark.read.parquet(path).schema
+    other = [c for c in extremes if not isinstance(schema[c].dataType, _IN_ORDER)]
+    if other:
+        raise ValueError(f"footers have exact extremes of dates and whole numbers only, not of {', '.join(other)}")
+    folder = new_folder(spark)
+    report = from_footers(spark, path, schema, by=by, counted=counted, extremes=extremes)
+    try:
+        report.write.parquet(folder)
+    except Exception as failure:
+        if "No min/max found" not in str(failure):
+            raise
+        folder = new_folder(spark)
+        _profile(spark.read.parquet(path), by, counted, extremes).write.parquet(folder)
+    # A pushed count is a sum over files; without files it is NULL.
+    return spark.read.schema(report.schema).parquet(folder).na.fill(0, ["filas", *(f"n_{c}" for c in counted)])
+
+
+def from_footers(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    *,
+    by: Sequence[str] = (),
+    counted: Sequence[str] = (),
+    extremes: Sequence[str] = (),
+) -> DataFrame:
+    """The plan of ``footer_profile``, in a session of its own: the caller's settings stay as they are."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    # Only the reader that is not in this list takes aggregates.
+    listed = own.conf.get("spark.sql.sources.useV1SourceList").split(",")
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in listed if s.strip().lower() != "parquet"))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return _profile(own.read.schema(schema).parquet(path), by, counted, extremes)
+
+
+def _profile(df: DataFrame, by: Sequence[str], counted: Sequence[str], extremes: Sequence[str]) -> DataFrame:
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("filas"),
+        *[F.count(c).alias(f"n_{c}") for c in counted],
+        *[f(c).alias(f"{name}_{c}") for c in extremes for name, f in (("min", F.min), ("max", F.max))],
+    )
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """The typed relation without rows: a created or emptied table."""
     return spark.createDataFrame([], schema)

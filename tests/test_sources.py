@@ -318,3 +318,57 @@ def test_five_hundred_files_take_no_more_jobs_than_two(spark, tmp_path):
     text = daily._jdf.queryExecution().optimizedPlan().toString()
     assert "s59" not in text and len(text) < 6000
     assert sorted((r.serie_id, r.valor) for r in daily.collect()) == sorted((f"s{i}", float(i)) for i in range(60))
+
+
+def test_lines_that_do_not_load_are_kept(spark, tmp_path):
+    text = 'DATE,V\n2020-01-01,1\nyesterday,2\n2020-01-02,n.d.\n2020-01-03,4,5\n2020-01-04\n2020-01-05,\n"2020-01-06",8\n'
+    files = {"a": _write(tmp_path / "a.csv", text), "b": _write(tmp_path / "b.csv", "D,V\n2019-12-31,3\n")}
+    files["absent"] = str(tmp_path / "absent.csv")
+    good, rejects = delimited.load_daily_or_reject(spark, files, period=(date(2020, 1, 1), date(2020, 12, 31)))
+    assert rows(good) == [("a", "2020-01-01", 1.0), ("a", "2020-01-06", 8.0)]
+    found = [(r.serie_id, r.texto, r.motivo) for r in rejects.orderBy("bloque", "fila").collect()]
+    assert found == [
+        ("a", "yesterday,2", delimited.NO_DATE),
+        ("a", "2020-01-02,n.d.", delimited.NO_NUMBER),
+        ("a", "2020-01-03,4,5", delimited.NO_PAIR),
+        ("a", "2020-01-04", delimited.NO_PAIR),
+    ]
+    good, rejects = delimited.load_daily_or_reject(spark, {"absent": files["absent"]}, period=None)
+    assert good.isEmpty() and rejects.isEmpty()
+
+
+def test_cells_that_do_not_parse_are_kept(spark):
+    data = [("f", 0, ["Fecha", "v"]), ("f", 1, ["2020-01-31", "1"]), ("f", 2, ["2020-02-29", "n.d."]), ("f", 3, ["total", "x"])]
+    data += [("f", 4, ["2020-03-31"]), ("f", 5, ["2020-04-30", " "]), ("f", 6, []), ("f", 7, [None, "4"])]
+    good, rejects = sheets.scan_or_reject(_sheet(spark, data), 1)
+    assert rows(good) == rows(sheets.scan_sheets(_sheet(spark, data), 1)) == [("f", "2020-01-31", 1.0)]
+    assert sorted(tuple(r) for r in rejects.collect()) == [
+        ("f", 2, "valor", "n.d.", delimited.NO_NUMBER),
+        ("f", 3, "fecha", "total", delimited.NO_DATE),
+        ("f", 3, "valor", "x", delimited.NO_NUMBER),
+    ]
+
+
+def test_profile_from_footers_reads_no_column(spark, tmp_path):
+    data = spark.range(100).selectExpr(
+        "concat('s', id % 3) AS serie_id", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS fecha",
+        "IF(id % 5 = 0, NULL, double(id)) AS valor", "IF(id % 3 = 1, NULL, id) AS k",
+    )
+    path, asked = str(tmp_path / "mart"), {"counted": ["valor"], "extremes": ["fecha"]}
+    data.write.partitionBy("serie_id").parquet(path)
+    before = spark.conf.getAll
+    plan = tables.from_footers(spark, path, data.schema, by=["serie_id"], **asked)._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*), COUNT(valor), MIN(fecha), MAX(fecha)]" in plan
+    assert spark.conf.getAll == before
+
+    def same(by, extremes):
+        found = tables.footer_profile(spark, path, by=by, counted=["valor"], extremes=extremes)
+        scanned = tables._profile(spark.read.parquet(path), by, ["valor"], extremes)
+        assert sorted(map(str, found.collect())) == sorted(map(str, scanned.collect()))
+        return found.count()
+
+    assert (same(["serie_id"], ["fecha"]), same([], ["fecha"]), same(["serie_id"], ["k"])) == (3, 1, 3)
+    with pytest.raises(ValueError, match="valor"):
+        tables.footer_profile(spark, path, extremes=["valor"])
+    data.limit(0).drop("serie_id").write.parquet(f"{path}-empty")
+    assert tuple(tables.footer_profile(spark, f"{path}-empty", **asked).first()) == (0, 0, None, None)
