@@ -2,9 +2,10 @@
 
 A document goes where the sum of the squared numbers of open sequences per
 residual gap becomes smallest (Csirik and others, "On the sum-of-squares
-algorithm for bin packing", 2006).  Documents are dealt by hash into groups
-that are packed apart, the long ones first; what the groups' last sequences
-could not fill is packed once more, in fewer groups.
+algorithm for bin packing", 2006).  Documents are dealt by a number of their own,
+so that copies do not meet, into groups that are packed apart, the long ones
+first; what the groups' last sequences could not fill is packed once more, in
+fewer groups.
 """
 
 from __future__ import annotations
@@ -81,21 +82,25 @@ def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Place pieces into sequences of at most ``length`` tokens.
 
     Adds ``sequence_id`` and ``offset`` to ``cut(doc_id, piece, start, length,
-    ids_crc32)``; a sequence has no gaps and begins at 0.  Runs two jobs: the
-    pieces are counted, and what stays open is packed again.
+    ids_crc32)``; a sequence has no gaps and begins at 0.  Equal rows are pieces
+    of their own, spread over all groups; without rows there is no sequence.
+    Runs jobs: the pieces are counted, and what stays open is packed again.
     """
-    key = F.xxhash64("doc_id", "piece", "ids_crc32", "length")
-    keys = cut.select("doc_id", "piece", "start", "length", "ids_crc32")
-    keys = settle(keys)
-    n = keys.count()
-    first = max(1, -(-n // group))
-    packed = settle(_pack_groups(keys.withColumn("__group", F.pmod(key, F.lit(first))), length, 0))
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def dealt(rows: DataFrame, groups: int, *number: str) -> DataFrame:
+        return rows.select(*own, F.pmod(F.xxhash64(*number), F.lit(groups)).alias("__group"))
+
+    # The number is written with the row: it stays the same whatever is computed again.
+    keys = settle(cut.select(*own, F.monotonically_increasing_id().alias("number")))
+    first = max(1, -(-keys.count() // group))
+    packed = settle(_pack_groups(dealt(keys, first, "number"), length, 0))
     closed = packed.where("full").drop("full")
     if first == 1:
         return packed.drop("full")
-    left = packed.where("NOT full").select(*keys.columns)
+    left = packed.where("NOT full")
     fewer = max(1, -(-left.count() // group))
-    again = left.withColumn("__group", F.pmod(key, F.lit(fewer)))
+    again = dealt(left, fewer, "sequence_id", "offset")  # one piece lies there
     return closed.unionByName(_pack_groups(again, length, first).drop("full"))
 
 

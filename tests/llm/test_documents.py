@@ -346,6 +346,37 @@ def test_sizes_go_where_the_squares_get_smallest():
     assert number.tolist() == [0, 1, 1, 0, 2] and offset.tolist() == [0, 0, 6, 6, 0]
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_placement_follows_the_rule(seed):
+    sizes = np.random.default_rng(seed).integers(1, 21, 120)
+    number, offset = packing.place(sizes, 20)
+    filled: dict[int, int] = {}
+
+    def squares(after):
+        gaps = [20 - f for f in after.values() if f < 20]
+        return sum(gaps.count(g) ** 2 for g in set(gaps))
+
+    for size, own, at in zip(sizes.tolist(), number.tolist(), offset.tolist()):
+        fits = [b for b, f in filled.items() if f + size <= 20]
+        if fits:
+            best = min(fits, key=lambda b: (squares(filled | {b: filled[b] + size}), 20 - filled[b]))
+            assert filled[own] == filled[best]  # sequences with equal gaps are alike
+        else:
+            assert own not in filled
+        assert at == filled.get(own, 0)
+        filled[own] = at + size
+
+
+def test_equal_pieces_spread_over_the_groups(spark):
+    same = "CAST(NULL AS LONG) doc_id", "0 piece", "0L start", "700L length", "5L ids_crc32"
+    packed = packing.pack(spark.range(0, 100_000, 1, 8).selectExpr(*same), 2048, group=4096)
+    groups = packed.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert sum(r["count"] for r in groups) == 100_000 and len(groups) >= 20 and max(r["count"] for r in groups) < 5000
+    sequences = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list("offset")).alias("at"))
+    shapes = {tuple(r["at"]): r["count"] for r in sequences.groupBy("at").count().collect()}
+    assert set(shapes) <= {(0,), (0, 700)} and shapes.get((0,), 0) <= 25
+
+
 def test_tokens_equal_the_library():
     rng = random.Random(8)
     letters = "abc DEF'sté ñ\n\t\r\x0b\x85\u3000日😀Σσ²½İ!?#<|endoftext|>0123\u0301"
