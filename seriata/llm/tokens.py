@@ -47,13 +47,15 @@ class WordTokenizer:
         return (b"".join(map(known, chunks)) for chunks in split)
 
     def _learn(self, chunks: set[str]) -> None:
-        cut = {}
+        whole, cut = {}, {}
         for chunk in chunks:
-            if _PLAIN(chunk) and "<|" not in chunk:
+            if chunk.isascii() and chunk.isalpha():  # one word, which most chunks are
+                whole[chunk] = chunk.lower()
+            elif _PLAIN(chunk) and "<|" not in chunk:
                 cut[chunk] = _WORDS(chunk.lower())
             else:
                 self.chunks[chunk] = self._numbers(chunk).tobytes()
-        unknown = list(set().union(*cut.values()) - self.words.keys())
+        unknown = list(set(whole.values()).union(*cut.values()) - self.words.keys())
         if unknown:
             numbers = self._numbers(" ".join(unknown))
             ends = np.flatnonzero(self.ends[numbers]) + 1
@@ -61,6 +63,8 @@ class WordTokenizer:
             raw, at = numbers.tobytes(), 0
             for word, end in zip(unknown, (4 * ends).tolist()):
                 self.words[word], at = raw[at:end], end
+        for chunk, word in whole.items():
+            self.chunks[chunk] = self.words[word]
         for chunk, words in cut.items():
             self.chunks[chunk] = b"".join([self.words[w] for w in words])
 
