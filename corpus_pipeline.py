@@ -58,13 +58,16 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near copies.
 
-    It is the one with the smallest number, of equals the first by text; one
+    Near copies are texts that the fingerprints of ``op1`` link, two bits apart
+    at most, found with its trie, and texts whose sets of five words in a row
+    are alike, which fingerprints so close mostly miss.  It is the one with the smallest number, of equals the first by text; one
     without a number only if none of its class has any.
     """
 
     def first(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("__class").orderBy(F.asc_nulls_last("doc_id"), "text", "__rest")
-        ranked = copies.with_class(rows, "__class").withColumn("__rank", F.row_number().over(order))
+        known = copies.fingerprint_links(rows)
+        ranked = copies.with_class(rows, "__class", known).withColumn("__rank", F.row_number().over(order))
         return ranked.where(F.col("__rank") == 1)
 
     return _judged(docs, first)

@@ -7,7 +7,8 @@ every such pair is reached, for sets that alike share a shingle among the
 The texts that share a shingle are compared with the first of them, then with
 more and more of them; pairs already in one class need no comparison, so a
 large group of copies costs a few comparisons each.  Each link is confirmed on
-the whole sets.
+the whole sets.  Links that are known before, such as those of fingerprints,
+belong to the classes too and spare comparisons.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriata.llm import simhash
 from seriata.llm.common import bounded_batches, by_batch, with_columns
 from seriata.llm.components import components
 from seriata.llm.workers import release
@@ -55,19 +57,42 @@ def set_number(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63) if len(found) else 0
 
 
-def with_class(docs: DataFrame, name: str = "class") -> DataFrame:
-    """Add the class, a number, to every row of ``docs(text, ...)``; NULL and texts without words are one class."""
+def with_class(docs: DataFrame, name: str = "class", known: DataFrame | None = None) -> DataFrame:
+    """Add the class, a number, to every row of ``docs(text, ...)``; NULL and texts without words are one class.
+
+    ``known(a, b)`` are links between numbers of sets that join classes whatever the sets share.
+    """
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         return [pa.array([set_number(shingles((t or "").encode())) for t in texts], pa.int64())]
 
     marked = with_columns(docs, run, f"{name} long")
-    roots = classes(docs).select(F.col("node").alias(name), "root")
+    roots = classes(docs, known).select(F.col("node").alias(name), "root")
     rows = marked.join(roots, name, "left").withColumn(name, F.coalesce("root", name))
     return rows.select(*docs.columns, name)
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def fingerprint_links(docs: DataFrame) -> DataFrame:
+    """``(a, b)`` between the numbers of sets of ``docs(text, ...)`` whose SimHash fingerprints the trie links.
+
+    Sets of one fingerprint are linked to the smallest of them; a spanning
+    forest stands for all links between different fingerprints.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        release()
+        texts = [t or b"" for t in batch.column(0).to_pylist()]
+        nodes = [set_number(shingles(t)) for t in texts]
+        found = np.array([simhash.fingerprint(t) for t in texts], "<u8").view("<i8")
+        return pa.record_batch([pa.array(nodes, pa.int64()), pa.array(found)], ["node", "fp"])
+
+    marked = settle(by_batch(docs.select(F.col("text").cast("binary")), run, "node long, fp long").distinct())
+    different = settle(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    own = marked.join(different, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return own.union(simhash.trie_links(different).select("a.first", "b.first"))
+
+
+def classes(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``(node, root)``: the sets linked to others, and the smallest set number of their class."""
     text = docs.select(F.col("text").cast("binary"))
     bounded_batches(docs.sparkSession)
@@ -76,7 +101,8 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     members = settle(entries.join(shared.select("shingle"), "shingle"))
     sets = settle(_sets(text).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    none = docs.sparkSession.createDataFrame([], "node long, root long")
+    roots = none if known is None else settle(components(known))
     leaders, more = LEADERS
     while not members.isEmpty():
         order = Window.partitionBy("shingle").orderBy("node")
