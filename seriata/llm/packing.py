@@ -24,7 +24,6 @@ from seriata.session import settle
 
 LENGTH = 2048
 GROUP = 4096  # documents packed together
-TEXT_BYTES = 1 << 22  # of text that a task tokenizes at once
 END = 0  # the number behind each document
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
@@ -51,12 +50,11 @@ def pieces(
         texts = [t or "" for t in batch.column(1).to_pylist()]
         rows: list[tuple] = []
         end = np.array([END], "<u4").tobytes()
-        for begin, stop in _portions(texts):
-            for i, numbers in enumerate(_tokenizer(tokenizer, remember).encode(texts[begin:stop]), begin):
-                raw = numbers + end
-                for piece, at in enumerate(range(0, len(raw), 4 * length)):
-                    part = raw[at : at + 4 * length]
-                    rows.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
+        for i, numbers in enumerate(_tokenizer(tokenizer, remember).encode(texts)):
+            raw = numbers + end
+            for piece, at in enumerate(range(0, len(raw), 4 * length)):
+                part = raw[at : at + 4 * length]
+                rows.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
         row, piece, start, size, crc, parts = zip(*rows)
         ids = [p if p is None else np.frombuffer(p, "<i4") for p in parts]
         return pa.record_batch(
@@ -69,15 +67,6 @@ def pieces(
     return found if keep_ids else found.drop("ids")
 
 
-def _portions(texts: list[str]):
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= TEXT_BYTES or i == len(texts) - 1:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-
-
 def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Place pieces into sequences of at most ``length`` tokens.
 

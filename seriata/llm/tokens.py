@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,69 +11,90 @@ import regex
 from tokenizers import Tokenizer
 
 KEPT = 500_000  # chunks, and words, whose numbers a worker remembers unless told otherwise
+KEPT_CHARS = 64  # longer chunks are not remembered
 
 # Chunks of these letters have no other form under NFC and are lower-cased letter by letter.
-_PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+").fullmatch
-# Fixed value: the pattern by which the tokenizer cuts words.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-_END = "</w>"
+_FIRST, _LAST = "¡", "ɏ"
+_PLAIN = re.compile(rf"[\x21-\x7e{_FIRST}-{_LAST}]+").fullmatch
+_LOWERED = "".join({c for i in range(ord(_FIRST), ord(_LAST) + 1) for c in chr(i) + chr(i).lower()})
+_LETTERS, _NUMBERS = (rf"{ascii}{''.join(regex.findall(kind, _LOWERED))}" for ascii, kind in (("A-Za-z", r"\p{L}"), ("0-9", r"\p{N}")))
+# Fixed value: the pattern by which the tokenizer cuts words, for these letters.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 
 
 class WordTokenizer:
     """``encode`` of the library, text by text, with the numbers of known words remembered.
 
     White space always ends a word, so a text's numbers are those of its chunks
-    put together.  Unknown words of many texts are encoded in one call; the
-    tokenizer marks the last token of a word, which tells them apart again.
+    put together.  Of chunks of plain letters the words are cut here and only
+    merged by the library; others are its own from end to end.
     """
 
     def __init__(self, path: str, remember: int = KEPT):
-        self.remember = remember
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[n for piece, n in vocabulary.items() if piece.endswith(_END)]] = True
-        self.chunks: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.chunks = _Chunks(self, remember)
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Numbers of each text as little-endian unsigned 32-bit integers."""
-        split = [_split(text) for text in texts]
-        if len(self.chunks) > self.remember:
-            self.chunks.clear()
-        if len(self.words) > self.remember:
-            self.words.clear()
-        self._learn(set().union(*split) - self.chunks.keys())
         known = self.chunks.__getitem__
-        return (b"".join(map(known, chunks)) for chunks in split)
-
-    def _learn(self, chunks: set[str]) -> None:
-        whole, cut = {}, {}
-        for chunk in chunks:
-            if chunk.isascii() and chunk.isalpha():  # one word, which most chunks are
-                whole[chunk] = chunk.lower()
-            elif _PLAIN(chunk) and "<|" not in chunk:
-                cut[chunk] = _WORDS(chunk.lower())
-            else:
-                self.chunks[chunk] = self._numbers(chunk).tobytes()
-        unknown = list(set(whole.values()).union(*cut.values()) - self.words.keys())
-        if unknown:
-            numbers = self._numbers(" ".join(unknown))
-            ends = np.flatnonzero(self.ends[numbers]) + 1
-            assert len(ends) == len(unknown)
-            raw, at = numbers.tobytes(), 0
-            for word, end in zip(unknown, (4 * ends).tolist()):
-                self.words[word], at = raw[at:end], end
-        for chunk, word in whole.items():
-            self.chunks[chunk] = self.words[word]
-        for chunk, words in cut.items():
-            self.chunks[chunk] = b"".join([self.words[w] for w in words])
-
-    def _numbers(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return (b"".join(map(known, _split(text))) for text in texts)
+
+    def word(self, word: str) -> bytes:
+        """Numbers of a word as the pattern cuts it, lower-cased."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+        numbers = [token.id for token in self.merge(letters)]
+        return struct.pack(f"<{len(numbers)}I", *numbers)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class _Chunks(dict):
+    """Numbers of each chunk asked for; remembered, but for long ones."""
+
+    def __init__(self, tokenizer: WordTokenizer, remember: int):
+        self.tokenizer, self.remember = tokenizer, remember
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # one word, which most chunks are
+            numbers = self._word(chunk.lower())
+        elif (chunk.isprintable() if chunk.isascii() else _PLAIN(chunk)) and "<|" not in chunk:
+            numbers = b"".join(map(self._word, _WORDS(chunk.lower())))
+        else:
+            numbers = self.tokenizer.whole(chunk)
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= self.remember:
+                self.clear()
+            self[chunk] = numbers
+        return numbers
+
+    def _word(self, word: str) -> bytes:
+        words = self.tokenizer.words
+        numbers = words.get(word)
+        if numbers is None:
+            numbers = self.tokenizer.word(word)
+            if len(word) <= KEPT_CHARS:
+                if len(words) >= self.remember:
+                    words.clear()
+                words[word] = numbers
+        return numbers
+
+
+def _letters() -> dict[int, int]:
+    """The letter of each byte in a byte-level vocabulary: printable bytes stand for themselves, the rest go from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [byte for byte in range(256) if byte not in own]
+    return {byte: 256 + i for i, byte in enumerate(rest)}
+
+
+LETTERS = _letters()
 
 
 def _split(text: str) -> list[str]:
+    if text.isascii() and "<|" not in text:
+        text = text.lower()  # fewer different chunks
     for space in "\n\t\r":
         text = text.replace(space, " ")
     return text.split(" ")

@@ -386,6 +386,18 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_tokens_of_all_letters_equal_the_library_and_only_few_are_remembered():
+    library = Tokenizer.from_file(WORD_BPE)
+    chars = [chr(i) for i in range(0x3000) if chr(i) not in "\ud800"]
+    texts = ["".join(f"a{c}B{c}{c} {c}x's{c} H{c}\u0331 " for c in chars[i : i + 16]) for i in range(0, len(chars), 16)]
+    texts += ["<|STARTOFTEXT|> <|endoftext|>X", "K\x1cL\x0bM it'S 'LL", "Long" * 50_000 + ", " + "no" * 40]
+    few = tokens.WordTokenizer(WORD_BPE, 100)
+    for text, got in zip(texts, few.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[:99])
+        assert len(few.chunks) <= 100 and len(few.words) <= 100
+    assert all(len(c) <= tokens.KEPT_CHARS for c in [*few.chunks, *few.words])
+
+
 # ---------------------------------------------------------------- pieces
 
 
