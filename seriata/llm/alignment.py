@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriata.llm.common import bounded_batches, by_batch
+from seriata.llm.common import bounded_batches, by_batch, joined, replaced, split_words
 from seriata.llm.workers import kept, release
 from seriata.session import settle
 
-KEPT = 30_000  # words that a worker remembers
-KEPT_CHARS = 64  # longer words are not remembered
-TEXT_CHARS = 1 << 17  # of text that a task tokenizes at once
+TEXT_CHARS = 1 << 15  # of words that are tokenized in one call
 SCORED = ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 COMMON = 1 << 16  # a pair is common if it makes up at least this part of all links by pairs
 
@@ -49,10 +47,11 @@ NOTHING: Groups = (b"", b"", b"", b"")
 
 
 class Pair:
-    """Tokenizers A (byte-level) and B (pieces), the bytes of their tokens, and the groups of known words.
+    """Tokenizers A (byte-level) and B (pieces), and the bytes of their tokens.
 
     A single space between two other characters begins a token of A and of B,
     so the groups of a text are those of its words, each with the space before it.
+    The different words of a batch are tokenized once, and nothing is remembered from batch to batch.
     """
 
     def __init__(self, a: str, b: str):
@@ -70,46 +69,46 @@ class Pair:
         self.alike = alike(self.bytes_a, self.bytes_b)
         # A's pattern cuts at such a space; B must have no piece that goes over one.
         self.by_word = not any(b" " in token.lstrip(b" ") for token in self.bytes_b)
-        self.words: dict[str, Groups | None] = {}
-        self.long: list[str] = []
-
-    def groups(self, texts: list[str | None]) -> Iterator[Groups]:
-        """The groups of each text; ``NOTHING`` where the tokens don't give it back."""
-        split = [t.split(" ") if t else [] for t in texts]
-        if len(self.words) > KEPT:
-            self.words.clear()
-        if self.by_word:
-            self._learn(list(set().union(*split) - self.words.keys()))
-        for text, words in zip(texts, split):
-            known = list(map(self.words.get, words))
-            if None in known:
-                yield self.of_text(text)
-            elif known:
-                yield tuple(map(b"".join, zip(*known)))
-            else:
-                yield NOTHING
-        for word in self.long:
-            self.words.pop(word, None)
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the groups of words; None for those that white space touches or that don't come back."""
-        self.long = [word for word in words if len(word) > KEPT_CHARS]
-        closed = [w for w in words if w and not (w[0].isspace() or w[-1].isspace() or _SPACE in w)]
-        self.words.update(dict.fromkeys(words))
-        if not closed:
-            return
-        a, b = self._tokens(" ".join(closed))
-        if a is None:
-            for word in closed:
-                groups = self.of_text(word)
-                self.words[word] = None if groups == NOTHING else groups
-            return
-        columns = [(x.astype("<u4").tobytes(), 4) for x in (a, b)] + [(e.tobytes(), 1) for e in ends_of(a, b, self.length_a, self.length_b)]
-        starts = [np.append(np.flatnonzero(begins[x]), len(x)).tolist() for x, begins in ((a, self.begins_a), (b, self.begins_b))]
-        assert len(starts[0]) == len(starts[1]) == len(closed) + 1
-        for i, word in enumerate(closed):
-            spans = [(at[i], at[i + 1]) for at in starts] * 2
-            self.words[word] = tuple(raw[size * x : size * y] for (raw, size), (x, y) in zip(columns, spans))
+
+    def columns(self, texts: pa.Array) -> list[pa.Array]:
+        """The columns ``a, b, a_ends, b_ends`` of texts; empty where the tokens don't give a text back."""
+        words, at = split_words(texts)
+        whole, columns = self._learn(words.dictionary.to_pylist())
+        odd = np.flatnonzero(np.diff(np.append(0, np.cumsum(~whole[words.indices.to_numpy()]))[at]))
+        own = [self.of_text(texts[int(i)].as_py() or "") for i in odd]
+        return [
+            replaced(joined(column.take(words.indices), at), odd, [groups[i] for groups in own])
+            for i, column in enumerate(columns)
+        ]
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        """The columns of each word, and which words can be put together.
+
+        Not so those that white space touches and those that don't come back, which have no tokens here.
+        """
+        whole = np.array([self.by_word and w != "" and not (w[0].isspace() or w[-1].isspace() or _SPACE in w) for w in words], bool)
+        nothing = np.zeros(0, np.int32)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(nothing, nothing)]
+        n_a, n_b = (np.zeros(len(words), np.int64) for _ in range(2))
+        for places in _portions(np.flatnonzero(whole), words):
+            todo = [places]
+            while todo:
+                places = todo.pop()
+                tokens = self._tokens(" ".join([words[i] for i in places]))
+                if tokens[0] is not None:
+                    found.append(tokens)
+                    for n, ids, begins in zip((n_a, n_b), tokens, (self.begins_a, self.begins_b)):
+                        starts = np.flatnonzero(begins[ids])
+                        assert len(starts) == len(places)
+                        n[places] = np.diff(np.append(starts, len(ids)))
+                elif len(places) > 1:
+                    todo += [places[len(places) // 2 :], places[: len(places) // 2]]
+                else:
+                    whole[places] = False
+        a, b = map(np.concatenate, zip(*found))
+        ends = ends_of(a, b, self.length_a, self.length_b)
+        columns = [_binary(x.astype("<u4"), n) for x, n in ((a, n_a), (b, n_b))] + [_binary(e, n) for e, n in zip(ends, (n_a, n_b))]
+        return whole, columns
 
     def of_text(self, text: str) -> Groups:
         a, b = self._tokens(text)
@@ -120,7 +119,7 @@ class Pair:
 
     def _tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | tuple[None, None]:
         """Numbers of A for a space and the text, and of B, if both give back every byte."""
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
         raw = (" " + text).encode()
         if not text or any(b"".join(map(known.__getitem__, ids)) != raw for known, ids in ((self.bytes_a, a), (self.bytes_b, b))):
             return None, None
@@ -181,22 +180,22 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pair = kept(("alignment", a, b), lambda: Pair(a, b))
-        texts = batch.column(2).to_pylist()
-        found = [groups for some in _portions(texts) for groups in pair.groups(some)]
-        columns = [pa.array([groups[i] for groups in found], pa.binary()) for i in range(4)]
-        return pa.record_batch([batch.column(0), batch.column(1), *columns], ["row", "doc_id", *COLUMNS])
+        return pa.record_batch([batch.column(0), batch.column(1), *pair.columns(batch.column(2))], ["row", "doc_id", *COLUMNS])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return by_batch(rows, run, GROUPS)
 
 
-def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= TEXT_CHARS or i == len(texts) - 1:
-            yield texts[begin : i + 1]
-            begin, size = i + 1, 0
+def _portions(places: np.ndarray, words: list[str]) -> Iterator[np.ndarray]:
+    """The places in parts of words of ``TEXT_CHARS`` letters, about."""
+    sizes = np.cumsum([len(words[i]) + 1 for i in places]) // TEXT_CHARS
+    yield from (part for part in np.split(places, np.flatnonzero(np.diff(sizes)) + 1) if len(part))
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An array of the bytes of the values, ``sizes`` of them each."""
+    ends = values.itemsize * np.append(0, np.cumsum(sizes))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 class _Links:
@@ -311,10 +310,10 @@ def score(groups: DataFrame, counts: Counts) -> DataFrame:
     counted = counted.select("pair", "n", (F.col("n") == F.col("best")).cast("long").alias("is_best"))
     rare = scored.select("row", F.explode("rare").alias("pair")).join(counted, "pair")
     more = rare.groupBy("row").agg(F.sum("is_best").alias("__best"), F.sum("n").alias("__sum"))
-    joined = scored.drop("rare").join(more, "row", "left")
+    summed = scored.drop("rare").join(more, "row", "left")
     zero = F.lit(0).cast("long")
     sums = {"n_best": F.col("n_best") + F.coalesce("__best", zero), "count_sum": F.col("count_sum") + F.coalesce("__sum", zero)}
-    return joined.withColumns(sums).select(*SCORED)
+    return summed.withColumns(sums).select(*SCORED)
 
 
 def texts(groups: DataFrame) -> DataFrame:

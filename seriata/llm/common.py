@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,9 @@ def by_batch(
 
 
 def with_columns(
-    docs: DataFrame, function: Callable[[list[str | None]], list[pa.Array]], added: str, column: str = "text"
+    docs: DataFrame, function: Callable[..., list[pa.Array]], added: str, column: str = "text", arrow: bool = False
 ) -> DataFrame:
-    """Add the columns ``added`` (a schema) that ``function`` makes of the texts of a batch.
+    """Add the columns ``added`` (a schema) that ``function`` makes of the texts of a batch, a list or an Arrow array.
 
     Other columns pass through; those with a name that is added are replaced.
     """
@@ -45,12 +47,34 @@ def with_columns(
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        return pa.record_batch([*batch.columns, *function(texts)], [*batch.schema.names, *names])
+        texts = batch.column(batch.schema.get_field_index(column))
+        return pa.record_batch([*batch.columns, *function(texts if arrow else texts.to_pylist())], [*batch.schema.names, *names])
 
     return by_batch(docs, run, f"{kept}, {added}")
 
 
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """What single spaces part in all texts, and where each text's words begin and end; NULL counts as empty."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    return lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+
+
+def joined(parts: pa.Array, at: np.ndarray) -> pa.Array:
+    """The bytes of the parts between each two places, put together."""
+    _, ends, data = parts.buffers()
+    ends = np.frombuffer(ends, np.int32)[at]
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(ends), data])
+
+
+def replaced(column: pa.Array, rows: np.ndarray, values: list[bytes]) -> pa.Array:
+    """The column with other values in some rows."""
+    if not len(rows):
+        return column
+    place = np.arange(len(column))
+    place[rows] = len(column) + np.arange(len(rows))
+    return pa.concat_arrays([column, pa.array(values, column.type)]).take(pa.array(place))
+
+
 def stretch(text: str, chars: int) -> Column:
     """The text, or of a longer one ``chars`` characters in a row from a place fixed by its hash."""
     free = F.greatest(F.length(text) - chars, F.lit(0)) + 1

@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -102,9 +103,37 @@ def test_a_worker_keeps_one_thing():
     assert workers.kept("a", list) is not first
 
 
+def test_words_of_a_batch_are_encoded_once_however_few_are_remembered(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT", 3)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc DEé日,.'1\n") for _ in range(rng.randint(1, 40))).strip() or "x" for _ in range(50)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(40)] + [None, "", " ", "a  b", "\nx y", words[0] * 300]
+    encoder, library, met = byte_bpe.Encoder(RANKS), _library(byte_bpe.read_ranks(RANKS)), collections.Counter()
+    chunks = encoder.chunks
+    monkeypatch.setattr(encoder, "chunks", lambda text: met.update([text]) or chunks(text))
+    for text, got in zip(texts, encoder.encode_all(pa.array(texts)).to_pylist()):
+        assert _numbers(got) == library(text or ""), repr(text)
+    assert max(n for text, n in met.items() if text.startswith(" ") and text != " ") == 1
+
+
 # ---------------------------------------------------------------- alignment
 
 
+def test_words_of_a_batch_are_aligned_once(monkeypatch):
+    monkeypatch.setattr(alignment, "TEXT_CHARS", 60)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcDEé日,.'1￼ﬁ▁") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    words += [f"plain{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words[60:], k=90)) for _ in range(40)] + [" ".join(rng.choices(words, k=2)) for _ in range(200)]
+    texts += [None, "", " ", "a  b", "\nx y"]
+    pair = alignment.Pair(A, B)
+    want = [pair.of_text(t or "") for t in texts]
+    asked, tokens = [], pair._tokens
+    monkeypatch.setattr(pair, "_tokens", lambda text: asked.append(text) or tokens(text))
+    assert list(zip(*(c.to_pylist() for c in pair.columns(pa.array(texts))))) == want
+    assert alignment.NOTHING in want[40:-5] and sum(text.split(" ").count("plain7") for text in asked if text not in texts) <= 3
+
+
 def _plain_alignment(texts):
     pair = alignment.Pair(A, B)
     rows, count = [], collections.Counter()
