@@ -23,12 +23,14 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from seriata.llm.common import with_columns
+from seriata.llm.common import joined, replaced, split_words, with_columns
 from seriata.llm.workers import kept
 
 PATTERN = public_tokenizers.PATTERN
 KEPT = 200_000  # words, chunks, and pairs of tokens, that a worker remembers
 KEPT_CHARS = 64  # longer chunks are not remembered
+SHORT = 32  # bytes of a chunk whose tokens are looked up one by one
+PREFIX = 4  # bytes that bound how long a token looked up can be
 BLOCK = 1 << 14  # bytes of a chunk whose matches are held together
 _NEVER = 1 << 40
 
@@ -96,6 +98,8 @@ class Encoder:
         self.length = {rank: len(token) for token, rank in self.ranks.items()}
         self.start = max(self.tokens) + 1  # stands before the first token of a chunk
         self.longest = max(map(len, self.ranks))
+        # the longest token that begins with these bytes; others are shorter than they
+        self.reach = {token[:PREFIX]: len(token) for token in sorted(self.ranks, key=len) if len(token) >= PREFIX}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
@@ -109,25 +113,33 @@ class Encoder:
         self.by_word = pattern == public_tokenizers.PATTERN
         self.words: dict[str, bytes] = {}
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Numbers of the tokens of each text as little-endian unsigned 32-bit integers; the words of all are met once."""
+        words, at = split_words(texts)
+        different, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        closed = np.array([self.by_word and _closed(word) for word in different], bool)
+        # the first word of a text has no space before it
+        first, own = np.unique(codes[at[:-1]], return_inverse=True)
+        numbers = [self._word(word) if whole else b"" for word, whole in zip(different, closed)]
+        numbers += [self.encode(different[i]) if closed[i] else b"" for i in first]
+        odd = np.flatnonzero(np.diff(np.append(0, np.cumsum(~closed[codes]))[at]))
+        codes = codes.copy()
+        codes[at[:-1]] = len(different) + own
+        found = joined(pa.array(numbers, pa.binary()).take(pa.array(codes)), at)
+        return replaced(found, odd, [self.encode(texts[int(i)].as_py() or "") for i in odd])
+
+    def _word(self, word: str) -> bytes:
+        numbers = self.words.get(word)
+        if numbers is None:
+            numbers = self.encode(" " + word)
+            if len(word) <= KEPT_CHARS:
+                if len(self.words) >= KEPT:
+                    self.words.clear()
+                self.words[word] = numbers
+        return numbers
+
     def encode(self, text: str) -> bytes:
-        """Numbers of the tokens as little-endian unsigned 32-bit integers."""
-        first, *words = text.split(" ")
-        if not self.by_word or not _closed(first):
-            return self._encode(text)
-        numbers = list(map(self.words.get, words))
-        if None in numbers:
-            if len(self.words) >= KEPT:
-                self.words.clear()
-            for i, word in enumerate(words):
-                if numbers[i] is None:
-                    if not _closed(word):
-                        return self._encode(text)
-                    numbers[i] = self._encode(" " + word)
-                    if len(word) <= KEPT_CHARS:
-                        self.words[word] = numbers[i]
-        return b"".join([self._encode(first), *numbers])
-
-    def _encode(self, text: str) -> bytes:
+        """Numbers of the tokens of one text."""
         return b"".join(map(self._chunk_numbers, self.chunks(text)))
 
     def _chunk_numbers(self, chunk: str) -> bytes:
@@ -148,6 +160,8 @@ class Encoder:
         text, size = raw.decode("latin-1"), len(raw)
         if self.odd and any(token in self.odd for _, (token, _) in self.automaton.iter(text)):
             return [self.ranks[part] for part in merged(raw, self.ranks)]
+        if size <= SHORT and not self.odd:
+            return self._encode_short(raw)
         matches = beginning(self.automaton, text, size) if size <= BLOCK else Matches(self.automaton, text, self.longest)
         length, fits, fitting = self.length, self.fits, self.fitting
         dead = bytearray(size + 1)  # nothing fits behind these places
@@ -179,6 +193,33 @@ class Encoder:
                 choice = matches[place]
         return taken
 
+    def _encode_short(self, raw: bytes) -> list[int]:
+        """The same search for a short chunk: a token is looked up when its turn comes."""
+        ranks, reach, fits, fitting, size = self.ranks, self.reach, self.fits, self.fitting, len(raw)
+        dead = bytearray(size + 1)
+        taken: list[int] = []
+        shorter: list[int] = []  # the longest end not yet tried behind the place of each token taken
+        place, last = 0, self.start
+        end = min(size, reach.get(raw[:PREFIX], PREFIX - 1))
+        while place < size:
+            while end > place:
+                token = ranks.get(raw[place:end])
+                if token is not None and not dead[end]:
+                    fit = fitting.get(last << 32 | token)
+                    if fits(last, token) if fit is None else fit:
+                        taken.append(token)
+                        shorter.append(end - 1)
+                        place, last = end, token
+                        end = min(size, place + reach.get(raw[place : place + PREFIX], PREFIX - 1))
+                        break
+                end -= 1
+            else:
+                dead[place] = 1
+                place -= self.length[taken.pop()]
+                end = shorter.pop()
+                last = taken[-1] if taken else self.start
+        return taken
+
     def fits(self, last: int, token: int) -> bool:
         """Whether the merges leave the two tokens as they are when they meet; remembered."""
         if len(self.fitting) >= KEPT:
@@ -221,11 +262,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str = PATTERN) -> DataFrame:
     Other columns pass through, a column ``ids`` is replaced; repeated rows stay.
     """
 
-    def run(texts: list[str | None]) -> list[pa.Array]:
-        encoder = kept(("byte_bpe", ranks, pattern), lambda: Encoder(ranks, pattern))
-        return [pa.array([encoder.encode(t) if t else b"" for t in texts], pa.binary())]
+    def run(texts: pa.Array) -> list[pa.Array]:
+        return [kept(("byte_bpe", ranks, pattern), lambda: Encoder(ranks, pattern)).encode_all(texts)]
 
-    return with_columns(docs, run, "ids binary")
+    return with_columns(docs, run, "ids binary", arrow=True)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
