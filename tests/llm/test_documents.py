@@ -417,3 +417,59 @@ def test_pieces_equal_the_library(spark, odd, none):
     odd_ids = spark.createDataFrame([(1, None), (None, []), (None, [1, 5])], "doc_id long, ids array<int>")
     assert sorted(map(repr, pieces.decode(odd_ids, known).collect())) == sorted(map(repr, [
         Row(doc_id=1, decoded=""), Row(doc_id=None, decoded=""), Row(doc_id=None, decoded="")]))
+
+
+def test_pieces_take_no_shuffle(spark, odd):
+    known = pieces.piece_table(spark, PIECE_BPE)
+    plan = pieces.encode(odd, known)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Join|Aggregate|Sort", plan), plan
+
+
+def test_pieces_of_long_words_equal_the_library(spark):
+    letters = random.Random(4)
+    long = ["ab" * 50_000, "日本" * 30_000 + " x", "▁" * 15 + "aaa ", "".join(letters.choice("etaoin日😀") for _ in range(100_000))]
+    docs = spark.createDataFrame(list(enumerate([*long, "the  end"])), SCHEMA)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    got = {r.doc_id: (r.ids, r.spelled) for r in pieces.encode(docs, pieces.piece_table(spark, PIECE_BPE)).collect()}
+    assert got == {i: (library.encode(text), True) for i, text in enumerate([*long, "the  end"])}
+
+
+def _plain_pieces(word, table):
+    """Every substring tried, all edges in one list, a text of cuts."""
+    known = {piece: (-score, i) for i, piece, score, _ in table if score is not None}
+    edges = [(a, b) for a in range(len(word)) for b in range(a + 2, len(word) + 1) if word[a:b] in known]
+    cuts = [True] * (len(word) + 1)
+    for a, b in sorted(edges, key=lambda e: (known[word[e[0] : e[1]]][0], e)):
+        if cuts[a] and cuts[b] and sum(cuts[a + 1 : b]) == 1:
+            cuts[a + 1 : b] = [False] * (b - a - 1)
+    at = [i for i, cut in enumerate(cuts) if cut]
+    parts = [word[a:b] for a, b in zip(at, at[1:])]
+    return [i for p in parts for i in ([known[p][1]] if p in known else [b + pieces.FIRST_BYTE for b in p.encode()])]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_edges_are_folded_by_rank(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    spelt = sorted({"".join(rng.choice("ab▁cé") for _ in range(rng.randrange(1, 5))).replace("▁", "") for _ in range(40)} - {""})
+    table = [(i, f"<{i}>", None, f"{i - 3:02X}" if i > 2 else "") for i in range(259)]
+    # equal scores, and pieces whose bytes are not theirs
+    table += [(260 + i, p, float(rng.randrange(-6, 0)), (p if i % 5 else "?").encode().hex()) for i, p in enumerate(spelt)]
+    known = spark.createDataFrame(table, "id int, piece string, score double, bytes string")
+    texts = ["".join(rng.choice("aabc édx\u2581") for _ in range(rng.randrange(40))) for _ in range(300)] + [None]
+    spells = {i: bytes.fromhex(digits) for i, _, _, digits in table}
+    want = []
+    for text in texts:
+        marked = "▁" + text.replace(" ", "▁") if text else ""
+        split = re.split("(?<=[^▁])(?=▁)", marked) if marked else []
+        ids = [_plain_pieces(word, table) for word in split]
+        right = [b"".join(map(spells.__getitem__, own)) == word.encode() for own, word in zip(ids, split)]
+        want.append((sum(ids, []), all(right)))
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = sorted(pieces.encode(docs, known).collect(), key=lambda r: r.doc_id)
+    assert [(r.ids, r.spelled) for r in got] == want and {r.spelled for r in got} == {True, False}
+    lattice = pieces.Lattice(known.toArrow())
+    for together, letters in ((1, 7), (10**9, 50)):  # all words together, and word by word
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        monkeypatch.setattr(pieces, "LETTERS", letters)
+        ids, spelled = lattice.encode(pieces.words(docs.select("text").toArrow()["text"].combine_chunks()))
+        assert list(zip(ids.to_pylist(), spelled.to_pylist())) == want
