@@ -47,13 +47,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/seriata/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and go on from the written rows.
+def settle(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in a folder for each value of ``by``, and go on from the written rows.
 
     Runs a job.  Used where later steps must all see the same partition
     numbers, whatever executors are lost in between; unlike a checkpoint the
     table can be read by column.
     """
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -96,6 +97,76 @@ def test_the_queue_takes_the_best_branch_of_any_tree():
     assert len(order) == len(set(order)) == sum(len(t.sizes) for t in forest.trees)
 
 
+def test_the_queue_for_many_queries_gives_the_order_of_a_heap():
+    rng = np.random.default_rng(4)
+    points = neighbours.points_of(rng.normal(size=(700, 6)), 7.0)
+    forest = neighbours.Forest((*(neighbours.grow(points, 9, rng) for _ in range(4)), neighbours.grow(points[:5], 9, rng)), 7.0)
+    asked = rng.normal(size=(30, 6))
+    many = neighbours.Queue(forest)
+    for visit in (0.02, 0.4, 1.75, 9.0):
+        for query, leaves in zip(asked, many.reached(asked, visit)):
+            want = _heap(forest, query, visit)
+            assert neighbours.leaves_to_visit(forest, query, visit) == want
+            assert leaves.tolist() == [many.first_leaf[tree] + leaf for tree, leaf in want]
+
+
+def _heap(forest, query, visit):
+    point = np.append(query / np.linalg.norm(query), 0.0)
+    margins = [(t.normals @ point - t.offsets).tolist() for t in forest.trees]
+    queue = [(-np.inf, i, 0 if len(t.offsets) else -1) for i, t in enumerate(forest.trees)]
+    heapq.heapify(queue)
+    found, rows = [], 0.0
+    while queue and rows < visit:
+        worst, tree, node = heapq.heappop(queue)
+        if node < 0:
+            found.append((tree, -1 - node))
+            rows += forest.trees[tree].sizes[-1 - node]
+        else:
+            margin, (left, right) = margins[tree][node], forest.trees[tree].children[node].tolist()
+            heapq.heappush(queue, (max(worst, margin), tree, left))
+            heapq.heappush(queue, (max(worst, -margin), tree, right))
+    return found
+
+
+def test_vectors_and_queries_are_written_once_however_many_leaves_they_meet(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(1200)], "vec_id long, embedding array<float>")
+    written, settle = [], neighbours.settle
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "settle", lambda df, *by: written.append(settle(df, *by)) or written[-1])
+    neighbours.search(rows, rows.where("vec_id % 4 = 0"), 5).count()
+    assert sum(df.count() for df in written if "vec" in df.columns) <= 2 * 1200
+    assert sum(df.count() for df in written if "query" in df.columns) == 300
+
+
+def test_groups_rounds_and_looking_up_leaves_change_no_result(spark, odd_vectors, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = odd_vectors.select("vec_id", "embedding").unionByName(
+        spark.createDataFrame([(1000 + i, rng.normal(size=4).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
+    )
+    asked = rows.where("vec_id IN (0, 5, 100, 204) OR vec_id % 11 = 0")
+    found = lambda visit: sorted(map(tuple, neighbours.search(rows, asked, 7, trees=3, visit=visit, sample=256).collect()))
+    one = found(0.3)
+    assert {r[0] for r in one} == {0, 5, 100, *(i for i in range(1300) if i % 11 == 0 and (i < 40 or 100 <= i < 130 or i >= 1000))}
+    for name, value in (("BLOCK", 16), ("GROUP", 2000), ("TILE", 32), ("PART", 8)):
+        monkeypatch.setattr(neighbours, name, value)
+    assert found(0.3) == one
+    monkeypatch.setattr(neighbours, "FEW", 9.0)
+    assert found(0.3) == one
+    vectors = _usable([(r.vec_id, r.embedding) for r in rows.collect()], zero=False)
+    want = _plain(vectors, sorted({r[0] for r in one}), 7, lambda a, b: float((a * b).sum()))
+    assert {r[:3] for r in found(3.0)} == {w[:3] for w in want}
+
+
+def test_a_number_with_several_vectors_counts_once_with_its_best(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(70, [9.0 + i / 100, 0.0, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = neighbours.search(df, spark.createDataFrame([(500, [1.0, 0.0, 0.0])], df.schema), 5, trees=2, visit=2.0).orderBy("rank").collect()
+    best = sorted(((-np.float32(v[0]), i) for i, v in rows if i < 70), key=lambda x: (x[0], x[1]))[:4]
+    assert [r.vec_id for r in found] == [70, *(i for _, i in best)] and abs(found[0].score - 9.39) < 1e-6
+
+
 @pytest.mark.parametrize("bucket", [2048, 8])
 def test_topk_is_exact(spark, odd_vectors, monkeypatch, bucket):
     monkeypatch.setattr(topk, "BUCKET", bucket)
